@@ -5,7 +5,7 @@ A box is half open like a tile: west and south edges belong to it, east and nort
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.functions.geo import geohash_cell_size, geohash_of_cell
@@ -51,7 +51,7 @@ def tile_extents(tiles: DataFrame, tile_length: int) -> DataFrame:
     ).drop("xy")
 
 
-def _overlaps(box) -> "F.Column":
+def _overlaps(box: Box) -> Column:
     return (
         (F.col("lng_min") < box.lng_max)
         & (F.col("lng_max") > box.lng_min)

@@ -63,7 +63,7 @@ def spatial_mean(tiles: DataFrame, by=("tile_key",), nodata=None) -> DataFrame:
         F.slice(F.array(*[F.col(f"mean_{i}").cast("float") for i in range(BLOCK)]), F.lit(1), F.col("n")).alias("part"),
     )
     data = joined_blocks.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct("block", "part"))).alias("parts")
+        F.sort_array(F.collect_list(F.struct("block", "part"))).alias("parts")
     )
 
     newest = tiles.groupBy(*by).agg(

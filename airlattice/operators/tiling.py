@@ -113,7 +113,7 @@ def split_cells(cells: DataFrame, meta: DataFrame, by=()) -> DataFrame:
     located = locate_cells(cells.join(shape, "region_no"))
     unique = located.groupBy(*ids, "x", "y", "pos").agg(F.max("value").alias("value"))
     gathered = unique.groupBy(*ids, "x", "y").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("found")
+        F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("found")
     )
     numbered = _numbered(gathered.join(meta, "region_no"))
 
