@@ -5,9 +5,10 @@ from pyspark.sql import DataFrame, SparkSession
 from airlattice.schemas import REGION_LIST
 
 
-def read_region_list(spark: SparkSession, path: str) -> DataFrame:
-    """Nested list of provinces and their cities from JSON (an array or one object per file part)."""
-    return spark.read.schema(REGION_LIST).json(path, multiLine=True)
+def read_region_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested list of provinces and their cities, from files that hold one JSON array each or (not
+    ``multi_line``) one JSON object per line."""
+    return spark.read.schema(REGION_LIST).json(path, multiLine=multi_line)
 
 
 def read_centres(spark: SparkSession, table: str = None, **jdbc_options) -> DataFrame:

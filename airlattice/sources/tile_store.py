@@ -47,7 +47,7 @@ def keep_last(rows: DataFrame, key, order_by) -> DataFrame:
 def write_tiles(tiles: DataFrame, path: str, mode: str = "append", partition_by=PARTITION_BY) -> None:
     """Write tiles. One shuffle by folder; adaptive execution splits large folders over several
     files and packs small ones."""
-    stored = with_day(tiles).select(*STORED.fieldNames())
+    stored = with_day(tiles).select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
     (
         stored.hint("rebalance", *partition_by)
         .sortWithinPartitions(*partition_by, "tile_key", "ts")
