@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 # Time formats, bucket text formats, the text of the one bucket that holds
 # everything, the pattern of a valid time (years 19xx and 20xx).
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-LENIENT_TIME_FORMAT = "yyyy-M-d H:mm:ss"
 TIME_PATTERN = (
     r"^((19|20)[0-9]{2})-(0?[1-9]|1[012])-(0?[1-9]|[12][0-9]|3[01]) "
     r"([01]?[0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$"
@@ -57,7 +56,7 @@ def is_time_text(text: Column) -> Column:
 
 def parse_time(text: Column) -> Column:
     """TIMESTAMP of a valid time text, else NULL; one-digit month, day and hour are fine."""
-    return F.when(is_time_text(text), F.try_to_timestamp(text, F.lit(LENIENT_TIME_FORMAT)))
+    return F.when(is_time_text(text), text.try_cast("timestamp"))
 
 
 def epoch_seconds(text: Column) -> Column:

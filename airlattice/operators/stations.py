@@ -42,36 +42,44 @@ def number_pattern(compat: bool) -> str:
 
 
 def _is_empty(text: Column) -> Column:
-    return F.trim(text, F.lit(" \t\r\n")) == ""
+    """Nothing but white space and control characters; decided at the first character mostly."""
+    return text.rlike(r"^[\x00-\x20]*$")
 
 
 def _is_blank(text: Column) -> Column:
-    return text.isNull() | _is_empty(text) | (text == "_")
+    return text.isNull() | (text == "_") | _is_empty(text)
 
 
-def _checked(place) -> Column | bool:
+def _checked(place):
     return (place == CHECKED_PLACE) | (place >= CHECKED_FROM)
 
 
 def _number_or_blank(text: Column, compat: bool) -> Column:
+    """Numbers as they are; blanks and everything else become "0"."""
     return F.when(text.rlike(number_pattern(compat)), text).otherwise(BLANK)
 
 
-def _is_layout_a(time_text: Column) -> Column:
+def _text_or_blank(text: Column) -> Column:
+    return F.when(_is_blank(text), BLANK).otherwise(text)
+
+
+def _is_layout_a(ts: Column) -> Column:
     """Rows before the switch; rows without a readable time count as old ones."""
-    ts = parse_time(time_text)
     return ts.isNull() | (ts < F.lit(LAYOUT_SWITCH).cast("timestamp"))
 
 
 # --- array forms ----------------------------------------------------------------------------
 
 
+def data_lines(lines: DataFrame) -> DataFrame:
+    """Without header lines and lines of nothing but commas; judged on the text, before any split."""
+    value = F.col("value")
+    return lines.where(~(value.startswith("time,") | (value == "time") | value.rlike("^,+$")))
+
+
 def split_rows(lines: DataFrame) -> DataFrame:
     """``value`` to ``fields``: trailing empty fields go, as do header lines and lines of commas."""
-    fields = F.split(F.regexp_replace("value", ",+$", ""), ",")
-    only_commas = F.col("value").rlike("^,+$")
-    rows = lines.where(~only_commas).select(fields.alias("fields"))
-    return rows.where(F.get("fields", F.lit(0)) != "time")
+    return data_lines(lines).select(F.split(F.regexp_replace("value", ",+$", ""), ",").alias("fields"))
 
 
 def fill_blanks(rows: DataFrame) -> DataFrame:
@@ -121,35 +129,28 @@ def distinct_addresses(rows: DataFrame, compat: bool = False) -> DataFrame:
 def is_valid_row(fields: Column, compat: bool = False) -> Column:
     """Strict check of a full row: nothing blank, enough fields, numbers where they belong."""
     full = ~F.exists(fields, _is_blank)
-    old = _is_layout_a(F.get(fields, F.lit(0)))
+    old = _is_layout_a(parse_time(F.get(fields, F.lit(0))))
     long_enough = F.size(fields) >= F.when(old, LAYOUT_A_FIELDS).otherwise(LAYOUT_B_FIELDS)
     pattern = number_pattern(compat)
     numbers = F.get(fields, F.lit(CHECKED_PLACE)).rlike(pattern) & F.forall(
-        F.slice(fields, F.lit(CHECKED_FROM + 1), F.greatest(F.size(fields), F.lit(0))), lambda x: x.rlike(pattern)
+        F.slice(fields, F.lit(CHECKED_FROM + 1), F.size(fields)), lambda x: x.rlike(pattern)
     )
-    return F.coalesce(full & long_enough & numbers, F.lit(False))
+    return F.coalesce(long_enough & full & numbers, F.lit(False))
 
 
 def repair_rows(rows: DataFrame, compat: bool = False) -> DataFrame:
     """Full rows made regular: blanks and ``_`` to "0", bad times to a fixed text, padded to the
     layout's length, non-numbers in checked places to "0"."""
-    filled = F.transform("fields", lambda x: F.when(_is_blank(x), BLANK).otherwise(x))
-    time = F.get("fields", F.lit(0))
-    timed = F.concat(
-        F.array(F.when(is_time_text(time), time).otherwise(BAD_TIME)),
-        F.slice("fields", F.lit(2), F.size("fields")),
-    )
-    want = F.when(_is_layout_a(time), LAYOUT_A_FIELDS).otherwise(LAYOUT_B_FIELDS)
-    padded = F.concat("fields", F.array_repeat(F.lit(BLANK), F.greatest(want - F.size("fields"), F.lit(0))))
-    numbered = F.transform(
-        "fields", lambda x, i: F.when(_checked(i), _number_or_blank(x, compat)).otherwise(x)
-    )
-    return (
-        rows.withColumn("fields", filled)
-        .withColumn("fields", timed)
-        .withColumn("fields", padded)
-        .withColumn("fields", numbered)
-    )
+
+    def repaired(x, i):
+        time = F.when(is_time_text(x), x).otherwise(BAD_TIME)
+        checked = F.when(_checked(i), _number_or_blank(x, compat))
+        return F.when(i == 0, time).otherwise(F.coalesce(checked, _text_or_blank(x)))
+
+    old = _is_layout_a(parse_time(F.get("fields", F.lit(0))))
+    want = F.when(old, LAYOUT_A_FIELDS).otherwise(LAYOUT_B_FIELDS)
+    padding = F.array_repeat(F.lit(BLANK), F.greatest(want - F.size("fields"), F.lit(0)))
+    return rows.withColumn("fields", F.concat(F.transform("fields", repaired), padding))
 
 
 def project_columns(rows: DataFrame, names) -> DataFrame:
@@ -173,42 +174,36 @@ def top_lines(rows: DataFrame, n: int) -> DataFrame:
 # --- typed table ----------------------------------------------------------------------------
 
 
-def _measure(field_at, old: Column, place_a: int, place_b: int, compat: bool) -> Column:
+def _measure(old: Column, place_a: int, place_b: int, shift: int, compat: bool) -> Column:
     """A measure from whichever layout applies, repaired and typed; not a number gives NULL."""
-
-    def repaired(place: int) -> Column:
-        text = field_at(place)
-        text = F.when(_is_blank(text), BLANK).otherwise(text)
-        return _number_or_blank(text, compat) if _checked(place) else text
-
-    return F.when(old, repaired(place_a)).otherwise(repaired(place_b)).try_cast("double")
-
-
-def _typed(df: DataFrame, time: Column, province: Column, city: Column, site: Column, lng: Column, lat: Column,
-           field_at, compat: bool) -> DataFrame:
-    """The typed station table. Unknown province and location are NULL, or "0" and 0.0 (``compat``)."""
-    old = _is_layout_a(time)
-
-    def text(value: Column) -> Column:
-        return F.when(_is_blank(value), BLANK).otherwise(value)
-
-    def known(value: Column) -> Column:
-        return text(value) if compat else value
-
-    def degrees(value: Column) -> Column:
-        number = F.when(_is_blank(value), F.lit(None)).otherwise(value).try_cast("double")
-        return F.coalesce(number, F.lit(0.0)) if compat else number
-
-    return df.select(
-        F.when(is_time_text(time), time).otherwise(BAD_TIME).alias("time"),
-        parse_time(time).alias("ts"),
-        known(province).alias("province"),
-        text(city).alias("city"),
-        text(site).alias("site"),
-        degrees(lng).alias("lng"),
-        degrees(lat).alias("lat"),
+    text = F.get("fields", F.when(old, place_a - shift).otherwise(place_b - shift))
+    number = _number_or_blank(text, compat)
+    if not _checked(place_a):
+        number = F.when(old, _text_or_blank(text)).otherwise(number)
+    return number.try_cast("double")
+
+
+def _typed(rows: DataFrame, shift: int, compat: bool) -> DataFrame:
+    """The typed station table from raw_time, province, city, site, lng, lat and ``fields``, whose
+    measures sit ``shift`` places before those of a full row. Unknown province and location are
+    NULL, or "0" and 0.0 (``compat``)."""
+    timed = rows.withColumn("ts", parse_time(F.col("raw_time"))).withColumn("old", _is_layout_a(F.col("ts")))
+    old = F.col("old")
+
+    def degrees(name: str) -> Column:
+        number = F.col(name).try_cast("double")
+        return (F.coalesce(number, F.lit(0.0)) if compat else number).alias(name)
+
+    return timed.select(
+        F.when(is_time_text(F.col("raw_time")), F.col("raw_time")).otherwise(BAD_TIME).alias("time"),
+        "ts",
+        (_text_or_blank(F.col("province")) if compat else F.col("province")).alias("province"),
+        _text_or_blank(F.col("city")).alias("city"),
+        _text_or_blank(F.col("site")).alias("site"),
+        degrees("lng"),
+        degrees("lat"),
         *[
-            _measure(field_at, old, a, b, compat).alias(name)
+            _measure(old, a, b, shift, compat).alias(name)
             for name, a, b in zip(MEASURES, LAYOUT_A_PLACES, LAYOUT_B_PLACES, strict=True)
         ],
     )
@@ -216,38 +211,28 @@ def _typed(df: DataFrame, time: Column, province: Column, city: Column, site: Co
 
 def to_air_data(rows: DataFrame, compat: bool = False) -> DataFrame:
     """Full rows (province and location inserted) to the typed table; repairs on the way."""
-
-    def field_at(place: int) -> Column:
-        return F.get("fields", F.lit(place))
-
-    time, province, city, site, lng, lat = (field_at(i) for i in range(6))
-    return _typed(rows, time, province, city, site, lng, lat, field_at, compat)
+    names = ("raw_time", "province", "city", "site", "lng", "lat")
+    named = rows.select("fields", *[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    return _typed(named, 0, compat)
 
 
 def clean_station(lines: DataFrame, provinces: DataFrame, locations: DataFrame, compat: bool = False) -> DataFrame:
     """Station text to the typed table: split, drop headers and short rows, join both lookups,
-    repair, type. No shuffle while both lookups are small enough to broadcast."""
-    rows = split_rows(lines).where(F.size("fields") + 1 > 5)
+    repair, type. No shuffle while both lookups are small enough to broadcast.
+
+    Rows need five fields, which is judged on the text, so that a line is split once.
+    """
+    long_enough = data_lines(lines).where(F.col("value").rlike(r"^([^,]*,){4,}[^,]"))
+    rows = split_rows(long_enough)
 
-    def raw(place: int) -> Column:
+    def filled(place: int) -> Column:
         text = F.get("fields", F.lit(place))
         return F.when(_is_empty(text), BLANK).otherwise(text)
 
-    named = rows.withColumns({"city": raw(1), "site": raw(2)})
-    placed = named.join(provinces, "city", "left")
-    addressed = placed.withColumn(
-        "address", station_address(F.col("province"), F.col("city"), F.col("site"), compat)
-    )
-    located = addressed.join(locations, "address", "left")
-
-    return _typed(
-        located,
-        raw(0),
-        F.col("province"),
-        F.col("city"),
-        F.col("site"),
-        F.col("lng"),
-        F.col("lat"),
-        lambda place: raw(place - INSERTED_FIELDS),
-        compat,
+    named = rows.select(
+        "fields", F.get("fields", F.lit(0)).alias("raw_time"), filled(1).alias("city"), filled(2).alias("site")
     )
+    placed = named.join(provinces, "city", "left")
+    address = station_address(F.col("province"), F.col("city"), F.col("site"), compat)
+    located = placed.withColumn("address", address).join(locations, "address", "left")
+    return _typed(located, INSERTED_FIELDS, compat)
