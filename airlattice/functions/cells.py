@@ -32,6 +32,8 @@ def valid_min(data: Column, nodata: Column) -> Column:
 
 
 def valid_mean(data: Column, nodata: Column) -> Column:
-    """Mean of the valid cells in DOUBLE; NULL for a tile without any."""
-    n = valid_count(data, nodata)
-    return F.when(n > 0, valid_sum(data, nodata) / n)
+    """Mean of the valid cells in DOUBLE; NULL for a tile without any.
+
+    Count and sum are both always needed, so the filtered array is made once for the two.
+    """
+    return F.try_divide(valid_sum(data, nodata), valid_count(data, nodata))

@@ -11,6 +11,10 @@ COUNTRY_NAME = "中国"
 COUNTRY_CENTRE = "[108.5525,34.3227]"
 CITY_SUFFIX = "市"
 
+# Codes have four digits, so a sound lookup has no more names than this (each code may be known
+# under two).
+MAX_REGION_NAMES = 20_000
+
 
 def build_region_dim(region_list: DataFrame, province_centres: DataFrame, city_centres: DataFrame) -> DataFrame:
     """Region dimension from the nested list and two centre tables of (name, cp).
@@ -47,11 +51,18 @@ def region_codes(region_dim: DataFrame) -> DataFrame:
     return region_dim.select(F.concat_ws(":", "province", "city").alias("name"), "code")
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is. The rows are
+    counted now, and counting stops at the limit."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def resolve_region(df: DataFrame, region_dim: DataFrame, province="province", city="city") -> DataFrame:
     """Add code, province_no, city_no and region_no by names; a city may lack its suffix.
 
-    Both spellings go into one lookup, in which the exact one wins, so ``df`` is joined once.
-    Unknown names give NULL.
+    Both spellings go into one lookup, in which the exact one wins, so ``df`` is joined once. The
+    lookup's size is checked before it is broadcast: rows of ``df`` may carry whole rasters, which
+    a shuffle should not move. Unknown names give NULL.
     """
     exact = region_dim.select("province", "city", "code", F.lit(0).alias("rank"))
     bare = region_dim.where(F.endswith("city", F.lit(CITY_SUFFIX))).select(
@@ -63,7 +74,9 @@ def resolve_region(df: DataFrame, region_dim: DataFrame, province="province", ci
         .agg(F.min_by("code", F.struct("rank", "code")).alias("code"))
     )
     joined = df.join(
-        lookup, (F.col(province) == F.col("_province")) & (F.col(city) == F.col("_city")), "left"
+        broadcast_if_small(lookup, MAX_REGION_NAMES),
+        (F.col(province) == F.col("_province")) & (F.col(city) == F.col("_city")),
+        "left",
     ).drop("_province", "_city")
     return joined.withColumns(
         {
