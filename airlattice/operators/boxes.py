@@ -88,18 +88,23 @@ def tile_directory(meta: DataFrame) -> DataFrame:
     ).select("region_no", "tile_code", "tile_key", "lng_min", "lat_min", "lng_max", "lat_max")
 
 
+def _first_cell(edge: Column, origin: float, size: float) -> Column:
+    return F.floor((edge + origin) / size)
+
+
 def geohash_cover(extents: DataFrame, precision: int) -> DataFrame:
-    """One row per GeoHash cell that an extent touches; the extent's columns are carried along."""
+    """One row per GeoHash cell that an extent touches, with the cell's column gx, row gy and
+    text; the extent's columns are carried along."""
     width, height = geohash_cell_size(precision)
 
     def cells(low, high, origin, size):
-        first = F.floor((F.col(low) + origin) / size)
+        first = _first_cell(F.col(low), origin, size)
         last = F.ceil((F.col(high) + origin) / size) - 1
         return F.explode(F.sequence(first, F.greatest(first, last)))
 
     columns = extents.select("*", cells("lng_min", "lng_max", 180.0, width).alias("gx"))
     both = columns.select("*", cells("lat_min", "lat_max", 90.0, height).alias("gy"))
-    return both.withColumn("geohash", geohash_of_cell(F.col("gx"), F.col("gy"), precision)).drop("gx", "gy")
+    return both.withColumn("geohash", geohash_of_cell(F.col("gx"), F.col("gy"), precision))
 
 
 def build_geo_index(meta: DataFrame, precision: int) -> DataFrame:
@@ -108,26 +113,30 @@ def build_geo_index(meta: DataFrame, precision: int) -> DataFrame:
     Choose a precision whose cells are about as large as a tile, so that a cell lists few tiles
     and a tile few cells.
     """
-    return geohash_cover(tile_directory(meta), precision)
+    return geohash_cover(tile_directory(meta), precision).drop("gx", "gy")
 
 
 def box_tile_keys(index: DataFrame, boxes: DataFrame, precision: int) -> DataFrame:
     """(box_id, tile_key) of overlapping tiles for boxes of (box_id, lng_min, lat_min, lng_max, lat_max).
 
-    Boxes and tiles meet on equal GeoHash cells, then by their extents.
+    Boxes and tiles meet on equal GeoHash cells, then by their extents. A pair that shares many
+    cells is kept only in the most south-western of them, so no distinct is needed.
     """
+    width, height = geohash_cell_size(precision)
     edges = ["lng_min", "lat_min", "lng_max", "lat_max"]
-    covered = geohash_cover(
-        boxes.select("box_id", *edges), precision
-    ).select("box_id", "geohash", *[F.col(c).alias(f"box_{c}") for c in edges])
-    candidates = index.join(covered, "geohash")
-    hits = candidates.where(
+    covered = geohash_cover(boxes.select("box_id", *edges), precision).select(
+        "box_id", "geohash", "gx", "gy", *[F.col(c).alias(f"box_{c}") for c in edges]
+    )
+    west, south = F.greatest("lng_min", "box_lng_min"), F.greatest("lat_min", "box_lat_min")
+    hits = index.join(covered, "geohash").where(
         (F.col("lng_min") < F.col("box_lng_max"))
         & (F.col("lng_max") > F.col("box_lng_min"))
         & (F.col("lat_min") < F.col("box_lat_max"))
         & (F.col("lat_max") > F.col("box_lat_min"))
+        & (F.col("gx") == _first_cell(west, 180.0, width))
+        & (F.col("gy") == _first_cell(south, 90.0, height))
     )
-    return hits.select("box_id", "tile_key").distinct()
+    return hits.select("box_id", "tile_key")
 
 
 def tiles_in_box_indexed(tiles: DataFrame, index: DataFrame, box: Box, precision: int) -> DataFrame:

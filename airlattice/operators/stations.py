@@ -73,8 +73,7 @@ def _is_layout_a(ts: Column) -> Column:
 
 def data_lines(lines: DataFrame) -> DataFrame:
     """Without header lines and lines of nothing but commas; judged on the text, before any split."""
-    value = F.col("value")
-    return lines.where(~(value.startswith("time,") | (value == "time") | value.rlike("^,+$")))
+    return lines.where(~F.col("value").rlike(r"^(time(,|$)|,+$)"))
 
 
 def split_rows(lines: DataFrame) -> DataFrame:

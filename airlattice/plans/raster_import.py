@@ -39,7 +39,8 @@ def import_rasters(
 ) -> None:
     """Read, cut and number all raster files at once and merge them into both tables; of two files
     for one region, time and pollutant the last by path stays. Files are parsed once, into the
-    staging folder."""
+    staging folder. Only if there are two such files are tiles compared with each other; else they
+    are shuffled once, for the write."""
     tiles = stage(raster_tiles(spark, paths, region_dim, start, end, tile_length), "import")
     last_path = tiles.groupBy("region_no").agg(F.max("path").alias("path"))
     meta = (
@@ -48,4 +49,10 @@ def import_rasters(
         .agg(*[F.max(c).alias(c) for c in RASTER_META.fieldNames() if c != "region_no"])
     )
     upsert_meta(meta, meta_path)
-    upsert_tiles(tiles, tiles_path, order_by=["path"])
+    upsert_tiles(tiles, tiles_path, order_by=["path"] if _has_rival_files(tiles) else ())
+
+
+def _has_rival_files(tiles: DataFrame) -> bool:
+    subject = ["region_no", "pollutant", "ts"]
+    files = tiles.select(*subject, "path").distinct().groupBy(*subject).count()
+    return not files.where("count > 1").isEmpty()

@@ -7,7 +7,7 @@ from airlattice.functions.keys import key_region
 from airlattice.operators.mosaic import tiles_to_asc
 from airlattice.operators.olap import spatial_mean, time_pattern
 from airlattice.operators.regions import resolve_region
-from airlattice.sources.tile_store import read_meta, read_tiles, scan_tiles
+from airlattice.sources.tile_store import read_tiles, scan_tiles
 
 
 def region_number(region_dim: DataFrame, province: str, city: str) -> int:
@@ -41,7 +41,3 @@ def heat_map_raster(tiles: DataFrame, meta: DataFrame) -> DataFrame:
     """The heat map as raster text (region_no, line, value)."""
     regions = tiles.select(key_region(F.col("tile_key")).alias("region_no"))
     return tiles_to_asc(spatial_mean(tiles), meta, rasters=regions)
-
-
-def stored_meta(spark: SparkSession, path: str) -> DataFrame:
-    return read_meta(spark, path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from airlattice.functions.hilbert import curve_size, hilbert_code, hilbert_xy
 from airlattice.functions.keys import key_code, key_region
 from airlattice.operators import boxes, mosaic, tiling
+from airlattice.plans import tile_query
 from airlattice.plans.raster_import import import_rasters
 from airlattice.registry import standins as st
 from airlattice.sources import rasters as files
@@ -14,7 +15,9 @@ from airlattice.sources import tile_store as store
 CURVE = 64
 BOX = boxes.Box(72.0, 19.0, 83.3, 25.1)
 PRECISION = 3
-IMPORT_START, IMPORT_END = "2016-05-01", "2016-05-03"
+FIRST_HOUR = "2016-05-01 00:00:00"
+IMPORT_START, IMPORT_END = "2016-05-01", "2999-12-31"
+ASKED = ("P1", "C1", "pm25")
 
 
 def _big(*names):
@@ -126,21 +129,16 @@ SELECT region_no, unnest(range(7)) AS line,
                'NODATA_VALUE -9999.0']) AS header, NULL, NULL FROM meta"""
 
 
-_written = {}
-
-
-def raster_files(spark, sf_dir):
-    """All rasters as text files, ten regions at successive hours: folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
-        number = F.col("region_no") - 101
-        day = F.floor(number / 240) + 1
-        hour = F.floor(number / 10) % 24
-        name = F.format_string("P%d%%C%d#2016-05-%02dH%02d#pm25", number % 2 + 1, number % 10 + 1, day, hour)
-        path = st.scratch(spark, "asc")
-        files.write_asc_files(_text(spark, sf_dir).withColumn("raster", name), path)
-        _written[key] = path
-    return _written[key]
+@st.once
+def raster_files(spark, sf_dir) -> str:
+    """All rasters as text files, ten regions at successive hours; written once per application."""
+    number = F.col("region_no") - 101
+    hours = F.make_interval(hours=F.floor(number / 10).cast("int"))
+    time = F.date_format(F.lit(FIRST_HOUR).cast("timestamp") + hours, "yyyy-MM-dd'H'HH")
+    name = F.format_string("P%d%%C%d#%s#pm25", number % 2 + 1, number % 10 + 1, time)
+    path = st.scratch(spark, "asc")
+    files.write_asc_files(_text(spark, sf_dir).withColumn("raster", name), path)
+    return path
 
 
 def _file_regions(spark, sf_dir):
@@ -156,7 +154,7 @@ def _file_regions(spark, sf_dir):
 
 _NAMES_SQL = """named AS (
   SELECT *, region_no - 101 AS k, concat('P', (region_no - 101) % 2 + 1) AS province, concat('C', (region_no - 101) % 10 + 1) AS city,
-         make_timestamp(2016, 5, (region_no - 101) // 240 + 1, ((region_no - 101) // 10) % 24, 0, 0) AS time
+         TIMESTAMP '2016-05-01 00:00:00' + to_hours(((region_no - 101) // 10)::INT) AS time
   FROM meta)"""
 
 
@@ -177,14 +175,22 @@ SELECT province, city, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, 'pm25' AS po
 FROM cells JOIN named USING (region_no) GROUP BY ALL"""
 
 
-def raster_import(spark, sf_dir):
-    """The files of two days imported, twice, into tile and metadata tables and read back."""
-    folder, tiles_path, meta_path = raster_files(spark, sf_dir), st.scratch(spark, "tiles"), st.scratch(spark, "meta")
-    regions = _file_regions(spark, sf_dir)
+@st.once
+def import_folder(spark, sf_dir) -> str:
+    """All files imported, twice, into tile and metadata tables; once per application."""
+    folder = st.scratch(spark, "import")
     for _ in range(2):
-        import_rasters(spark, folder, regions, tiles_path, meta_path, IMPORT_START, IMPORT_END)
-    tiles = store.read_tiles(spark, tiles_path).join(
-        store.read_meta(spark, meta_path).select("region_no", "ncols", "tile_length"), "region_no"
+        import_rasters(
+            spark, raster_files(spark, sf_dir), _file_regions(spark, sf_dir),
+            f"{folder}/tiles", f"{folder}/meta", IMPORT_START, IMPORT_END,
+        )
+    return folder
+
+
+def raster_import(spark, sf_dir):
+    folder = import_folder(spark, sf_dir)
+    tiles = store.read_tiles(spark, f"{folder}/tiles").join(
+        store.read_meta(spark, f"{folder}/meta").select("region_no", "ncols", "tile_length"), "region_no"
     )
     return tiles.select(
         "tile_key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "pollutant", *_big("ncols", "tile_length"),
@@ -192,6 +198,34 @@ def raster_import(spark, sf_dir):
     )
 
 
+def _asked_tiles(spark, sf_dir):
+    """Tiles of one region by name, as the two questions below want them."""
+    return tile_query.region_tiles(
+        spark, f"{import_folder(spark, sf_dir)}/tiles", _file_regions(spark, sf_dir), *ASKED,
+        f"{IMPORT_START} 00:00:00", f"{IMPORT_END} 00:00:00",
+    )
+
+
+def named_time_query(spark, sf_dir):
+    """Hourly course of the named region, written to one file and read back."""
+    path = st.scratch(spark, "course")
+    files.write_single_csv(tile_query.time_query(_asked_tiles(spark, sf_dir), "hours"), path)
+    course = spark.read.schema("bucket string, mean double").csv(path)
+    return course.select("bucket", F.round("mean", 4).alias("mean"))
+
+
+def named_heat_map(spark, sf_dir):
+    """Heat map of the named region as raster text, written in order and read back."""
+    path = st.scratch(spark, "heat")
+    meta = store.read_meta(spark, f"{import_folder(spark, sf_dir)}/meta")
+    files.write_asc(tile_query.heat_map_raster(_asked_tiles(spark, sf_dir), meta), path)
+    body = spark.read.text(path).where(F.col("value").rlike("^[0-9-]"))
+    values = body.select(F.posexplode(F.split(F.trim("value"), " ").cast("array<float>")).alias("col", "v"))
+    return values.groupBy(F.col("col").cast("bigint").alias("col")).agg(
+        F.count("v").alias("n"), F.round(F.sum(F.col("v").cast("double")), 1).alias("total")
+    )
+
+
 _IMPORT_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
 SELECT ((k % 2 + 1) * 100 + k % 10 + 1) * 100000 + tile_code AS tile_key, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts,
        'pm25' AS pollutant, 50 AS ncols, 16 AS tile_length, count(*) AS n, round(sum(value::DOUBLE), 2) AS total
@@ -285,6 +319,23 @@ SELECT region_no, "row", col, code FROM cells JOIN codes ON col = x0 AND "row" =
     "asc_lines": (asc_lines, _ASC_SQL),
     "read_asc_files": (read_asc_files, _READ_SQL),
     "raster_import": (raster_import, _IMPORT_SQL),
+    "named_time_query": (
+        named_time_query,
+        f"""WITH {st.CELLS_SQL}, {_NAMES_SQL},
+means AS (
+  SELECT time, avg(value::DOUBLE) FILTER (value <> -9999) AS tile_mean FROM located JOIN named USING (region_no)
+  WHERE province = '{ASKED[0]}' AND city = '{ASKED[1]}' AND time < '{IMPORT_END}' GROUP BY region_no, time, tile_code)
+SELECT strftime(time, '%Y-%m-%d %H') AS bucket, round(avg(tile_mean), 4) AS mean FROM means GROUP BY 1""",
+    ),
+    "named_heat_map": (
+        named_heat_map,
+        f"""WITH {st.CELLS_SQL}, {_NAMES_SQL},
+heat AS (
+  SELECT "row", col, coalesce(avg(value::DOUBLE) FILTER (value <> -9999)::FLOAT, -9999) AS v
+  FROM cells JOIN named USING (region_no)
+  WHERE province = '{ASKED[0]}' AND city = '{ASKED[1]}' AND time < '{IMPORT_END}' GROUP BY "row", col)
+SELECT col, count(*) AS n, round(sum(v::DOUBLE), 1) AS total FROM heat GROUP BY col""",
+    ),
     "box_query": (box_query, _BOX_SQL),
     "geo_index": (geo_index, _INDEX_SQL),
     "geohash_query": (geohash_query, _CUSTOMER_BOX_SQL),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from airlattice.functions.keys import tile_key
 from airlattice.session import pin_time_zone, shared_folder
+from airlattice.sources.text import read_lines, write_lines
 
 NODATA = -999.0
 RASTER_NODATA = -9999.0
@@ -25,6 +26,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_time_zone(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows that are about to unfold into many cells, over all cores. Only a table of fewer splits
+    than cores (one small file) is shuffled for it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(build):
+    """Remember per application and tables the folder that ``build`` wrote."""
+    written = {}
+
+    def folder(spark, sf_dir):
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in written:
+            written[key] = build(spark, sf_dir)
+        return written[key]
+
+    return folder
+
+
 def _named(column: str, names: dict):
     chain = None
     for key, value in names.items():
@@ -46,7 +67,7 @@ def _tiles(spark, sf_dir, rows: DataFrame, floor: float) -> DataFrame:
     size = embeddings.agg(F.count(F.lit(1))).scalar()
     province, city = F.col("place") % 5 + 1, F.floor(F.col("place") / 5) % 5
     marked = F.transform("embedding", lambda v: F.when(v < floor, F.lit(NODATA).cast("float")).otherwise(v))
-    joined = rows.withColumn("vec_id", F.col("key") % size).join(embeddings, "vec_id")
+    joined = spread(rows, "key").withColumn("vec_id", F.col("key") % size).join(embeddings, "vec_id")
     return joined.select(
         (province * 100 + city).cast("bigint").alias("region_no"),
         F.col("label").alias("tile_code"),
@@ -129,7 +150,7 @@ def raster_cells(spark, sf_dir) -> DataFrame:
     size = RASTER_COLS * RASTER_ROWS
     place = F.col("o_orderkey") % size
     price = F.col("o_totalprice")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey").select(
         (F.floor(F.col("o_orderkey") / size) + 101).cast("bigint").alias("region_no"),
         F.floor(place / RASTER_COLS).cast("int").alias("row"),
         (place % RASTER_COLS).cast("int").alias("col"),
@@ -208,8 +229,8 @@ def _line_expression(div: str) -> str:
       ELSE {short_row} END"""
 
 
-def station_lines(spark, sf_dir) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(
+def _station_text(spark, sf_dir) -> DataFrame:
+    events = spread(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), "event_id").select(
         (F.col("event_id") % 100).alias("m"),
         F.date_format(F.expr(f"ts - INTERVAL {DAYS_BACK} DAYS"), "yyyy-MM-dd HH:mm:ss").alias("time_text"),
         F.concat(F.lit("NATION_"), (F.col("user_id") % 27).cast("string")).alias("city"),
@@ -219,6 +240,18 @@ def station_lines(spark, sf_dir) -> DataFrame:
     return events.select(F.expr(_line_expression("div").replace("varchar(20)", "string")).alias("value"))
 
 
+@once
+def station_folder(spark, sf_dir) -> str:
+    """The events as station files, written once per application."""
+    path = shared_folder(spark, "station")
+    write_lines(_station_text(spark, sf_dir), path)
+    return path
+
+
+def station_lines(spark, sf_dir) -> DataFrame:
+    return read_lines(pin_time_zone(spark), station_folder(spark, sf_dir))
+
+
 def _province_name():
     """Lookup files are separated by spaces, so names hold none."""
     return F.replace("r_name", F.lit(" "), F.lit("_"))

@@ -86,9 +86,8 @@ def _chain(compat):
 
 
 def station_files(spark, sf_dir):
-    """The same from files: station text and both lookups written and read back; through a view."""
+    """The same from files: station text and both lookups as files; through a view."""
     folder = st.scratch(spark, "station")
-    write_lines(st.station_lines(spark, sf_dir), f"{folder}/station")
     header = spark.createDataFrame([(0, "province city")], "part int, value string")
     cities = st.provinces(spark, sf_dir).select(F.lit(1).alias("part"), F.concat_ws(" ", "province", "city").alias("value"))
     write_lines(header.unionByName(cities).orderBy("part").coalesce(1), f"{folder}/provinces")
@@ -97,7 +96,7 @@ def station_files(spark, sf_dir):
         F.lit(1).alias("part"), F.concat_ws(" ", "address", "lng", "lat").alias("value")
     )
     write_lines(header.unionByName(places).orderBy("part").coalesce(1), f"{folder}/locations")
-    cleaned = station_table(spark, f"{folder}/station", f"{folder}/provinces", f"{folder}/locations")
+    cleaned = station_table(spark, st.station_folder(spark, sf_dir), f"{folder}/provinces", f"{folder}/locations")
     preview(cleaned)
     return _time(spark.sql("SELECT * FROM air_data"))
 

@@ -86,17 +86,16 @@ def stats_by_key(spark, sf_dir):
     return stats.select("event_type", F.round("total", 2).alias("total"), "n", F.round(F.col("mean") + TIE, 4).alias("mean"))
 
 
-_stores = {}
+@st.once
+def hour_folder(spark, sf_dir) -> str:
+    """The hourly tiles as a tile table, written once per application."""
+    path = st.scratch(spark, "hour-tiles")
+    store.write_tiles(store.keep_last(st.hour_tiles(spark, sf_dir), store.VERSION_KEY, ["seq"]), path)
+    return path
 
 
 def hour_store(spark, sf_dir):
-    """The hourly tiles as a tile table in the shared folder, written once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _stores:
-        path = st.scratch(spark, "hour-tiles")
-        store.write_tiles(store.keep_last(st.hour_tiles(spark, sf_dir), store.VERSION_KEY, ["seq"]), path)
-        _stores[key] = path
-    return store.read_tiles(spark, _stores[key])
+    return store.read_tiles(st.pin_time_zone(spark), hour_folder(spark, sf_dir))
 
 
 _STORE_SQL = f"""{st.hour_tiles_sql()},

@@ -94,16 +94,15 @@ def upsert_tiles(incoming: DataFrame, path: str, order_by=(), partition_by=PARTI
     folders that get new rows are read and rewritten. ``incoming`` is used several times: pass
     rows that are cheap to compute again, or ``stage`` them. Not atomic for readers meanwhile.
     """
-    spark = incoming.sparkSession
-    fresh = with_day(incoming)
-    fresh = keep_last(fresh, VERSION_KEY, order_by) if order_by else fresh
-    fresh = fresh.select(*STORED.fieldNames())
-    existing = _read_if_present(spark, path, STORED)
+    arriving = with_day(incoming)
+    fresh = keep_last(arriving, VERSION_KEY, order_by) if order_by else arriving
+    fresh = fresh.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
+    existing = _read_if_present(incoming.sparkSession, path, STORED)
     if existing is not None:
-        kept = _touched_part(existing, fresh, partition_by)
-        kept = kept.join(fresh.select(*VERSION_KEY), list(VERSION_KEY), "left_anti").select(*STORED.fieldNames())
-        fresh = kept.unionByName(fresh)
-    write_tiles(fresh.drop("day"), path, mode="overwrite", partition_by=partition_by)
+        replaced = arriving.select(*VERSION_KEY)
+        kept = _touched_part(existing, arriving, partition_by).join(replaced, list(VERSION_KEY), "left_anti")
+        fresh = kept.select(*STORED.fieldNames()).unionByName(fresh)
+    write_tiles(fresh, path, mode="overwrite", partition_by=partition_by)
 
 
 def scan_tiles(

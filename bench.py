@@ -19,7 +19,7 @@ HEADLINES = (
     "time_pattern_hours", "time_pattern_day", "time_pattern_season", "time_pattern_all", "spatial_mean",
     "spatial_mean_sparse", "tile_avg", "tile_max", "stats_by_key", "scan_range", "tile_count", "scan_latest", "multi_get",
     "merge_bands", "upsert_tiles", "split_tiles", "hilbert_encode", "raster_roundtrip", "asc_lines", "read_asc_files",
-    "raster_import", "box_query", "geohash_query", "station_chain", "station_repair", "add_location", "station_topn",
+    "raster_import", "named_time_query", "named_heat_map", "box_query", "geohash_query", "station_chain", "station_repair", "add_location", "station_topn",
     "resolve_region", "gcj02_to_wgs84", "rollup_time", "rollup_space", "cube_time_space", "rollup_tiles", "drill_down_time",
 )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from airlattice.operators import mosaic, regions, tiling
 from airlattice.plans import raster_import, region_load, tile_query
-from airlattice.schemas import RASTER_META
+from airlattice.schemas import RASTER_META, REGION_DIM
 from airlattice.sources import rasters as files
 from airlattice.sources import tile_store as store
 from airlattice.sources.regions import read_centres, read_region_list
@@ -148,6 +148,7 @@ def test_region_table(spark, tmp_path):
     provinces.createOrReplaceTempView("province_centres")
     cities = spark.createDataFrame([("C市", "[5,6]")], "name string, cp string")
     dim = region_load.load_region_dim(spark, path, read_centres(spark, "province_centres"), cities, str(tmp_path / "dim"))
+    assert dim.columns == REGION_DIM.fieldNames()
     assert {(r.code, r.city, r.lnglat, r.level) for r in dim.collect()} == {
         ("0000", "中国", "[108.5525,34.3227]", "country"),
         ("0100", "P", "[1,2]", "province"),

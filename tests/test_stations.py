@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from airlattice.operators import stations as ops
 from airlattice.plans.station_etl import preview, run_station_etl, station_table
+from airlattice.schemas import AIR_DATA
 from airlattice.sources.text import read_city_provinces, read_lines, read_locations, write_lines
 
 A = "2015-03-04 05:00:00,Wuhan,S1,1.5,2.5,3,4.5,5,6.5,7,8.5,9,11,12,13,14,15,16"
@@ -75,6 +76,8 @@ def test_repair_pads_and_checks(lines, provinces, locations):
 
 def test_typed_rows(lines, provinces, locations):
     rows = ops.clean_station(lines, provinces, locations).collect()
+    typed = ops.clean_station(lines, provinces, locations)
+    assert [(f.name, f.dataType) for f in typed.schema] == [(f.name, f.dataType) for f in AIR_DATA]
     by = {(r.time, r.site): r for r in rows}
     old, new = by[("2015-03-04 05:00:00", "S1")], by[("2016-07-01 00:00:00", "S1")]
     want = dict(aqi=1.5, pm25=2.5, pm10=4.5, co=15.0, no2=8.5, ozone1hour=11.0, ozone8hour=13.0, so2=6.5)
