@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from airlattice.functions.geo import geohash_cell_size, geohash_of_cell
 from airlattice.functions.hilbert import curve_size, hilbert_code, hilbert_xy
 from airlattice.functions.keys import key_code, tile_key
+from airlattice.joins import keep_matching
 from airlattice.operators.tiling import tile_count, tile_side
 
 
@@ -145,4 +146,4 @@ def tiles_in_box_indexed(tiles: DataFrame, index: DataFrame, box: Box, precision
         [(0, *[float(v) for v in box])],
         "box_id int, lng_min double, lat_min double, lng_max double, lat_max double",
     )
-    return tiles.join(box_tile_keys(index, one, precision), "tile_key", "left_semi").select(*tiles.columns)
+    return keep_matching(tiles, box_tile_keys(index, one, precision), "tile_key")

@@ -167,9 +167,20 @@ def _with_mean(df: DataFrame) -> DataFrame:
     return df.withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n")))
 
 
-def summarize(df: DataFrame, keys, value: str) -> DataFrame:
+def _partials(df: DataFrame, keys, value: str, places: DataFrame = None, on: str = None) -> DataFrame:
+    """total, n, low, high by key. Where some keys are columns of ``places``, facts are summed by
+    the join column first and joined after: what is shuffled is one row per key and task, however
+    many facts one place has."""
+    if places is None:
+        return df.groupBy(*keys).agg(*_measures(value))
+    own = [k for k in keys if k not in places.columns]
+    summed = df.groupBy(*own, on).agg(*_measures(value))
+    return summed.join(places, on).groupBy(*keys).agg(*_merge())
+
+
+def summarize(df: DataFrame, keys, value: str, places: DataFrame = None, on: str = None) -> DataFrame:
     """total, n, low, high and mean of ``value`` by key."""
-    return _with_mean(df.groupBy(*keys).agg(*_measures(value)))
+    return _with_mean(_partials(df, keys, value, places, on))
 
 
 def coarser_levels(dimension: str, level: str) -> list:
@@ -180,21 +191,31 @@ def coarser_levels(dimension: str, level: str) -> list:
     return list(reversed(above))
 
 
-def roll_up(df: DataFrame, dimension: str, level: str, value: str) -> DataFrame:
-    """From data at ``level`` one step up: grouped by the next coarser level and its ancestors."""
-    return summarize(df, coarser_levels(dimension, level), value)
+def roll_up(
+    df: DataFrame, dimension: str, level: str, value: str, places: DataFrame = None, on: str = None
+) -> DataFrame:
+    """From data at ``level`` one step up: grouped by the next coarser level and its ancestors.
+
+    The levels are columns of ``df``, or of ``places``, a table with one row per ``on``.
+    """
+    return summarize(df, coarser_levels(dimension, level), value, places, on)
 
 
-def drill_down(df: DataFrame, dimension: str, level: str, member, value: str) -> DataFrame:
+def drill_down(
+    df: DataFrame, dimension: str, level: str, member, value: str, places: DataFrame = None, on: str = None
+) -> DataFrame:
     """One step down from one member of ``level``: grouped by the next finer level."""
     position = _level_position(dimension, level)
     if position == 0:
         raise ValueError(f"{level!r} is already the finest level of {dimension}")
     finer = _levels(dimension)[position - 1]
-    return summarize(df.where(F.col(level) == member), [level, finer], value)
+    chosen = F.col(level) == member
+    if places is None:
+        return summarize(df.where(chosen), [level, finer], value)
+    return summarize(df, [level, finer], value, places.where(chosen), on)
 
 
-def roll_up_all(df: DataFrame, hierarchies, value: str) -> DataFrame:
+def roll_up_all(df: DataFrame, hierarchies, value: str, places: DataFrame = None, on: str = None) -> DataFrame:
     """All levels at once. ``hierarchies`` is a list of column lists, each coarse to fine; with
     several, every level of one meets every level of the others.
 
@@ -202,7 +223,7 @@ def roll_up_all(df: DataFrame, hierarchies, value: str) -> DataFrame:
     on that much smaller result, never on facts. ``grouping_id`` tells the level of a row.
     """
     leaves = [c for h in hierarchies for c in h]
-    partial = df.groupBy(*leaves).agg(*_measures(value))
+    partial = _partials(df, leaves, value, places, on)
     sets = [
         [F.col(c) for part in choice for c in part]
         for choice in product(*[[h[:i] for i in range(len(h), -1, -1)] for h in hierarchies])

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.functions.keys import region_of_code
+from airlattice.joins import broadcast_if_small
 
 # The country row and the suffix that city names may lack.
 COUNTRY_CODE = "0000"
@@ -51,12 +52,6 @@ def region_codes(region_dim: DataFrame) -> DataFrame:
     return region_dim.select(F.concat_ws(":", "province", "city").alias("name"), "code")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is. The rows are
-    counted now, and counting stops at the limit."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def resolve_region(df: DataFrame, region_dim: DataFrame, province="province", city="city") -> DataFrame:
     """Add code, province_no, city_no and region_no by names; a city may lack its suffix.
 

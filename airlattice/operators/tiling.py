@@ -104,13 +104,15 @@ def locate_cells(cells: DataFrame) -> DataFrame:
 def split_cells(cells: DataFrame, meta: DataFrame, by=()) -> DataFrame:
     """Tiles of rasters that come one row per cell: region_no, ``by``, row, col, value.
 
-    ``meta`` is the raster metadata by region. Repeated copies of a cell collapse before the
+    ``meta`` is the raster metadata by region; cells that carry ncols, nrows and tile_length of
+    their own are not joined with it until they are tiles. Repeated copies of a cell collapse before the
     tile is gathered, so a tile never gathers more than ``tile_length`` squared cells; a cell
     that is absent gets NODATA.
     """
     ids = ["region_no", *by]
     shape = meta.select("region_no", "ncols", "nrows", "tile_length")
-    located = locate_cells(cells.join(shape, "region_no"))
+    shaped = cells if set(shape.columns) <= set(cells.columns) else cells.join(shape, "region_no")
+    located = locate_cells(shaped)
     unique = located.groupBy(*ids, "x", "y", "pos").agg(F.max("value").alias("value"))
     gathered = unique.groupBy(*ids, "x", "y").agg(
         F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("found")

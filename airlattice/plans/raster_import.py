@@ -9,7 +9,7 @@ from airlattice.operators.tiling import split_rasters, with_tile_key
 from airlattice.schemas import RASTER_META, TILE_LENGTH, TILES
 from airlattice.session import stage
 from airlattice.sources.rasters import read_asc, with_name_parts
-from airlattice.sources.tile_store import upsert_meta, upsert_tiles
+from airlattice.sources.tile_store import keep_last, upsert_meta, upsert_tiles
 
 
 def raster_tiles(
@@ -42,17 +42,7 @@ def import_rasters(
     staging folder. Only if there are two such files are tiles compared with each other; else they
     are shuffled once, for the write."""
     tiles = stage(raster_tiles(spark, paths, region_dim, start, end, tile_length), "import")
-    last_path = tiles.groupBy("region_no").agg(F.max("path").alias("path"))
-    meta = (
-        tiles.join(last_path, ["region_no", "path"], "left_semi")
-        .groupBy("region_no")
-        .agg(*[F.max(c).alias(c) for c in RASTER_META.fieldNames() if c != "region_no"])
-    )
-    upsert_meta(meta, meta_path)
-    upsert_tiles(tiles, tiles_path, order_by=["path"] if _has_rival_files(tiles) else ())
-
-
-def _has_rival_files(tiles: DataFrame) -> bool:
-    subject = ["region_no", "pollutant", "ts"]
-    files = tiles.select(*subject, "path").distinct().groupBy(*subject).count()
-    return not files.where("count > 1").isEmpty()
+    files = tiles.select(*RASTER_META.fieldNames(), "pollutant", "ts", "path").distinct()
+    upsert_meta(keep_last(files, ["region_no"], ["path"]), meta_path)
+    rivals = files.groupBy("region_no", "pollutant", "ts").count().where("count > 1")
+    upsert_tiles(tiles, tiles_path, order_by=() if rivals.isEmpty() else ["path"])

@@ -28,16 +28,24 @@ def order_facts(spark, sf_dir):
     return olap.with_time_levels(orders)
 
 
-def placed_facts(spark, sf_dir):
-    """Orders with the place of their customer."""
+def places(spark, sf_dir):
+    """Country, province and city of every customer."""
     customer, nation, region = (st.table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
-    places = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
+    return customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(
         region, F.col("n_regionkey") == F.col("r_regionkey")
     ).select(
         F.col("c_custkey").alias("o_custkey"), F.lit("world").alias("country"),
         F.col("r_name").alias("province"), F.col("n_name").alias("city"),
     )
-    return order_facts(spark, sf_dir).join(places, "o_custkey")
+
+
+def _by_place(operator, *question):
+    """An operator over orders whose levels are those of their customer."""
+
+    def ask(spark, sf_dir):
+        return operator(order_facts(spark, sf_dir), *question, "o_totalprice", places(spark, sf_dir), "o_custkey")
+
+    return ask
 
 
 def rollup_time(spark, sf_dir):
@@ -45,12 +53,11 @@ def rollup_time(spark, sf_dir):
 
 
 def rollup_space(spark, sf_dir):
-    return _rounded(olap.roll_up_all(placed_facts(spark, sf_dir), [SPACE], "o_totalprice"), *SPACE, "grouping_id")
+    return _rounded(_by_place(olap.roll_up_all, [SPACE])(spark, sf_dir), *SPACE, "grouping_id")
 
 
 def cube_time_space(spark, sf_dir):
-    facts = placed_facts(spark, sf_dir)
-    both = olap.roll_up_all(facts, [["year", "month"], ["province", "city"]], "o_totalprice")
+    both = _by_place(olap.roll_up_all, [["year", "month"], ["province", "city"]])(spark, sf_dir)
     return _rounded(both, "year", "month", "province", "city", "grouping_id")
 
 
@@ -70,7 +77,7 @@ def roll_up_step(spark, sf_dir):
 
 def roll_up_cities(spark, sf_dir):
     """From cities one step up to provinces."""
-    return _rounded(olap.roll_up(placed_facts(spark, sf_dir), "space", "city", "o_totalprice"), "country", "province")
+    return _rounded(_by_place(olap.roll_up, "space", "city")(spark, sf_dir), "country", "province")
 
 
 def drill_down_time(spark, sf_dir):
@@ -80,9 +87,7 @@ def drill_down_time(spark, sf_dir):
 
 def drill_down_space(spark, sf_dir):
     """The cities of one province."""
-    return _rounded(
-        olap.drill_down(placed_facts(spark, sf_dir), "space", "province", "ASIA", "o_totalprice"), "province", "city"
-    )
+    return _rounded(_by_place(olap.drill_down, "space", "province", "ASIA")(spark, sf_dir), "province", "city")
 
 
 _FACTS_SQL = """facts AS (

@@ -146,7 +146,7 @@ TILE_MEAN_SQL = """means AS (
 
 
 def raster_cells(spark, sf_dir) -> DataFrame:
-    """region_no, row, col, value."""
+    """region_no, row, col, value and the shape, the same for all."""
     size = RASTER_COLS * RASTER_ROWS
     place = F.col("o_orderkey") % size
     price = F.col("o_totalprice")
@@ -155,6 +155,9 @@ def raster_cells(spark, sf_dir) -> DataFrame:
         F.floor(place / RASTER_COLS).cast("int").alias("row"),
         (place % RASTER_COLS).cast("int").alias("col"),
         F.when(price < 20000, RASTER_NODATA).otherwise(price).cast("float").alias("value"),
+        F.lit(RASTER_COLS).alias("ncols"),
+        F.lit(RASTER_ROWS).alias("nrows"),
+        F.lit(RASTER_LENGTH).alias("tile_length"),
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from airlattice.functions.keys import region_key_range
+from airlattice.joins import keep_matching
 from airlattice.schemas import RASTER_META, TILES
 from airlattice.session import stage
 
@@ -153,10 +154,10 @@ def get_tiles(tiles: DataFrame, keys, keep_missing: bool = False) -> DataFrame:
         if not keep_missing:
             return tiles.where(F.col("tile_key").isin(list(keys)))
         keys = tiles.sparkSession.createDataFrame([(k,) for k in keys], "tile_key bigint")
-    keys = keys.select("tile_key").distinct()
+    found = keep_matching(tiles, keys, "tile_key")
     if keep_missing:
-        return keys.join(tiles, "tile_key", "left").select(*tiles.columns)
-    return tiles.join(keys, "tile_key", "left_semi")
+        return keys.select("tile_key").distinct().join(found, "tile_key", "left").select(*tiles.columns)
+    return found
 
 
 # --- raster metadata ------------------------------------------------------------------------
