@@ -86,6 +86,33 @@ def split_rasters(rasters: DataFrame, tile_length: int) -> DataFrame:
     return _numbered(tiles.withColumn("tile_length", length))
 
 
+def split_raster_rows(rows: DataFrame, tile_length: int) -> DataFrame:
+    """Tiles of rasters that come one row per raster row (see ``read_asc_rows``), for rasters too
+    large for one task. What is shuffled are row pieces one tile wide; a tile gathers at most
+    ``tile_length`` of them. The same columns come out as from ``split_rasters``."""
+    length = F.lit(tile_length)
+    carried = [c for c in rows.columns if c not in ("row", "values")]
+    ragged = F.raise_error(F.concat(F.lit("raster rows do not hold ncols values: "), F.col("path")))
+    checked = F.when(F.size("values") == F.col("ncols"), F.col("values")).otherwise(ragged.cast("array<float>"))
+    up = F.col("nrows") - 1 - F.col("row")
+    placed = rows.withColumn("values", checked).withColumn("y", F.floor(up / length).cast("int"))
+    numbered = placed.withColumn("i", tile_side(F.col("nrows"), length, F.col("y")) - 1 - up % length)
+    pieces = numbered.select(
+        *carried, "y", "i",
+        F.posexplode(
+            F.transform(
+                F.sequence(F.lit(0), F.ceil(F.col("ncols") / length).cast("int") - 1),
+                lambda x: F.slice("values", x * length + 1, tile_side(F.col("ncols"), length, x)),
+            )
+        ).alias("x", "cells"),
+    )
+    gathered = pieces.groupBy(*carried, "x", "y").agg(F.sort_array(F.collect_list(F.struct("i", "cells"))).alias("pieces"))
+    short = F.raise_error(F.concat(F.lit("raster does not hold nrows rows: "), F.col("path"))).cast("array<float>")
+    whole = F.size("pieces") == tile_side(F.col("nrows"), length, F.col("y"))
+    data = F.when(whole, F.flatten("pieces.cells")).otherwise(short)
+    return _numbered(gathered.select(*carried, "x", "y", data.alias("data")).withColumn("tile_length", length))
+
+
 def locate_cells(cells: DataFrame) -> DataFrame:
     """Add tile (x, y), tile height and width and the position inside the tile to cells that
     carry row (0 = top), col, ncols, nrows and tile_length."""

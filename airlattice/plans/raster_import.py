@@ -5,26 +5,45 @@ from pyspark.sql import functions as F
 
 from airlattice.functions.timebuckets import epoch_seconds
 from airlattice.operators.regions import resolve_region
-from airlattice.operators.tiling import split_rasters, with_tile_key
+from airlattice.operators.tiling import split_raster_rows, split_rasters, with_tile_key
 from airlattice.schemas import RASTER_META, TILE_LENGTH, TILES
 from airlattice.session import stage
-from airlattice.sources.rasters import read_asc, with_name_parts
+from airlattice.sources.rasters import MAX_WHOLE_FILE, list_rasters, read_asc, read_asc_rows, with_name_parts
 from airlattice.sources.tile_store import keep_last, upsert_meta, upsert_tiles
 
 
 def raster_tiles(
-    spark: SparkSession, paths, region_dim: DataFrame, start: str, end: str, tile_length: int = TILE_LENGTH
+    spark: SparkSession,
+    paths,
+    region_dim: DataFrame,
+    start: str,
+    end: str,
+    tile_length: int = TILE_LENGTH,
+    max_whole_file: int = MAX_WHOLE_FILE,
 ) -> DataFrame:
     """Tiles of all raster files named within [start, end] (compared as text), with the columns
-    of the tile table, the raster metadata and the file path. No shuffle."""
-    named = with_name_parts(read_asc(spark, paths)).where(F.col("time").between(start, end))
-    resolved = resolve_region(named, region_dim)
-    unknown = F.raise_error(F.concat(F.lit("no region code for "), F.col("path"))).cast("bigint")
-    numbered = resolved.withColumn("region_no", F.coalesce("region_no", unknown))
-    tiles = with_tile_key(split_rasters(numbered, tile_length))
-    timed = tiles.withColumn("ts", F.timestamp_seconds(epoch_seconds(F.col("time"))))
-    columns = [*TILES.fieldNames(), *[c for c in RASTER_META.fieldNames() if c != "region_no"]]
-    return timed.select(*columns, "path")
+    of the tile table, the raster metadata and the file path.
+
+    Rasters are cut where they are read, without shuffle; only files too large for one task are
+    read in splits and their tiles gathered by a shuffle.
+    """
+
+    def numbered(rasters: DataFrame) -> DataFrame:
+        named = with_name_parts(rasters).where(F.col("time").between(start, end))
+        resolved = resolve_region(named, region_dim)
+        unknown = F.raise_error(F.concat(F.lit("no region code for "), F.col("path"))).cast("bigint")
+        return resolved.withColumn("region_no", F.coalesce("region_no", unknown))
+
+    def finished(tiles: DataFrame) -> DataFrame:
+        timed = with_tile_key(tiles).withColumn("ts", F.timestamp_seconds(epoch_seconds(F.col("time"))))
+        return timed.select(*TILES.fieldNames(), *[c for c in RASTER_META.fieldNames() if c != "region_no"], "path")
+
+    tiles = finished(split_rasters(numbered(read_asc(spark, paths, max_whole_file)), tile_length))
+    large = list_rasters(spark, paths).where(F.col("size") > max_whole_file)
+    if large.isEmpty():
+        return tiles
+    rows = numbered(read_asc_rows(spark, paths, max_whole_file))
+    return tiles.unionByName(finished(split_raster_rows(rows, tile_length)))
 
 
 def import_rasters(

@@ -169,6 +169,32 @@ def read_asc_files(spark, sf_dir):
     )
 
 
+def read_asc_splits(spark, sf_dir):
+    """The same rows, read line by line in splits."""
+    rows = files.with_name_parts(files.read_asc_rows(spark, raster_files(spark, sf_dir)))
+    return rows.select(
+        "province", "city", "time", "pollutant", *_big("ncols", "nrows"), "xll", "yll", "cellsize", "nodata", *_big("row"),
+        F.size("values").cast("bigint").alias("n"),
+        F.round(F.aggregate("values", F.lit(0.0), lambda a, v: a + v), 2).alias("total"),
+    )
+
+
+def _file_tiles(tiles):
+    return files.with_name_parts(tiles).select(
+        "province", "city", "time", *_big("tile_code"), F.size("data").cast("bigint").alias("n"), _total()
+    )
+
+
+def split_files(spark, sf_dir):
+    """Tiles cut from whole files, without a shuffle."""
+    return _file_tiles(tiling.split_rasters(files.read_asc(spark, raster_files(spark, sf_dir)), st.RASTER_LENGTH))
+
+
+def split_file_rows(spark, sf_dir):
+    """The same tiles from files read in splits."""
+    return _file_tiles(tiling.split_raster_rows(files.read_asc_rows(spark, raster_files(spark, sf_dir)), st.RASTER_LENGTH))
+
+
 _READ_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
 SELECT province, city, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, 'pm25' AS pollutant, 50 AS ncols, 30 AS nrows, xll, yll,
        0.125::DOUBLE AS cellsize, -9999.0::DOUBLE AS nodata, "row", count(*) AS n, round(sum(value::DOUBLE), 2) AS total
@@ -226,6 +252,10 @@ def named_heat_map(spark, sf_dir):
     )
 
 
+_FILE_TILES_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
+SELECT province, city, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, tile_code, count(*) AS n, round(sum(value::DOUBLE), 2) AS total
+FROM located JOIN named USING (region_no) GROUP BY ALL"""
+
 _IMPORT_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
 SELECT ((k % 2 + 1) * 100 + k % 10 + 1) * 100000 + tile_code AS tile_key, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts,
        'pm25' AS pollutant, 50 AS ncols, 16 AS tile_length, count(*) AS n, round(sum(value::DOUBLE), 2) AS total
@@ -318,6 +348,9 @@ SELECT region_no, "row", col, code FROM cells JOIN codes ON col = x0 AND "row" =
     ),
     "asc_lines": (asc_lines, _ASC_SQL),
     "read_asc_files": (read_asc_files, _READ_SQL),
+    "read_asc_splits": (read_asc_splits, _READ_SQL),
+    "split_files": (split_files, _FILE_TILES_SQL),
+    "split_file_rows": (split_file_rows, _FILE_TILES_SQL),
     "raster_import": (raster_import, _IMPORT_SQL),
     "named_time_query": (
         named_time_query,

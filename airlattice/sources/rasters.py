@@ -2,6 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from airlattice.joins import MAX_BROADCAST_KEYS, broadcast_if_small
+from airlattice.session import stage
 
 # Fixed value: raster names are province[%city]#yyyy-MM-ddHhh#pollutant, a missing city being
 # the province itself.
@@ -10,13 +14,35 @@ NAME_PATTERN = r"^([^%#]+)(?:%([^#]+))?#(\d{4}-\d{2}-\d{2})H(\d{2})#([^.#]+)$"
 _HEADER_LINE = r"^\s*[A-Za-z_]+\s"
 
 
+# Files above this size are read line by line in many tasks instead of as one record.
+MAX_WHOLE_FILE = 256 * 1024 * 1024
+
+# Header keys in lower case, with the column each of them fills.
+HEADER_KEYS = {
+    "ncols": ("ncols",),
+    "nrows": ("nrows",),
+    "xll": ("xllcorner", "xllcenter"),
+    "yll": ("yllcorner", "yllcenter"),
+    "cellsize": ("cellsize", "dx", "dy"),
+    "nodata": ("nodata_value",),
+}
+HEADER_TYPES = {"ncols": "int", "nrows": "int"}
+
+
+def _file_path():
+    return F.url_decode("_metadata.file_path")
+
+
+def _is_part_file():
+    return _file_path().rlike(r"/part-\d+[^/]*$")
+
+
 def _raster_name():
     """Name of the raster a file holds: the file's own, or of its folder for Spark part files."""
-    path = F.url_decode("_metadata.file_path")
-    file = F.regexp_extract(path, r"([^/]+?)(\.[A-Za-z]+)?$", 1)
-    folder = F.regexp_extract(path, r"/(?:raster=)?([^/]+)/[^/]+$", 1)
+    file = F.regexp_extract(_file_path(), r"([^/]+?)(\.[A-Za-z]+)?$", 1)
+    folder = F.regexp_extract(_file_path(), r"/(?:raster=)?([^/]+)/[^/]+$", 1)
     # partition folders escape special characters once more
-    return F.when(file.rlike(r"^part-\d+"), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(file)
+    return F.when(_is_part_file(), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(file)
 
 
 def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
@@ -33,55 +59,95 @@ def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
 
 
 def list_rasters(spark: SparkSession, paths) -> DataFrame:
-    """(path, name) of all raster files below the paths; no file is opened."""
+    """(path, name, size) of all raster files below the paths; no file is opened."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select(F.url_decode("_metadata.file_path").alias("path"), _raster_name().alias("name"))
+    return files.select(_file_path().alias("path"), _raster_name().alias("name"), F.col("_metadata.file_size").alias("size"))
+
+
+def _header_columns(value_of):
+    """The header columns, from a function that gives the number under a key, if any."""
+    columns = []
+    for name, keys in HEADER_KEYS.items():
+        missing = F.raise_error(F.concat(F.lit(f"no {keys[0]} in the header of "), F.col("path"))).cast("double")
+        number = F.coalesce(*[value_of(key) for key in keys], missing)
+        columns.append(number.cast(HEADER_TYPES.get(name, "double")).alias(name))
+    return columns
 
 
-def read_asc(spark: SparkSession, paths) -> DataFrame:
+def _word(line, index: int):
+    return F.get(F.split(F.trim(line), r"\s+"), F.lit(index))
+
+
+def read_asc(spark: SparkSession, paths, max_size: int = None) -> DataFrame:
     """One row per raster: path, name, ncols, nrows, xll, yll, cellsize, nodata, lines.
 
-    A file is one record, so it must fit a task; parallelism comes from the number of files.
-    Header lines are taken by key in any case and order, and end at the first line that starts
-    with a number. ``lines`` is the raster body, top row first, still as text.
+    A file is one record, so it must fit a task (with ``max_size``, larger files are left out; see
+    ``read_asc_rows``); parallelism comes from the number of files. Header lines are taken by key
+    in any case and order, and end at the first line that starts with a number. ``lines`` is the
+    raster body, top row first, still as text.
     """
     files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
+    if max_size is not None:
+        files = files.where(F.col("_metadata.file_size") <= max_size)
     split = files.select(
-        F.url_decode("_metadata.file_path").alias("path"),
+        _file_path().alias("path"),
         _raster_name().alias("name"),
         F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "").alias("all_lines"),
     )
     header_lines = F.filter("all_lines", lambda line: line.rlike(_HEADER_LINE))
+    entries = F.transform(header_lines, lambda line: F.struct(F.lower(_word(line, 0)), _word(line, 1)))
     parted = split.select(
         "path",
         "name",
-        F.map_from_entries(
-            F.transform(
-                header_lines,
-                lambda line: F.struct(
-                    F.lower(F.get(F.split(F.trim(line), r"\s+"), F.lit(0))),
-                    F.get(F.split(F.trim(line), r"\s+"), F.lit(1)),
-                ),
-            )
-        ).alias("header"),
+        F.map_from_entries(entries).alias("header"),
         F.slice("all_lines", F.size(header_lines) + 1, F.size("all_lines")).alias("lines"),
     )
+    numbers = _header_columns(lambda key: F.try_element_at("header", F.lit(key)).cast("double"))
+    return parted.select("path", "name", *numbers, "lines")
 
-    def number(*keys):
-        found = F.coalesce(*[F.try_element_at("header", F.lit(k)) for k in keys])
-        missing = F.raise_error(F.concat(F.lit(f"no {keys[0]} in the header of "), F.col("path")))
-        return F.coalesce(found, missing.cast("string"))
 
-    return parted.select(
-        "path",
-        "name",
-        number("ncols").cast("int").alias("ncols"),
-        number("nrows").cast("int").alias("nrows"),
-        number("xllcorner", "xllcenter").cast("double").alias("xll"),
-        number("yllcorner", "yllcenter").cast("double").alias("yll"),
-        number("cellsize", "dx", "dy").cast("double").alias("cellsize"),
-        number("nodata_value").cast("double").alias("nodata"),
-        "lines",
+def read_asc_rows(spark: SparkSession, paths, min_size: int = None) -> DataFrame:
+    """One row per raster row, as from ``raster_rows(read_asc(...))``, for rasters of any size.
+
+    Files are read in splits by many tasks, and the part files of one folder make up one raster
+    (see ``write_asc``). Lines are staged with the place they were read at; a line's number is the
+    number of lines in the splits before its own plus its place in that split. ``min_size``
+    leaves out files up to that size.
+    """
+    files = spark.read.option("recursiveFileLookup", True).text(paths)
+    if min_size is not None:
+        files = files.where(F.col("_metadata.file_size") > min_size)
+    raster = F.when(_is_part_file(), F.regexp_extract(_file_path(), r"^(.*)/[^/]+$", 1)).otherwise(_file_path())
+    placed = files.where(F.trim("value") != "").select(
+        raster.alias("path"),
+        _raster_name().alias("name"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.col("value").rlike(_HEADER_LINE).alias("is_header"),
+        "value",
+    )
+    lines = stage(placed, "raster-lines")
+
+    split = ["path", "file", "block"]
+    counted = lines.groupBy(*split).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(*split, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+
+    key, value = F.lower(_word(F.col("value"), 0)), _word(F.col("value"), 1).try_cast("double")
+    known = [k for keys in HEADER_KEYS.values() for k in keys]
+    headers = (
+        lines.where("is_header")
+        .groupBy("path")
+        .agg(F.count(F.lit(1)).alias("header_lines"), *[F.max(F.when(key == k, value)).alias(f"header_{k}") for k in known])
+    )
+    headers = headers.select("path", "header_lines", *_header_columns(lambda k: F.col(f"header_{k}")))
+
+    body = lines.where("not is_header").join(broadcast_if_small(starts, MAX_BROADCAST_KEYS), split)
+    joined = body.join(broadcast_if_small(headers, MAX_BROADCAST_KEYS), "path")
+    row = F.col("place") + F.col("shift") - F.col("header_lines")
+    return joined.select(
+        "path", "name", *HEADER_KEYS, row.cast("int").alias("row"), F.split(F.trim("value"), r"\s+").cast("array<float>").alias("values")
     )
 
 
@@ -93,7 +159,8 @@ def raster_rows(rasters: DataFrame) -> DataFrame:
 
 
 def write_asc(text: DataFrame, path: str) -> None:
-    """Raster text (line, value) of one raster as ordered part files that read as one."""
+    """Raster text (line, value) of one raster as ordered part files that read as one, by
+    concatenation or ``read_asc_rows``."""
     text.orderBy("line").select("value").write.mode("overwrite").text(path)
 
 
@@ -101,7 +168,7 @@ def write_asc_files(text: DataFrame, path: str) -> None:
     """Raster text (raster, line, value) of many rasters, one file each, in folders ``raster=name``.
 
     A raster is one file by its format, so its lines meet in one task; all rasters are written
-    side by side.
+    side by side. A raster too large for that goes to ``write_asc``.
     """
     (
         text.repartition("raster")

@@ -54,6 +54,39 @@ def test_reading_both_headers(spark, folder):
     assert {r.name for r in files.list_rasters(spark, folder).collect()} == set(got)
 
 
+def test_reading_in_splits(spark, folder, tmp_path):
+    key = lambda df: sorted(tuple(map(str, r)) for r in df.select("name", "row", "nodata", "xll", "values").collect())
+    whole = files.raster_rows(files.read_asc(spark, folder))
+    assert key(files.read_asc_rows(spark, folder)) == key(whole)
+    settings = {"spark.sql.files.maxPartitionBytes": "40", "spark.sql.files.openCostInBytes": "0"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        split = files.read_asc_rows(spark, folder)
+        assert spark.read.option("recursiveFileLookup", True).text(folder).rdd.getNumPartitions() > 15
+        assert key(split) == key(whole)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
+    tile_key = lambda df: sorted((r.name, r.x, r.y, r.tile_code, tuple(r.data), r.props) for r in df.collect())
+    cut = tiling.split_rasters(files.read_asc(spark, folder), 2)
+    by_rows = tiling.split_raster_rows(split, 2)
+    assert sorted(cut.columns) == sorted(by_rows.columns)
+    assert tile_key(by_rows) == tile_key(cut)
+    with pytest.raises(Exception, match="nrows rows"):
+        tiling.split_raster_rows(split.where("row <> 3"), 2).collect()
+    assert files.read_asc(spark, folder, max_size=10).count() == 0
+
+
+def test_large_files_take_the_other_way(spark, folder, region_dim):
+    tiles = lambda limit: sorted(
+        map(str, raster_import.raster_tiles(spark, folder, region_dim, "2016-05-01", "2016-05-02", 2, limit).collect())
+    )
+    sizes = {r.size for r in files.list_rasters(spark, folder).collect()}
+    assert min(sizes) < max(sizes)
+    assert tiles(min(sizes)) == tiles(0) == tiles(10**9)
+
+
 def test_names(spark):
     names = spark.createDataFrame([("A%B#2016-05-01H07#pm25",), ("A#2016-05-01H07#co",)], "name string")
     got = [tuple(r)[1:] for r in files.with_name_parts(names).orderBy(F.desc("name")).collect()]
@@ -127,10 +160,17 @@ def test_written_rasters_read_back(spark, tmp_path, folder):
     assert key(again) == key(read)
 
     one = text.where("raster like '%H05%'")
-    files.write_asc(one, str(tmp_path / "one"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_asc(one, str(tmp_path / "one"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     parts = sorted((tmp_path / "one").glob("part-*"))
     lines = "".join(p.read_text() for p in parts).splitlines()
     assert len(lines) == 12 and lines[0] == "NCOLS 5" and lines[7].startswith("31.0 32.0")
+    assert len(parts) > 1
+    again = files.read_asc_rows(spark, str(tmp_path / "one")).orderBy("row").collect()
+    assert [list(r["values"]) for r in again] == [[v + 10.0 for v in row] for row in GRID]
 
     files.write_single_csv(spark.createDataFrame([("2016", 1.5)], "bucket string, mean double"), str(tmp_path / "csv"))
     assert [p.read_text() for p in (tmp_path / "csv").glob("part-*")] == ["2016,1.5\n"]
