@@ -201,9 +201,8 @@ SELECT province, city, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, 'pm25' AS po
 FROM cells JOIN named USING (region_no) GROUP BY ALL"""
 
 
-@st.once
-def import_folder(spark, sf_dir) -> str:
-    """All files imported, twice, into tile and metadata tables; once per application."""
+def import_files(spark, sf_dir) -> str:
+    """All files imported, twice, into new tile and metadata tables."""
     folder = st.scratch(spark, "import")
     for _ in range(2):
         import_rasters(
@@ -213,8 +212,12 @@ def import_folder(spark, sf_dir) -> str:
     return folder
 
 
+# The imported tables the questions below share, once per application.
+import_folder = st.once(import_files)
+
+
 def raster_import(spark, sf_dir):
-    folder = import_folder(spark, sf_dir)
+    folder = import_files(spark, sf_dir)
     tiles = store.read_tiles(spark, f"{folder}/tiles").join(
         store.read_meta(spark, f"{folder}/meta").select("region_no", "ncols", "tile_length"), "region_no"
     )

@@ -47,11 +47,12 @@ def keep_last(rows: DataFrame, key, order_by) -> DataFrame:
 
 def write_tiles(tiles: DataFrame, path: str, mode: str = "append", partition_by=PARTITION_BY) -> None:
     """Write tiles. One shuffle by folder; adaptive execution splits large folders over several
-    files and packs small ones."""
+    files and packs small ones (without it, a folder is written by one task)."""
     stored = with_day(tiles).select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
+    adaptive = tiles.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    by_folder = stored.hint("rebalance", *partition_by) if adaptive else stored.repartition(*partition_by)
     (
-        stored.hint("rebalance", *partition_by)
-        .sortWithinPartitions(*partition_by, "tile_key", "ts")
+        by_folder.sortWithinPartitions(*partition_by, "tile_key", "ts")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)

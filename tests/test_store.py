@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from airlattice import joins
 from airlattice.operators import bands
 from airlattice.schemas import TILES
 from airlattice.sources import tile_store as store
@@ -63,6 +64,32 @@ def test_gets(spark, tiles):
     assert len(newest) == 8 and {str(r.ts) for r in newest} == {"2016-05-03 05:00:00"}
 
 
+def test_matching_keys_take_the_way_their_number_asks_for(spark, tiles, monkeypatch):
+    keys = spark.createDataFrame([(10100001,), (10100001,), (10200000,), (7,)], "tile_key bigint")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    want = contents(tiles.where("tile_key in (10100001, 10200000)"))
+    few = joins.keep_matching(tiles, keys, "tile_key")
+    assert contents(few) == want and "Join" not in plan(few)
+    monkeypatch.setattr(joins, "MAX_LISTED_KEYS", 1)
+    more = joins.keep_matching(tiles, keys, "tile_key")
+    assert contents(more) == want and "BroadcastHashJoin" in plan(more)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", 1)
+    most = joins.keep_matching(tiles, keys, "tile_key")
+    assert contents(most) == want and "SortMergeJoin" in plan(most)
+    assert joins.keep_matching(tiles, keys.where("false"), "tile_key").count() == 0
+
+
+def test_files_per_folder(spark, tiles, tmp_path):
+    for adaptive in ("true", "false"):
+        path = tmp_path / adaptive
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            store.write_tiles(tiles.repartition(8), str(path))
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert len(list(path.rglob("part-*.parquet"))) == len(list(path.glob("pollutant=*/day=*"))) == 6
+
+
 def test_upsert_last_write_wins(spark, tiles, tmp_path):
     path = str(tmp_path / "tiles")
     store.upsert_tiles(tiles, path)
