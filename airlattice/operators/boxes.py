@@ -15,6 +15,10 @@ from airlattice.joins import keep_matching
 from airlattice.operators.tiling import tile_count, tile_side
 
 
+# Most GeoHash cells one box is unfolded into.
+MAX_BOX_CELLS = 100_000
+
+
 class Box(NamedTuple):
     lng_min: float
     lat_min: float
@@ -141,7 +145,13 @@ def box_tile_keys(index: DataFrame, boxes: DataFrame, precision: int) -> DataFra
 
 
 def tiles_in_box_indexed(tiles: DataFrame, index: DataFrame, box: Box, precision: int) -> DataFrame:
-    """Tiles that overlap the box, found through the index table instead of by reading extents."""
+    """Tiles that overlap the box, found through the index table instead of by reading extents.
+
+    A box of very many cells is not unfolded: the index is then filtered by its extents.
+    """
+    width, height = geohash_cell_size(precision)
+    if (box.lng_max - box.lng_min) / width * (box.lat_max - box.lat_min) / height > MAX_BOX_CELLS:
+        return keep_matching(tiles, index.where(_overlaps(box)), "tile_key")
     one = tiles.sparkSession.createDataFrame(
         [(0, *[float(v) for v in box])],
         "box_id int, lng_min double, lat_min double, lng_max double, lat_max double",

@@ -158,7 +158,7 @@ def test_no_shuffle_in_raster_split(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-def test_boxes_agree_with_brute_force(spark):
+def test_boxes_agree_with_brute_force(spark, monkeypatch):
     shapes = [(1, 40, 33), (2, 17, 20)]
     length = 8
     rasters = rasters_of(spark, shapes).withColumn("xll", F.col("region_no") * 7.0)
@@ -175,6 +175,9 @@ def test_boxes_agree_with_brute_force(spark):
         direct = {r.tile_key for r in boxes.tiles_in_box(tiles, box, length).collect()}
         indexed = {r.tile_key for r in boxes.tiles_in_box_indexed(tiles, index, box, 2).collect()}
         assert direct == indexed == want
+    monkeypatch.setattr(boxes, "MAX_BOX_CELLS", 1)
+    wide = boxes.Box(-170.0, -80.0, 170.0, 80.0)
+    assert boxes.tiles_in_box_indexed(tiles, index, wide, 2).count() == tiles.count()
 
 
 def test_directory_matches_tiles(spark):
