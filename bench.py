@@ -30,7 +30,6 @@ def session() -> SparkSession:
         .appName("airlattice-bench")
         .config("spark.sql.shuffle.partitions", CPUS)
         .config("spark.driver.memory", "16g")
-        .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")  # the tables are small
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
