@@ -1,9 +1,12 @@
 """The operators over their given tables, with production parameters, as ``queries()`` registers them."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from airlattice.llm import ann, simhash
-from airlattice.llm.common import table
+from airlattice.llm import ann, bpe, packing, simhash, token_counts, token_files
+from airlattice.llm.common import shared_folder, table
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
 
 def op1_nearest(spark, sf_dir):
@@ -30,6 +33,42 @@ SELECT query_id, rank, vec_id, score FROM (
 WHERE rank <= 5"""
 
 
+def op2_packing(spark, sf_dir):
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs):
+    """The pieces' digests, numbered; the ids themselves stay where they were encoded."""
+    found = packing.pieces(docs, public_tokenizers.path(WORD_BPE), end_id=1, max_length=2048)
+    digests = found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.number_sequences(digests).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op4_bpe(spark, sf_dir):
+    path = public_tokenizers.path(BYTE_BPE)
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op5_token_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    path = shared_folder(spark, "token-files")
+    token_files.write(docs, path, public_tokenizers.path(BYTE_BPE), end_id=0)
+    return token_files.read_with_starts(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op6_token_counts(spark, sf_dir):
+    found = token_counts.lengths(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return token_counts.histogram(found)
+
+
 def op7_simhash(spark, sf_dir):
     found = simhash.near_copies(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -37,6 +76,10 @@ def op7_simhash(spark, sf_dir):
 
 QUERIES = {
     "op1_nearest": (op1_nearest, OP1_SQL),
+    "op2_packing": (op2_packing, None),
+    "op4_bpe": (op4_bpe, None),
+    "op5_token_files": (op5_token_files, None),
+    "op6_token_counts": (op6_token_counts, None),
     "op7_simhash": (op7_simhash, None),
 }
 
