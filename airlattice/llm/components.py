@@ -32,7 +32,8 @@ def components(pairs: DataFrame) -> DataFrame:
     folder, which cuts the lineage. Rows stay at most the number of links, and least neighbours
     are pre-aggregated, so a hub is no hot group.
     """
-    edges = stage(_small_star(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))), "links")
+    edges = stage(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")), "pairs")
+    edges = stage(_small_star(edges), "links")
     before = _state(edges)
     while before[0]:
         edges = stage(_small_star(_large_star(edges)), "links")

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from airlattice.llm import ann, bpe, packing, simhash, token_counts, token_files
+from airlattice.llm import ann, bpe, packing, quality, simhash, token_counts, token_files
 from airlattice.llm.common import shared_folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -46,6 +46,13 @@ def packed(docs):
     )
 
 
+def op3_quality(spark, sf_dir):
+    found = quality.verdicts(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op4_bpe(spark, sf_dir):
     path = public_tokenizers.path(BYTE_BPE)
     found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -77,6 +84,7 @@ def op7_simhash(spark, sf_dir):
 QUERIES = {
     "op1_nearest": (op1_nearest, OP1_SQL),
     "op2_packing": (op2_packing, None),
+    "op3_quality": (op3_quality, None),
     "op4_bpe": (op4_bpe, None),
     "op5_token_files": (op5_token_files, None),
     "op6_token_counts": (op6_token_counts, None),
