@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from airlattice.llm import ann, bpe, packing, quality, simhash, token_counts, token_files
+from airlattice.llm import ann, bpe, language, packing, quality, simhash, token_counts, token_files, toxicity
 from airlattice.llm.common import shared_folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -81,6 +81,14 @@ def op7_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_language(spark, sf_dir):
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_nearest": (op1_nearest, OP1_SQL),
     "op2_packing": (op2_packing, None),
@@ -89,6 +97,8 @@ QUERIES = {
     "op5_token_files": (op5_token_files, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_simhash": (op7_simhash, None),
+    "op9_language": (op9_language, None),
+    "op10_toxicity": (op10_toxicity, None),
 }
 
 
