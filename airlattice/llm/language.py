@@ -29,7 +29,7 @@ UNKNOWN = "und"
 # A trigram is at home where it was seen that often, has that share of the language's trigrams, and
 # at least that part of its largest share anywhere. The share bounds a language's trigrams, and with
 # them the filter that is broadcast, whatever the corpus.
-MIN_COUNT, MIN_SHARE, MIN_PART = 3, 1e-6, 0.1
+MIN_COUNT, MIN_SHARE, MIN_PART = 3, 1e-6, 0.3
 HASHES, SLOTS_PER_GRAM = 4, 16
 WORD_BITS = 64
 # Texts are joined and worked on together up to about this many characters.

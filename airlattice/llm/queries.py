@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from airlattice.llm import ann, bpe, language, packing, quality, simhash, token_counts, token_files, toxicity
+from airlattice.llm import ann, bpe, language, packing, quality, simhash, suffix_tree, token_counts, token_files, toxicity
 from airlattice.llm.common import shared_folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -81,6 +81,11 @@ def op7_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_suffix_tree(spark, sf_dir):
+    found = suffix_tree.held_out_scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_language(spark, sf_dir):
     return language.predicted(table(spark, sf_dir, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES = {
     "op5_token_files": (op5_token_files, None),
     "op6_token_counts": (op6_token_counts, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_suffix_tree": (op8_suffix_tree, None),
     "op9_language": (op9_language, None),
     "op10_toxicity": (op10_toxicity, None),
 }
