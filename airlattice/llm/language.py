@@ -57,7 +57,9 @@ def trigrams(texts: list[str]):
     codes, owner = codes[keep].astype(np.uint64), owner[keep]
     letters = np.bincount(owner, is_letter[keep], minlength=len(texts)) > 0
     keys = codes[:-2] | codes[1:-1] << np.uint64(21) | codes[2:] << np.uint64(42)
-    return keys, owner[1:-1], letters  # a trigram belongs to its middle character's text
+    # A trigram belongs to its middle character's text; around a space both letters must be of one.
+    inside = (codes[1:-1] != 32) | (owner[:-2] == owner[2:])
+    return keys[inside], owner[1:-1][inside], letters
 
 
 def _steps(texts: list[str]):
