@@ -14,10 +14,16 @@ from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 # Words kept per generation (about 220 bytes each), and texts handled at once.
-KEPT_WORDS = 500_000
-SLICE = 500
+KEPT_WORDS = 200_000
+SLICE = 250
 _SPLIT = re.compile(r"(?<=\S) ")
 _UNSAFE = re.compile(r"\s ")
+# Parts of letter runs, points and line ends fall apart into those whatever the context: they are
+# different kinds of characters to the tokenizer, and none of them is an apostrophe.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_POINTS = ".,;:!?"
+_SIMPLE = re.compile(f"[{_LETTERS}]+[{_POINTS}]*(?:\n[{_LETTERS}]+[{_POINTS}]*)*")
+_RUNS = re.compile(f"[{_LETTERS}]+|[{_POINTS}]+|\n")
 
 
 class WordEncoder:
@@ -29,11 +35,39 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
         # Whether a space belongs to the word after it, or is dropped.
         self.spaces_count = self._ids([" a"]) != self._ids(["a"])
-        # Words after a space, and words at the start of a text.
+        self.lowers = self._ids(["A"]) == self._ids(["a"])
+        # Parts after a space (newer and older), and parts at the start of a text or inside a part.
         self.words, self.older = {}, {}
-        self.heads = {}
+        self.heads = {} if self.spaces_count else self.words
+        self.prefix = " " if self.spaces_count else ""
+        self.letters = self._plain_letters()
+
+    def _plain_letters(self) -> dict | None:
+        """How a letter is written in the vocabulary, None if letter runs need the whole tokenizer."""
+        parts = self.tokenizer.pre_tokenizer
+        written = {c: parts.pre_tokenize_str(chr(c))[0][0] for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7)}
+        tried = ["wordsÀÉßÿ", "Wordéà"]
+        self.space_sign = parts.pre_tokenize_str(" a")[0][0][:-1] if self.spaces_count else ""
+        self.letters = written
+        plain = [self._run(self.prefix + t) for t in tried] == self._ids([self.prefix + t for t in tried])
+        return written if plain else None
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        return [array("I", encoding.ids).tobytes() for encoding in found]
+
+    def _run(self, run: str) -> bytes:
+        """Ids of a run of plain letters: one word for the model, straight from it."""
+        word = run.lower() if self.lowers else run
+        sign = ""
+        if word[0] == " ":
+            sign, word = self.space_sign, word[1:]
+        if not word.isascii():
+            word = word.translate(self.letters)
+        return array("I", [token.id for token in self.model.tokenize(sign + word)]).tobytes()
 
     def _cut(self, text: str) -> list[str]:
         if self.spaces_count and _UNSAFE.search(text):
@@ -42,44 +76,55 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [self._cut(text) for text in texts]
-        heads = self.heads if self.spaces_count else None
         wanted: set = set()
-        if heads is None:
-            for parts in cut:
-                wanted.update(parts)
-        else:
-            firsts = {parts[0] for parts in cut}
-            for parts in cut:
-                wanted.update(parts[1:])
-            fresh = [w for w in firsts if w not in heads]
-            heads.update(zip(fresh, self._ids(fresh)))
-        self._learn(wanted)
-        get = self.words.__getitem__
-        if heads is None:
-            found = [b"".join(map(get, parts)) for parts in cut]
-        else:
-            found = [heads[parts[0]] + b"".join(map(get, parts[1:])) for parts in cut]
+        for parts in cut:
+            wanted.update(parts[1:])
+        self._learn_heads({parts[0] for parts in cut})
+        self._learn_words(wanted)
+        word, head = self.words.__getitem__, self.heads.__getitem__
+        found = [head(parts[0]) + b"".join(map(word, parts[1:])) for parts in cut]
         if len(self.words) > KEPT_WORDS:
-            self.words, self.older = {}, self.words
+            self.older = self.words
+            self.words = {}
+            if not self.spaces_count:
+                self.heads = self.words
         if len(self.heads) > KEPT_WORDS:
             self.heads = {}
         return found
 
-    def _learn(self, wanted: set) -> None:
+    def _learn_heads(self, wanted: set) -> None:
+        fresh = [part for part in wanted if part not in self.heads]
+        self.heads.update(zip(fresh, self._ids(fresh)))
+
+    def _learn_words(self, wanted: set) -> None:
         words, older = self.words, self.older
-        fresh = []
-        for word in wanted.difference(words):
-            ids = older.get(word)
-            if ids is None:
-                fresh.append(word)
+        odd = []
+        for part in wanted.difference(words):
+            ids = older.get(part)
+            if ids is not None:
+                words[part] = ids
+            elif self.letters is not None and _SIMPLE.fullmatch(part):
+                words[part] = self._composed(part)
             else:
-                words[word] = ids
-        prefix = " " if self.spaces_count else ""
-        words.update(zip(fresh, self._ids([prefix + word for word in fresh])))
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", encoding.ids).tobytes() for encoding in found]
+                odd.append(part)
+        words.update(zip(odd, self._ids([self.prefix + part for part in odd])))
+
+    def _composed(self, part: str) -> bytes:
+        runs = _RUNS.findall(part)
+        first = self.words.get(runs[0]) or self.older.get(runs[0])
+        if first is None:
+            first = self._run(self.prefix + runs[0])
+            if len(runs) > 1:
+                self.words[runs[0]] = first
+        if len(runs) == 1:
+            return first
+        found = [first]
+        for run in runs[1:]:
+            ids = self.heads.get(run)
+            if ids is None:
+                ids = self.heads[run] = self._run(run) if run[0].isalpha() else self._ids([run])[0]
+            found.append(ids)
+        return b"".join(found)
 
 
 _encoders: dict = {}
@@ -99,6 +144,12 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def batch_slices(batch, size: int = SLICE):
+    """An Arrow batch in steps, so that few of its texts are held as strings at a time."""
+    for at in range(0, batch.num_rows, size):
+        yield batch.slice(at, size)
+
+
 def slices(items: list, size: int = SLICE):
     for at in range(0, len(items), size):
         yield items[at : at + size]

@@ -10,9 +10,11 @@ from airlattice.llm.common import stage
 def running_total(df: DataFrame, order: list[Column], weight: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``weight`` over all rows before it in ``order``.
 
-    Rows are dealt by range and written once, so that their parts stay what they are; the parts'
+    The bounds of the ranges are sampled from the rows, so these are written first, not computed
+    twice. Rows are dealt by range and written, so that their parts stay what they are; the parts'
     totals (one row each) are summed, and within a part a window does the rest.
     """
+    df = stage(df, "rows")
     parts = stage(df.withColumn("__w", weight).repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     totals = parts.groupBy("__part").agg(F.sum("__w").alias("__sum"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.encode import encoder, slices, vocabulary
+from airlattice.llm.encode import batch_slices, encoder, vocabulary
 from airlattice.llm.numbering import running_total
 
 MAX_LENGTH = 2048
@@ -39,10 +39,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int | None = 1, max_len
     def run(batches):
         own = encoder(words)
         for batch in batches:
-            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()))
-            for part in slices(rows):
+            for part in batch_slices(batch):
                 ids, starts, sizes, data, totals = [], [], [], [], []
-                for (doc_id, _), found in zip(part, own.encode([t or "" for _, t in part])):
+                doc_ids, texts = (part.column(n).to_pylist() for n in ("doc_id", "text"))
+                for doc_id, found in zip(doc_ids, own.encode([t or "" for t in texts])):
                     found += end
                     total, at = len(found) // 4, 0
                     for size in binary_lengths(total, longest):

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from airlattice.llm.common import arrow_rows
-from airlattice.llm.encode import encoder, slices, vocabulary
+from airlattice.llm.encode import batch_slices, encoder, vocabulary
 
 
 def lengths(docs: DataFrame, tokenizer_path: str, extra: int = 0) -> DataFrame:
@@ -25,7 +25,8 @@ def lengths(docs: DataFrame, tokenizer_path: str, extra: int = 0) -> DataFrame:
 
         def step(batch):
             found = []
-            for texts in slices(batch.column("text").to_pylist()):
+            for part in batch_slices(batch):
+                texts = part.column("text").to_pylist()
                 found += [len(ids) // 4 + extra for ids in own.encode([t or "" for t in texts])]
             return {"n_tokens": pa.array(found, pa.int64())}
 
