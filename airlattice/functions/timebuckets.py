@@ -59,8 +59,12 @@ def parse_time(text: Column) -> Column:
     return F.when(is_time_text(text), text.try_cast("timestamp"))
 
 
-def epoch_seconds(text: Column) -> Column:
-    """Epoch seconds of a time text; an impossible date is an error, not a shifted date."""
-    parsed = F.try_to_timestamp(text, F.lit(TIME_FORMAT))
+def epoch_seconds(text: Column, zone: str | None = None) -> Column:
+    """Epoch seconds of a time text, which tells the time of ``zone`` (without one, of the session's);
+    an impossible date is an error, not a shifted date."""
+    if zone is None:
+        parsed = F.try_to_timestamp(text, F.lit(TIME_FORMAT))
+    else:
+        parsed = F.try_to_timestamp(F.concat(text, F.lit(f" {zone}")), F.lit(f"{TIME_FORMAT} VV"))
     checked = F.coalesce(parsed, F.raise_error(F.concat(F.lit("not a valid time: "), text)).cast("timestamp"))
     return F.when(text.isNotNull(), F.unix_timestamp(checked))

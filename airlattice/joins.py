@@ -3,15 +3,29 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airlattice.session import stage
+
 # Keys named as constants in the plan (they reach the file statistics); rows broadcast.
 MAX_LISTED_KEYS = 500
 MAX_BROADCAST_KEYS = 1_000_000
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows and (as JSON text) ``max_bytes``
+    bytes, else as it is. Rows are measured now, and that stops at the limit."""
+    size = F.octet_length(F.to_json(F.struct(*df.columns)))
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found["rows"] <= max_rows and found["bytes"] <= max_bytes else df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is. The rows are
-    counted now, and counting stops at the limit."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def lookup_once(df: DataFrame, max_rows: int) -> DataFrame:
+    """A lookup that should have at most ``max_rows`` short rows, computed once: as local rows to
+    broadcast, or written to the shared folder if it is larger after all."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) <= max_rows:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return stage(df, "lookup")
 
 
 def keep_matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -25,4 +39,5 @@ def keep_matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     listed = keys.limit(MAX_LISTED_KEYS + 1).collect()
     if len(listed) <= MAX_LISTED_KEYS:
         return df.where(F.col(key).isin([row[0] for row in listed]))
+    keys = stage(keys, "keys")
     return df.join(broadcast_if_small(keys, MAX_BROADCAST_KEYS), key, "left_semi")

@@ -7,13 +7,14 @@ from airlattice.schemas import POLLUTANTS, PROPS
 
 
 def to_wide(tiles: DataFrame, pollutants=POLLUTANTS, by=("tile_key", "ts")) -> DataFrame:
-    """One row per tile and time with one array column per pollutant (NULL where absent)."""
-    return tiles.groupBy(*by).agg(
-        *[
-            F.first(F.when(F.col("pollutant") == name, F.col("data")), ignorenulls=True).alias(name)
-            for name in pollutants
-        ]
-    )
+    """One row per tile and time with one array column per pollutant (NULL where absent).
+
+    Tiles of other pollutants are an error: name all that are wanted, and filter the rest before. Of
+    several tiles for one place the one with the greatest cells is taken.
+    """
+    other = F.raise_error(F.concat(F.lit("not among the bands: "), F.coalesce("pollutant", F.lit("NULL")))).cast("string")
+    known = tiles.withColumn("pollutant", F.when(F.col("pollutant").isin(list(pollutants)), F.col("pollutant")).otherwise(other))
+    return known.groupBy(*by).agg(*[F.max(F.when(F.col("pollutant") == name, F.col("data"))).alias(name) for name in pollutants])
 
 
 def select_pollutant(tiles: DataFrame, pollutant: str, slim: bool = False) -> DataFrame:

@@ -73,10 +73,11 @@ def tiles_to_asc(
 
     if rasters is None:
         rasters = tiles.select(key_region(F.col("tile_key")).alias("region_no"), *by)
-    headed = rasters.select(*ids).distinct().join(meta, "region_no")
+    # Every line of every raster, header lines as negative rows; pieces of tiles fall into place.
+    headed = rasters.select(*ids).distinct().join(meta.select("region_no", "nrows"), "region_no")
     every_row = headed.select(
         *ids,
-        F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)).alias("row"),
+        F.explode(F.sequence(F.lit(-len(header_words)), F.col("nrows") - 1)).alias("row"),
         F.lit(None).cast(pieces.schema["piece"].dataType).alias("piece"),
     )
     rows = pieces.unionByName(every_row).groupBy(*ids, "row").agg(F.collect_list("piece").alias("pieces"))
@@ -92,11 +93,7 @@ def tiles_to_asc(
             ),
         )
     )
-    text = F.concat(F.array_join(cells.cast("array<string>"), " "), F.lit(" "))
-    body = rows.join(meta.select("region_no", "ncols", "nodata", "tile_length"), "region_no").select(
-        *ids, (F.col("row") + len(header_words)).alias("line"), text.alias("value")
-    )
-
+    body = F.concat(F.array_join(cells.cast("array<string>"), " "), F.lit(" "))
     numbers = ("ncols", "nrows", "xll", "yll", "cellsize", "cellsize", "nodata")
     header = F.array(
         *[
@@ -104,5 +101,6 @@ def tiles_to_asc(
             for word, number in zip(header_words, numbers, strict=True)
         ]
     )
-    head = headed.select(*ids, F.posexplode(header).alias("line", "value"))
-    return head.unionByName(body)
+    line = F.col("row") + len(header_words)
+    text = F.when(F.col("row") < 0, F.get(header, line)).otherwise(body)
+    return rows.join(meta, "region_no").select(*ids, line.alias("line"), text.alias("value"))

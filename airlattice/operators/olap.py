@@ -48,31 +48,24 @@ def spatial_mean(tiles: DataFrame, by=("tile_key",), nodata=None) -> DataFrame:
         lambda i: F.slice("data", i * BLOCK + 1, BLOCK),
     )
     blocks = tiles.select(
-        *by, nodata_of(nodata).alias("marker"), F.posexplode(cells).alias("block", "cells")
+        *by, nodata_of(nodata).alias("marker"), "props", "ts", F.posexplode(cells).alias("block", "cells")
     )
+    # The first block of a tile carries its properties too, so tiles are read once.
+    time = F.when(F.col("block") == 0, F.col("ts"))
     means = blocks.groupBy(*by, "block").agg(
         F.max(F.size("cells")).alias("n"),
-        *[
-            F.avg(F.nullif(F.get("cells", F.lit(i)), F.col("marker"))).alias(f"mean_{i}")
-            for i in range(BLOCK)
-        ],
-    )
-    joined_blocks = means.select(
-        *by,
-        "block",
-        F.slice(F.array(*[F.col(f"mean_{i}").cast("float") for i in range(BLOCK)]), F.lit(1), F.col("n")).alias("part"),
+        *[F.avg(F.nullif(F.get("cells", F.lit(i)), F.col("marker"))).alias(f"mean_{i}") for i in range(BLOCK)],
+        *[F.max_by(f"props.{name}", time).alias(name) for name in PROPS.fieldNames()],
     )
-    data = joined_blocks.groupBy(*by).agg(
-        F.sort_array(F.collect_list(F.struct("block", "part"))).alias("parts")
-    )
-
-    newest = tiles.groupBy(*by).agg(
-        *[F.max_by(f"props.{name}", "ts").alias(name) for name in PROPS.fieldNames()]
+    part = F.slice(F.array(*[F.col(f"mean_{i}").cast("float") for i in range(BLOCK)]), F.lit(1), F.col("n"))
+    joined = means.groupBy(*by).agg(
+        F.sort_array(F.collect_list(F.struct("block", part.alias("part")))).alias("parts"),
+        *[F.max(name).alias(name) for name in PROPS.fieldNames()],
     )
-    props = newest.select(*by, F.struct(*PROPS.fieldNames()).alias("props"))
+    whole = joined.select(*by, "parts", F.struct(*PROPS.fieldNames()).alias("props"))
     marker = nodata_of(nodata)
     filled = F.transform(F.flatten("parts.part"), lambda v: F.coalesce(v, marker))
-    return data.join(props, list(by)).select(*by, filled.alias("data"), "props")
+    return whole.select(*by, filled.alias("data"), "props")
 
 
 def tile_stats(tiles: DataFrame, nodata=None) -> DataFrame:
@@ -110,8 +103,8 @@ def count_tiles(tiles: DataFrame) -> DataFrame:
 
 
 def first_properties(tiles: DataFrame) -> DataFrame:
-    """Properties of the first tile, by key and time, as (name, value) rows."""
-    first = tiles.select("tile_key", "ts", "props").orderBy("tile_key", "ts").limit(1)
+    """Properties of the first tile, by key, time and pollutant, as (name, value) rows."""
+    first = tiles.select("tile_key", "ts", "pollutant", "props").orderBy("tile_key", "ts", "pollutant").limit(1)
     names = F.array(
         *[
             F.struct(F.lit(name).alias("name"), F.col(f"props.{name}").cast("double").alias("value"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.functions.keys import region_of_code
-from airlattice.joins import broadcast_if_small
+from airlattice.joins import lookup_once
 
 # The country row and the suffix that city names may lack.
 COUNTRY_CODE = "0000"
@@ -56,8 +56,8 @@ def resolve_region(df: DataFrame, region_dim: DataFrame, province="province", ci
     """Add code, province_no, city_no and region_no by names; a city may lack its suffix.
 
     Both spellings go into one lookup, in which the exact one wins, so ``df`` is joined once. The
-    lookup's size is checked before it is broadcast: rows of ``df`` may carry whole rasters, which
-    a shuffle should not move. Unknown names give NULL.
+    lookup is computed once and its size checked before it is broadcast: rows of ``df`` may carry
+    whole rasters, which a shuffle should not move. Unknown names give NULL.
     """
     exact = region_dim.select("province", "city", "code", F.lit(0).alias("rank"))
     bare = region_dim.where(F.endswith("city", F.lit(CITY_SUFFIX))).select(
@@ -69,7 +69,7 @@ def resolve_region(df: DataFrame, region_dim: DataFrame, province="province", ci
         .agg(F.min_by("code", F.struct("rank", "code")).alias("code"))
     )
     joined = df.join(
-        broadcast_if_small(lookup, MAX_REGION_NAMES),
+        lookup_once(lookup, MAX_REGION_NAMES),
         (F.col(province) == F.col("_province")) & (F.col(city) == F.col("_city")),
         "left",
     ).drop("_province", "_city")

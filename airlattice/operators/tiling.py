@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from airlattice.functions.hilbert import curve_size, hilbert_code
 from airlattice.functions.keys import tile_key
+from airlattice.joins import MAX_BROADCAST_KEYS, broadcast_if_small
 
 
 def tile_count(cells: Column, length: Column) -> Column:
@@ -48,6 +49,8 @@ def split_rasters(rasters: DataFrame, tile_length: int) -> DataFrame:
     then into tiles. All other columns of ``rasters`` are carried along.
     """
     length = F.lit(tile_length)
+    short = F.raise_error(F.concat(F.lit("raster does not hold nrows rows: "), F.col("path"))).cast("array<string>")
+    rasters = rasters.withColumn("lines", F.when(F.size("lines") == F.col("nrows"), F.col("lines")).otherwise(short))
     bands = F.transform(
         F.sequence(F.lit(0), F.ceil(F.col("nrows") / length).cast("int") - 1),
         lambda y: F.slice(
@@ -128,23 +131,35 @@ def locate_cells(cells: DataFrame) -> DataFrame:
     return sized.withColumn("pos", pos.cast("int"))
 
 
-def split_cells(cells: DataFrame, meta: DataFrame, by=()) -> DataFrame:
+# How several different values for one cell are settled.
+CLASHES = {"max": F.max, "min": F.min}
+
+
+def split_cells(cells: DataFrame, meta: DataFrame, by=(), clash: str = "max") -> DataFrame:
     """Tiles of rasters that come one row per cell: region_no, ``by``, row, col, value.
 
     ``meta`` is the raster metadata by region; cells that carry ncols, nrows and tile_length of
     their own are not joined with it until they are tiles. Repeated copies of a cell collapse before the
     tile is gathered, so a tile never gathers more than ``tile_length`` squared cells; a cell
-    that is absent gets NODATA.
+    that is absent gets NODATA. Of different values for one cell ``clash`` takes the largest or
+    smallest; with "error" they are an error. Cells are shuffled once, by tile.
     """
+    if clash not in (*CLASHES, "error"):
+        raise ValueError(f"unknown rule {clash!r}; use one of {[*CLASHES, 'error']}")
     ids = ["region_no", *by]
     shape = meta.select("region_no", "ncols", "nrows", "tile_length")
     shaped = cells if set(shape.columns) <= set(cells.columns) else cells.join(shape, "region_no")
-    located = locate_cells(shaped)
-    unique = located.groupBy(*ids, "x", "y", "pos").agg(F.max("value").alias("value"))
+    located = locate_cells(shaped).repartition(*ids, "x", "y")
+    value = CLASHES.get(clash, F.max)("value")
+    if clash == "error":
+        place = F.concat_ws(" ", *ids, "x", "y", "pos")
+        both = F.raise_error(F.concat(F.lit("different values for the cell "), place)).cast("float")
+        value = F.when(F.min("value") == F.max("value"), F.max("value")).otherwise(both)
+    unique = located.groupBy(*ids, "x", "y", "pos").agg(value.alias("value"))
     gathered = unique.groupBy(*ids, "x", "y").agg(
         F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("found")
     )
-    numbered = _numbered(gathered.join(meta, "region_no"))
+    numbered = _numbered(gathered.join(broadcast_if_small(meta, MAX_BROADCAST_KEYS), "region_no"))
 
     by_pos = F.map_from_entries("found")
     area = F.col("props.height") * F.col("props.width")

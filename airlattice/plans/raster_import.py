@@ -4,13 +4,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlattice.functions.timebuckets import epoch_seconds
+from airlattice.joins import lookup_once
 from airlattice.operators.regions import resolve_region
 from airlattice.operators.tiling import split_raster_rows, split_rasters, with_tile_key
 from airlattice.schemas import RASTER_META, TILE_LENGTH, TILES
-from airlattice.session import stage
-from airlattice.sources.rasters import MAX_WHOLE_FILE, list_rasters, read_asc, read_asc_rows, with_name_parts
+from airlattice.session import staged
+from airlattice.sources.rasters import MAX_WHOLE_FILE, has_name_parts, list_rasters, read_asc, read_asc_rows, with_name_parts
 from airlattice.sources.tile_store import keep_last, upsert_meta, upsert_tiles
 
+# Listed rasters that are broadcast as a lookup; more are written and joined.
+MAX_BROADCAST_RASTERS = 100_000
+
+
+def listed_rasters(spark: SparkSession, paths, region_dim: DataFrame, start: str, end: str, zone: str = "UTC") -> DataFrame:
+    """(path, name, size, in_parts, region_no, pollutant, time, ts) of the rasters named within [start, end]
+    (compared as text), from names alone. A name of another form, and an unknown region, are errors."""
+    listed = list_rasters(spark, paths)
+    odd = F.raise_error(F.concat(F.lit("not the name of a raster: "), F.col("path"))).cast("string")
+    named = with_name_parts(listed.withColumn("name", F.when(has_name_parts(), F.col("name")).otherwise(odd)))
+    resolved = resolve_region(named.where(F.col("time").between(start, end)), region_dim)
+    unknown = F.raise_error(F.concat(F.lit("no region code for "), F.col("path"))).cast("bigint")
+    return resolved.select(
+        "path", "name", "size", "in_parts", F.coalesce("region_no", unknown).alias("region_no"), "pollutant", "time",
+        F.timestamp_seconds(epoch_seconds(F.col("time"), zone)).alias("ts"),
+    )
+
 
 def raster_tiles(
     spark: SparkSession,
@@ -20,29 +38,31 @@ def raster_tiles(
     end: str,
     tile_length: int = TILE_LENGTH,
     max_whole_file: int = MAX_WHOLE_FILE,
+    zone: str = "UTC",
+    rasters: DataFrame = None,
 ) -> DataFrame:
-    """Tiles of all raster files named within [start, end] (compared as text), with the columns
-    of the tile table, the raster metadata and the file path.
+    """Tiles of all rasters named within [start, end] (compared as text), with the columns of the tile
+    table, the raster metadata and the path.
 
-    Rasters are cut where they are read, without shuffle; only files too large for one task are
-    read in splits and their tiles gathered by a shuffle.
+    ``rasters`` are those of ``listed_rasters`` to read, all of them by default; one row per raster.
+    Rasters are cut where they are read, without shuffle; only files too large for one task, and
+    rasters in parts, are read in splits and their tiles gathered by a shuffle. The way is chosen
+    per raster, and both give the same tiles and the same errors.
     """
-
-    def numbered(rasters: DataFrame) -> DataFrame:
-        named = with_name_parts(rasters).where(F.col("time").between(start, end))
-        resolved = resolve_region(named, region_dim)
-        unknown = F.raise_error(F.concat(F.lit("no region code for "), F.col("path"))).cast("bigint")
-        return resolved.withColumn("region_no", F.coalesce("region_no", unknown))
+    if rasters is None:
+        rasters = listed_rasters(spark, paths, region_dim, start, end, zone)
+    chosen = lookup_once(rasters.select("path", "size", "in_parts", "region_no", "pollutant", "ts"), MAX_BROADCAST_RASTERS)
+    known = chosen.drop("size", "in_parts")
 
     def finished(tiles: DataFrame) -> DataFrame:
-        timed = with_tile_key(tiles).withColumn("ts", F.timestamp_seconds(epoch_seconds(F.col("time"))))
-        return timed.select(*TILES.fieldNames(), *[c for c in RASTER_META.fieldNames() if c != "region_no"], "path")
+        keyed = with_tile_key(tiles)
+        return keyed.select(*TILES.fieldNames(), *[c for c in RASTER_META.fieldNames() if c != "region_no"], "path")
 
-    tiles = finished(split_rasters(numbered(read_asc(spark, paths, max_whole_file)), tile_length))
-    large = list_rasters(spark, paths).where(F.col("size") > max_whole_file)
-    if large.isEmpty():
+    tiles = finished(split_rasters(read_asc(spark, paths, max_whole_file).join(known, "path"), tile_length))
+    in_splits = chosen.where((F.col("size") > max_whole_file) | F.col("in_parts"))
+    if in_splits.isEmpty():
         return tiles
-    rows = numbered(read_asc_rows(spark, paths, max_whole_file))
+    rows = read_asc_rows(spark, paths, max_whole_file, in_splits.select("path")).join(known, "path")
     return tiles.unionByName(finished(split_raster_rows(rows, tile_length)))
 
 
@@ -55,13 +75,20 @@ def import_rasters(
     start: str,
     end: str,
     tile_length: int = TILE_LENGTH,
+    max_whole_file: int = MAX_WHOLE_FILE,
+    zone: str = "UTC",
 ) -> None:
-    """Read, cut and number all raster files at once and merge them into both tables; of two files
-    for one region, time and pollutant the last by path stays. Files are parsed once, into the
-    staging folder. Only if there are two such files are tiles compared with each other; else they
-    are shuffled once, for the write."""
-    tiles = stage(raster_tiles(spark, paths, region_dim, start, end, tile_length), "import")
-    files = tiles.select(*RASTER_META.fieldNames(), "pollutant", "ts", "path").distinct()
-    upsert_meta(keep_last(files, ["region_no"], ["path"]), meta_path)
-    rivals = files.groupBy("region_no", "pollutant", "ts").count().where("count > 1")
-    upsert_tiles(tiles, tiles_path, order_by=() if rivals.isEmpty() else ["path"])
+    """Read, cut and number all rasters at once and merge them into both tables; of two rasters for one
+    region, time and pollutant the last by path stays, and metadata is that of a region's newest
+    raster.
+
+    Rivals are found in the list of names (one row per raster), before any is opened; so files are
+    parsed once and their tiles shuffled once, for the write. Stored tiles of an imported raster
+    are replaced as a whole.
+    """
+    listed = listed_rasters(spark, paths, region_dim, start, end, zone)
+    with staged(keep_last(listed, ["region_no", "pollutant", "ts"], ["path"]), "rasters") as rasters:
+        newest = keep_last(rasters, ["region_no"], ["ts", "path"])
+        again = lambda some: raster_tiles(spark, paths, region_dim, start, end, tile_length, max_whole_file, zone, some)
+        upsert_meta(again(newest).select(*RASTER_META.fieldNames()).distinct(), meta_path)
+        upsert_tiles(again(rasters), tiles_path, replaces=rasters.select("region_no", "pollutant", "ts"))

@@ -37,7 +37,11 @@ def heat_map(tiles: DataFrame) -> DataFrame:
     return spatial_mean(tiles)
 
 
-def heat_map_raster(tiles: DataFrame, meta: DataFrame) -> DataFrame:
-    """The heat map as raster text (region_no, line, value)."""
-    regions = tiles.select(key_region(F.col("tile_key")).alias("region_no"))
-    return tiles_to_asc(spatial_mean(tiles), meta, rasters=regions)
+def heat_map_raster(tiles: DataFrame, meta: DataFrame, regions=None) -> DataFrame:
+    """The heat map as raster text (region_no, line, value). Give the numbers of the ``regions`` asked
+    for, if they are known, or tiles are read a second time to find them."""
+    if regions is None:
+        wanted = tiles.select(key_region(F.col("tile_key")).alias("region_no"))
+    else:
+        wanted = meta.where(F.col("region_no").isin(list(regions))).select("region_no")
+    return tiles_to_asc(spatial_mean(tiles), meta, rasters=wanted)

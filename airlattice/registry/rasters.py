@@ -18,6 +18,10 @@ PRECISION = 3
 FIRST_HOUR = "2016-05-01 00:00:00"
 IMPORT_START, IMPORT_END = "2016-05-01", "2999-12-31"
 ASKED = ("P1", "C1", "pm25")
+# Cities of the files: few, so that each has several hours even in small tables.
+CITIES = 4
+# Names outside these bounds are not opened.
+SOME_START, SOME_END = "2016-05-01 01:00:00", "2016-05-01 12:00:00"
 
 
 def _big(*names):
@@ -29,6 +33,12 @@ def cut(spark, sf_dir):
     return tiling.with_tile_key(tiles)
 
 
+def _cells_of(tiles, *names):
+    """Every cell of tiles as a row, with some of their columns."""
+    cells = tiles.select(*names, F.posexplode("data").alias("pos", "v"))
+    return cells.withColumns({"pos": F.col("pos").cast("bigint"), "v": F.round(F.col("v").cast("double"), 2)}).withColumnRenamed("v", "value")
+
+
 def _total():
     return F.round(F.aggregate("data", F.lit(0.0), lambda a, v: a + v), 2).alias("total")
 
@@ -106,23 +116,19 @@ def _text(spark, sf_dir):
 
 
 def asc_lines(spark, sf_dir):
-    """Header lines as text; body lines by their number of values and their sum."""
+    """Header lines as text; body lines value by value, in their order."""
     text = _text(spark, sf_dir)
     is_body = F.col("line") >= len(mosaic.HEADER_WORDS)
-    values = F.split(F.trim("value"), " ").try_cast("array<float>")
-    total = F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), 2)
-    return text.select(
-        "region_no",
-        *_big("line"),
-        F.when(~is_body, F.col("value")).alias("header"),
-        F.when(is_body, F.size(values).cast("bigint")).alias("n"),
-        F.when(is_body, total).alias("total"),
+    head = text.where(~is_body).select(
+        "region_no", *_big("line"), F.col("value").alias("header"), F.lit(None).cast("bigint").alias("col"), F.lit(None).cast("double").alias("value")
     )
+    body = text.where(is_body).select("region_no", "line", F.posexplode(F.split(F.trim("value"), " ")).alias("col", "v"))
+    value = F.round(F.col("v").cast("float").cast("double"), 2).alias("value")
+    return head.unionByName(body.select("region_no", *_big("line"), F.lit(None).cast("string").alias("header"), *_big("col"), value))
 
 
 _ASC_SQL = f"""WITH {st.CELLS_SQL}
-SELECT region_no, "row" + 7 AS line, NULL::VARCHAR AS header, count(*) AS n, round(sum(value::DOUBLE), 2) AS total
-FROM cells GROUP BY region_no, "row"
+SELECT region_no, "row" + 7 AS line, NULL::VARCHAR AS header, col, round(value::DOUBLE, 2) AS value FROM cells
 UNION ALL
 SELECT region_no, unnest(range(7)) AS line,
        unnest(['NCOLS 50', 'NROWS 30', concat('XLLCENTER ', xll), concat('YLLCENTER ', yll), 'DX 0.125', 'DY 0.125',
@@ -131,11 +137,11 @@ SELECT region_no, unnest(range(7)) AS line,
 
 @st.once
 def raster_files(spark, sf_dir) -> str:
-    """All rasters as text files, ten regions at successive hours; written once per application."""
+    """All rasters as text files, a few cities at successive hours; written once per application."""
     number = F.col("region_no") - 101
-    hours = F.make_interval(hours=F.floor(number / 10).cast("int"))
+    hours = F.make_interval(hours=F.floor(number / CITIES).cast("int"))
     time = F.date_format(F.lit(FIRST_HOUR).cast("timestamp") + hours, "yyyy-MM-dd'H'HH")
-    name = F.format_string("P%d%%C%d#%s#pm25", number % 2 + 1, number % 10 + 1, time)
+    name = F.format_string("P%d%%C%d#%s#pm25", number % 2 + 1, number % CITIES + 1, time)
     path = st.scratch(spark, "asc")
     files.write_asc_files(_text(spark, sf_dir).withColumn("raster", name), path)
     return path
@@ -144,7 +150,7 @@ def raster_files(spark, sf_dir) -> str:
 def _file_regions(spark, sf_dir):
     """Region table for the file names: cities of even number are listed with their suffix."""
     number = F.col("region_no") - 101
-    city = number % 10 + 1
+    city = number % CITIES + 1
     return st.raster_meta(spark, sf_dir).select(
         F.concat(F.lpad((number % 2 + 1).cast("string"), 2, "0"), F.lpad(city.cast("string"), 2, "0")).alias("code"),
         F.concat(F.lit("P"), (number % 2 + 1).cast("string")).alias("province"),
@@ -152,9 +158,9 @@ def _file_regions(spark, sf_dir):
     ).distinct()
 
 
-_NAMES_SQL = """named AS (
-  SELECT *, region_no - 101 AS k, concat('P', (region_no - 101) % 2 + 1) AS province, concat('C', (region_no - 101) % 10 + 1) AS city,
-         TIMESTAMP '2016-05-01 00:00:00' + to_hours(((region_no - 101) // 10)::INT) AS time
+_NAMES_SQL = f"""named AS (
+  SELECT *, region_no - 101 AS k, concat('P', (region_no - 101) % 2 + 1) AS province, concat('C', (region_no - 101) % {CITIES} + 1) AS city,
+         TIMESTAMP '2016-05-01 00:00:00' + to_hours(((region_no - 101) // {CITIES})::INT) AS time
   FROM meta)"""
 
 
@@ -180,9 +186,8 @@ def read_asc_splits(spark, sf_dir):
 
 
 def _file_tiles(tiles):
-    return files.with_name_parts(tiles).select(
-        "province", "city", "time", *_big("tile_code"), F.size("data").cast("bigint").alias("n"), _total()
-    )
+    named = files.with_name_parts(tiles).withColumn("tile_code", F.col("tile_code").cast("bigint"))
+    return _cells_of(named, "province", "city", "time", "tile_code")
 
 
 def split_files(spark, sf_dir):
@@ -221,10 +226,45 @@ def raster_import(spark, sf_dir):
     tiles = store.read_tiles(spark, f"{folder}/tiles").join(
         store.read_meta(spark, f"{folder}/meta").select("region_no", "ncols", "tile_length"), "region_no"
     )
-    return tiles.select(
-        "tile_key", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "pollutant", *_big("ncols", "tile_length"),
-        F.size("data").cast("bigint").alias("n"), _total(),
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    return _cells_of(tiles, "tile_key", text, "pollutant", *_big("ncols", "tile_length"))
+
+
+def import_between(spark, sf_dir):
+    """Bounds that leave out files of earlier and later hours: tiles by region and hour."""
+    folder = st.scratch(spark, "import")
+    import_rasters(
+        spark, raster_files(spark, sf_dir), _file_regions(spark, sf_dir), f"{folder}/tiles", f"{folder}/meta", SOME_START, SOME_END
+    )
+    tiles = store.read_tiles(spark, f"{folder}/tiles")
+    return tiles.groupBy("region_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def import_parts(spark, sf_dir):
+    """All orders as one raster, written in ordered parts, imported, and every cell of it."""
+    orders = st.table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey").alias("last")).select(
+        F.lit(101).cast("bigint").alias("region_no"), F.lit(st.RASTER_COLS).alias("ncols"),
+        (F.floor(F.col("last") / st.RASTER_COLS) + 1).cast("int").alias("nrows"), F.lit(70.0).alias("xll"), F.lit(18.0).alias("yll"),
+        F.lit(0.125).alias("cellsize"), F.lit(st.RASTER_NODATA).alias("nodata"), F.lit(st.RASTER_LENGTH).alias("tile_length"),
+    )
+    cells = orders.select(
+        F.lit(101).cast("bigint").alias("region_no"), F.floor(F.col("o_orderkey") / st.RASTER_COLS).cast("int").alias("row"),
+        (F.col("o_orderkey") % st.RASTER_COLS).cast("int").alias("col"), F.col("o_totalprice").cast("float").alias("value"),
     )
+    folder = st.scratch(spark, "parts")
+    tiles = tiling.with_tile_key(tiling.split_cells(cells, last))
+    files.write_asc(mosaic.tiles_to_asc(tiles, last, rasters=last), f"{folder}/asc/P1%C1#2016-05-01H00#pm25")
+    import_rasters(
+        spark, f"{folder}/asc", _file_regions(spark, sf_dir), f"{folder}/tiles", f"{folder}/meta", IMPORT_START, IMPORT_END
+    )
+    grid = mosaic.tiles_to_grid(store.read_tiles(spark, f"{folder}/tiles"), store.read_meta(spark, f"{folder}/meta"))
+    return grid.select(*_big("row", "col"), F.round(F.col("value").cast("double"), 2).alias("value"))
+
+
+_PARTS_SQL = """WITH places AS (SELECT unnest(range((max(o_orderkey) // 50 + 1) * 50)) AS k FROM orders)
+SELECT k // 50 AS "row", k % 50 AS col, round(coalesce(o_totalprice::FLOAT, -9999)::DOUBLE, 2) AS value
+FROM places LEFT JOIN orders ON o_orderkey = k"""
 
 
 def _asked_tiles(spark, sf_dir):
@@ -247,24 +287,27 @@ def named_heat_map(spark, sf_dir):
     """Heat map of the named region as raster text, written in order and read back."""
     path = st.scratch(spark, "heat")
     meta = store.read_meta(spark, f"{import_folder(spark, sf_dir)}/meta")
-    files.write_asc(tile_query.heat_map_raster(_asked_tiles(spark, sf_dir), meta), path)
-    body = spark.read.text(path).where(F.col("value").rlike("^[0-9-]"))
-    values = body.select(F.posexplode(F.split(F.trim("value"), " ").cast("array<float>")).alias("col", "v"))
-    return values.groupBy(F.col("col").cast("bigint").alias("col")).agg(
-        F.count("v").alias("n"), F.round(F.sum(F.col("v").cast("double")), 1).alias("total")
-    )
+    region = tile_query.region_number(_file_regions(spark, sf_dir), *ASKED[:2])
+    files.write_asc(tile_query.heat_map_raster(_asked_tiles(spark, sf_dir), meta, [region]), path)
+    rows = files.read_asc_rows(spark, path)
+    values = rows.select(*_big("row"), F.posexplode("values").alias("col", "v"))
+    return values.select("row", *_big("col"), F.round(F.col("v").cast("double"), 1).alias("value"))
 
 
 _FILE_TILES_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
-SELECT province, city, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, tile_code, count(*) AS n, round(sum(value::DOUBLE), 2) AS total
-FROM located JOIN named USING (region_no) GROUP BY ALL"""
+SELECT province, city, strftime(time, '%Y-%m-%d %H:%M:%S') AS time, tile_code, pos, round(value::DOUBLE, 2) AS value
+FROM located JOIN named USING (region_no)"""
 
 _IMPORT_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
-SELECT ((k % 2 + 1) * 100 + k % 10 + 1) * 100000 + tile_code AS tile_key, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts,
-       'pm25' AS pollutant, 50 AS ncols, 16 AS tile_length, count(*) AS n, round(sum(value::DOUBLE), 2) AS total
+SELECT ((k % 2 + 1) * 100 + k % {CITIES} + 1) * 100000 + tile_code AS tile_key, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts,
+       'pm25' AS pollutant, 50 AS ncols, 16 AS tile_length, pos, round(value::DOUBLE, 2) AS value
+FROM located JOIN named USING (region_no)
+WHERE strftime(time, '%Y-%m-%d %H:%M:%S') BETWEEN '{IMPORT_START}' AND '{IMPORT_END}'"""
+
+_BETWEEN_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
+SELECT (k % 2 + 1) * 100 + k % {CITIES} + 1 AS region_no, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts, count(DISTINCT tile_code) AS n
 FROM located JOIN named USING (region_no)
-WHERE strftime(time, '%Y-%m-%d %H:%M:%S') BETWEEN '{IMPORT_START}' AND '{IMPORT_END}'
-GROUP BY ALL"""
+WHERE strftime(time, '%Y-%m-%d %H:%M:%S') BETWEEN '{SOME_START}' AND '{SOME_END}' GROUP BY ALL"""
 
 
 def box_query(spark, sf_dir):
@@ -355,6 +398,8 @@ SELECT region_no, "row", col, code FROM cells JOIN codes ON col = x0 AND "row" =
     "split_files": (split_files, _FILE_TILES_SQL),
     "split_file_rows": (split_file_rows, _FILE_TILES_SQL),
     "raster_import": (raster_import, _IMPORT_SQL),
+    "import_between": (import_between, _BETWEEN_SQL),
+    "import_parts": (import_parts, _PARTS_SQL),
     "named_time_query": (
         named_time_query,
         f"""WITH {st.CELLS_SQL}, {_NAMES_SQL},
@@ -370,7 +415,7 @@ heat AS (
   SELECT "row", col, coalesce(avg(value::DOUBLE) FILTER (value <> -9999)::FLOAT, -9999) AS v
   FROM cells JOIN named USING (region_no)
   WHERE province = '{ASKED[0]}' AND city = '{ASKED[1]}' AND time < '{IMPORT_END}' GROUP BY "row", col)
-SELECT col, count(*) AS n, round(sum(v::DOUBLE), 1) AS total FROM heat GROUP BY col""",
+SELECT "row", col, round(v::DOUBLE, 1) AS value FROM heat""",
     ),
     "box_query": (box_query, _BOX_SQL),
     "geo_index": (geo_index, _INDEX_SQL),

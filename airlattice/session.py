@@ -1,5 +1,6 @@
 """Session helpers: the time zone pin and the shared scratch folder."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -14,12 +15,18 @@ def pin_time_zone(spark: SparkSession, zone: str = "UTC") -> SparkSession:
     return spark
 
 
+def _context_folder(spark: SparkSession) -> str | None:
+    """The folder set by ``setCheckpointDir``, if any."""
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return found.get() if found.isDefined() else None
+
+
 def shared_folder(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder below the cluster's shared checkpoint folder.
 
     Only a local session may fall back to a temporary folder of the machine.
     """
-    base = spark.conf.get(CHECKPOINT_DIR, None)
+    base = spark.conf.get(CHECKPOINT_DIR, None) or _context_folder(spark)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder all executors can reach")
@@ -27,6 +34,23 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate data, on whatever store it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextlib.contextmanager
+def staged(df: DataFrame, label: str = "stage"):
+    """``stage`` for the length of a block that reads it; then the folder goes."""
+    path = shared_folder(df.sparkSession, label)
+    try:
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        drop_folder(df.sparkSession, path)
+
+
 def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

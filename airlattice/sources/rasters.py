@@ -8,11 +8,8 @@ from airlattice.joins import MAX_BROADCAST_KEYS, broadcast_if_small
 from airlattice.session import stage
 
 # Fixed value: raster names are province[%city]#yyyy-MM-ddHhh#pollutant, a missing city being
-# the province itself.
-NAME_PATTERN = r"^([^%#]+)(?:%([^#]+))?#(\d{4}-\d{2}-\d{2})H(\d{2})#([^.#]+)$"
-
-_HEADER_LINE = r"^\s*[A-Za-z_]+\s"
-
+# the province itself; the pollutant ends at the first dot.
+NAME_PATTERN = r"^([^%#]+)(?:%([^#]+))?#(\d{4}-\d{2}-\d{2})H(\d{2})#([^.#]+)(?:\.[^#]*)?$"
 
 # Files above this size are read line by line in many tasks instead of as one record.
 MAX_WHOLE_FILE = 256 * 1024 * 1024
@@ -27,6 +24,8 @@ HEADER_KEYS = {
     "nodata": ("nodata_value",),
 }
 HEADER_TYPES = {"ncols": "int", "nrows": "int"}
+_KNOWN_KEYS = [key for keys in HEADER_KEYS.values() for key in keys]
+_HEADER_LINE = rf"(?i)^\s*({'|'.join(_KNOWN_KEYS)})\s"
 
 
 def _file_path():
@@ -40,13 +39,21 @@ def _is_part_file():
 def _raster_name():
     """Name of the raster a file holds: the file's own, or of its folder for Spark part files."""
     file = F.regexp_extract(_file_path(), r"([^/]+?)(\.[A-Za-z]+)?$", 1)
-    folder = F.regexp_extract(_file_path(), r"/(?:raster=)?([^/]+)/[^/]+$", 1)
+    folder = F.regexp_extract(_file_path(), r"/([^/]+)/[^/]+$", 1)
     # partition folders escape special characters once more
-    return F.when(_is_part_file(), F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))).otherwise(file)
+    escaped = F.replace(F.regexp_replace(folder, "^raster=", ""), F.lit("+"), F.lit("%2B"))
+    of_folder = F.when(F.startswith(folder, F.lit("raster=")), F.url_decode(escaped)).otherwise(folder)
+    return F.when(_is_part_file(), of_folder).otherwise(file)
+
+
+def _raster_path():
+    """The file of a raster, or the folder of its part files."""
+    return F.when(_is_part_file(), F.regexp_extract(_file_path(), r"^(.*)/[^/]+$", 1)).otherwise(_file_path())
 
 
 def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
-    """Add province, city, time (text) and pollutant from the raster name."""
+    """Add province, city, time (text) and pollutant from the raster name; a name of another form gives
+    empty parts (see ``has_name_parts``)."""
     part = lambda i: F.regexp_extract(name, NAME_PATTERN, i)
     return df.withColumns(
         {
@@ -58,10 +65,19 @@ def with_name_parts(df: DataFrame, name: str = "name") -> DataFrame:
     )
 
 
+def has_name_parts(name: str = "name"):
+    return F.col(name).rlike(NAME_PATTERN)
+
+
 def list_rasters(spark: SparkSession, paths) -> DataFrame:
-    """(path, name, size) of all raster files below the paths; no file is opened."""
+    """(path, name, size, in_parts) of all rasters below the paths; no file is opened. The part files of
+    a folder are one raster, whose size is their sum."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    return files.select(_file_path().alias("path"), _raster_name().alias("name"), F.col("_metadata.file_size").alias("size"))
+    each = files.select(
+        _raster_path().alias("path"), _raster_name().alias("name"), _is_part_file().alias("in_parts"),
+        F.col("_metadata.file_size").alias("size"),
+    )
+    return each.groupBy("path", "name", "in_parts").agg(F.sum("size").alias("size")).select("path", "name", "size", "in_parts")
 
 
 def _header_columns(value_of):
@@ -81,45 +97,48 @@ def _word(line, index: int):
 def read_asc(spark: SparkSession, paths, max_size: int = None) -> DataFrame:
     """One row per raster: path, name, ncols, nrows, xll, yll, cellsize, nodata, lines.
 
-    A file is one record, so it must fit a task (with ``max_size``, larger files are left out; see
-    ``read_asc_rows``); parallelism comes from the number of files. Header lines are taken by key
-    in any case and order, and end at the first line that starts with a number. ``lines`` is the
-    raster body, top row first, still as text.
+    A file is one record, so it must fit a task; with ``max_size``, larger files and rasters in parts
+    are left out (see ``read_asc_rows``). Parallelism comes from the number of files. The header is
+    the leading lines with known keys, in any case and order. ``lines`` is the raster body, top row
+    first, still as text.
     """
     files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
     if max_size is not None:
-        files = files.where(F.col("_metadata.file_size") <= max_size)
+        files = files.where((F.col("_metadata.file_size") <= max_size) & ~_is_part_file())
     split = files.select(
         _file_path().alias("path"),
         _raster_name().alias("name"),
         F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "").alias("all_lines"),
     )
-    header_lines = F.filter("all_lines", lambda line: line.rlike(_HEADER_LINE))
+    size, is_header = F.size("all_lines"), F.transform("all_lines", lambda line: line.rlike(_HEADER_LINE))
+    first_other = F.array_position(is_header, F.lit(False)).cast("int")
+    leading = F.when(first_other > 0, first_other - 1).otherwise(size)
+    header_lines = F.slice("all_lines", F.lit(1), leading)
     entries = F.transform(header_lines, lambda line: F.struct(F.lower(_word(line, 0)), _word(line, 1)))
     parted = split.select(
         "path",
         "name",
         F.map_from_entries(entries).alias("header"),
-        F.slice("all_lines", F.size(header_lines) + 1, F.size("all_lines")).alias("lines"),
+        F.slice("all_lines", leading + 1, size).alias("lines"),
     )
     numbers = _header_columns(lambda key: F.try_element_at("header", F.lit(key)).cast("double"))
     return parted.select("path", "name", *numbers, "lines")
 
 
-def read_asc_rows(spark: SparkSession, paths, min_size: int = None) -> DataFrame:
+def read_asc_rows(spark: SparkSession, paths, min_size: int = None, rasters: DataFrame = None) -> DataFrame:
     """One row per raster row, as from ``raster_rows(read_asc(...))``, for rasters of any size.
 
     Files are read in splits by many tasks, and the part files of one folder make up one raster
     (see ``write_asc``). Lines are staged with the place they were read at; a line's number is the
     number of lines in the splits before its own plus its place in that split. ``min_size``
-    leaves out files up to that size.
+    leaves out whole files up to that size; parts are read whatever their size. ``rasters`` (path)
+    are those wanted.
     """
     files = spark.read.option("recursiveFileLookup", True).text(paths)
     if min_size is not None:
-        files = files.where(F.col("_metadata.file_size") > min_size)
-    raster = F.when(_is_part_file(), F.regexp_extract(_file_path(), r"^(.*)/[^/]+$", 1)).otherwise(_file_path())
+        files = files.where((F.col("_metadata.file_size") > min_size) | _is_part_file())
     placed = files.where(F.trim("value") != "").select(
-        raster.alias("path"),
+        _raster_path().alias("path"),
         _raster_name().alias("name"),
         F.col("_metadata.file_name").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -127,6 +146,8 @@ def read_asc_rows(spark: SparkSession, paths, min_size: int = None) -> DataFrame
         F.col("value").rlike(_HEADER_LINE).alias("is_header"),
         "value",
     )
+    if rasters is not None:
+        placed = placed.join(broadcast_if_small(rasters.select("path"), MAX_BROADCAST_KEYS), "path", "left_semi")
     lines = stage(placed, "raster-lines")
 
     split = ["path", "file", "block"]
@@ -135,20 +156,26 @@ def read_asc_rows(spark: SparkSession, paths, min_size: int = None) -> DataFrame
     starts = counted.select(*split, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
 
     key, value = F.lower(_word(F.col("value"), 0)), _word(F.col("value"), 1).try_cast("double")
-    known = [k for keys in HEADER_KEYS.values() for k in keys]
     headers = (
-        lines.where("is_header")
-        .groupBy("path")
-        .agg(F.count(F.lit(1)).alias("header_lines"), *[F.max(F.when(key == k, value)).alias(f"header_{k}") for k in known])
+        lines.groupBy("path")
+        .agg(F.count_if("is_header").alias("header_lines"), F.count(F.lit(1)).alias("all_lines"), *[F.max(F.when(key == k, value)).alias(f"header_{k}") for k in _KNOWN_KEYS])
     )
-    headers = headers.select("path", "header_lines", *_header_columns(lambda k: F.col(f"header_{k}")))
-
-    body = lines.where("not is_header").join(broadcast_if_small(starts, MAX_BROADCAST_KEYS), split)
-    joined = body.join(broadcast_if_small(headers, MAX_BROADCAST_KEYS), "path")
+    headers = headers.select("path", "header_lines", "all_lines", *_header_columns(lambda k: F.col(f"header_{k}")))
+    short = F.raise_error(F.concat(F.lit("raster does not hold nrows rows: "), F.col("path"))).cast("int")
+    whole = F.col("all_lines") - F.col("header_lines") == F.col("nrows")
+    headers = headers.withColumn("nrows", F.when(whole, F.col("nrows")).otherwise(short)).drop("all_lines")
+
+    numbered = lines.join(broadcast_if_small(starts, MAX_BROADCAST_KEYS), split)
+    joined = numbered.join(broadcast_if_small(headers, MAX_BROADCAST_KEYS), "path")
+    # Header lines below the body are an error, not rows less.
     row = F.col("place") + F.col("shift") - F.col("header_lines")
-    return joined.select(
-        "path", "name", *HEADER_KEYS, row.cast("int").alias("row"), F.split(F.trim("value"), r"\s+").cast("array<float>").alias("values")
-    )
+    late = F.raise_error(F.concat(F.lit("a header line inside the body of "), F.col("path"))).cast("bigint")
+    row = F.when(F.col("is_header") & (row >= 0), late).otherwise(row)
+    body = joined.withColumn("row", row).where(F.col("row") >= 0)
+    row = F.col("row")
+    # Spark may look at values before it drops header lines.
+    values = F.when(~F.col("is_header"), F.split(F.trim("value"), r"\s+").cast("array<float>"))
+    return body.select("path", "name", *HEADER_KEYS, row.cast("int").alias("row"), values.alias("values"))
 
 
 def raster_rows(rasters: DataFrame) -> DataFrame:
@@ -182,4 +209,4 @@ def write_asc_files(text: DataFrame, path: str) -> None:
 
 def write_single_csv(result: DataFrame, path: str) -> None:
     """A time query result (one row per bucket) as a single file."""
-    result.coalesce(1).write.mode("overwrite").csv(path)
+    result.repartition(1).write.mode("overwrite").csv(path)

@@ -14,18 +14,19 @@ def write_lines(lines: DataFrame, path: str) -> None:
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of small lookup files with their number, so that "the last line wins" has a meaning."""
-    files = spark.read.text(path, wholetext=True).select(F.split("value", r"\r?\n").alias("lines"))
-    return files.select(F.posexplode("lines").alias("line_no", "line")).where(
-        (F.col("line_no") > 0) & (F.trim("line") != "")
-    )
+    """Lines of small lookup files with their place (file path, number), so that "the last line wins" has
+    a meaning over several files too."""
+    files = spark.read.text(path, wholetext=True)
+    files = files.select(F.col("_metadata.file_path").alias("file"), F.split("value", r"\r?\n").alias("lines"))
+    lines = files.select("file", F.posexplode("lines").alias("line_no", "line"))
+    return lines.where((F.col("line_no") > 0) & (F.trim("line") != "")).withColumn("place", F.struct("file", "line_no"))
 
 
 def _last_per_key(lines: DataFrame, key: str, names) -> DataFrame:
     parts = F.split("line", " ")
-    table = lines.select("line_no", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
+    table = lines.select("place", *[F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)])
     values = [n for n in names if n != key]
-    return table.groupBy(key).agg(*[F.max_by(v, "line_no").alias(v) for v in values])
+    return table.groupBy(key).agg(*[F.max_by(v, "place").alias(v) for v in values])
 
 
 def read_city_provinces(spark: SparkSession, path: str) -> DataFrame:

@@ -7,15 +7,15 @@ still ask for them.
 """
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from airlattice.functions.keys import region_key_range
-from airlattice.joins import keep_matching
+from airlattice.joins import MAX_BROADCAST_KEYS, broadcast_if_small, keep_matching
 from airlattice.schemas import RASTER_META, TILES
-from airlattice.session import stage
+from airlattice.session import staged
 
 PARTITION_BY = ("pollutant", "day")
 VERSION_KEY = ("tile_key", "pollutant", "ts")
@@ -26,8 +26,13 @@ MAX_LISTED_PARTITIONS = 2_000
 STORED = T.StructType([*TILES.fields, T.StructField("day", T.DateType())])
 
 
+def _utc_day(ts: Column) -> Column:
+    """The day of an instant in UTC, whatever the session's time zone: a version has one folder."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86_400).cast("int"))
+
+
 def with_day(tiles: DataFrame) -> DataFrame:
-    return tiles.withColumn("day", F.to_date("ts"))
+    return tiles.withColumn("day", _utc_day(F.col("ts")))
 
 
 def create_tile_table(spark: SparkSession, name: str, replace: bool = False) -> None:
@@ -89,20 +94,32 @@ def _touched_part(existing: DataFrame, touched: DataFrame, partition_by) -> Data
     return existing.where(condition)
 
 
-def upsert_tiles(incoming: DataFrame, path: str, order_by=(), partition_by=PARTITION_BY) -> None:
+def upsert_tiles(incoming: DataFrame, path: str, order_by=(), partition_by=PARTITION_BY, replaces: DataFrame = None) -> None:
     """Add tile versions; of several for one (tile, pollutant, time) the last one stays.
 
-    Incoming rows win over stored ones; among themselves the greatest ``order_by`` wins. Only
-    folders that get new rows are read and rewritten. ``incoming`` is used several times: pass
-    rows that are cheap to compute again, or ``stage`` them. Not atomic for readers meanwhile.
+    Incoming rows win over stored ones; among themselves the greatest ``order_by`` wins, then the
+    greatest cells, so a version is stored once whatever comes in. Only folders that get new rows
+    are read and rewritten, and stored rows are shuffled once, for the write. ``incoming`` is
+    computed once, into a staging folder that goes afterwards.
+
+    ``replaces``: a short table (with pollutant, ts and other columns of the tiles) of what incoming
+    rows stand for, all of it unique. Stored rows that match it go, and ``incoming`` is then neither
+    staged nor compared with itself. Not atomic for readers meanwhile.
     """
-    arriving = with_day(incoming)
-    fresh = keep_last(arriving, VERSION_KEY, order_by) if order_by else arriving
-    fresh = fresh.select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
-    existing = _read_if_present(incoming.sparkSession, path, STORED)
+    names = [F.col(f.name).cast(f.dataType) for f in STORED.fields]
+    if replaces is not None:
+        _merge_tiles(with_day(incoming).select(*names), with_day(replaces), path, partition_by, replaces.columns)
+        return
+    fresh = keep_last(with_day(incoming), VERSION_KEY, [*order_by, "data"])
+    with staged(fresh.select(*names), "upsert") as arriving:
+        _merge_tiles(arriving, arriving.select(*VERSION_KEY, "day"), path, partition_by, VERSION_KEY)
+
+
+def _merge_tiles(fresh: DataFrame, replaces: DataFrame, path: str, partition_by, key) -> None:
+    existing = _read_if_present(fresh.sparkSession, path, STORED)
     if existing is not None:
-        replaced = arriving.select(*VERSION_KEY)
-        kept = _touched_part(existing, arriving, partition_by).join(replaced, list(VERSION_KEY), "left_anti")
+        gone = broadcast_if_small(replaces.select(*key).distinct(), MAX_BROADCAST_KEYS)
+        kept = _touched_part(existing, replaces, partition_by).join(gone, list(key), "left_anti")
         fresh = kept.select(*STORED.fieldNames()).unionByName(fresh)
     write_tiles(fresh, path, mode="overwrite", partition_by=partition_by)
 
@@ -112,8 +129,8 @@ def scan_tiles(
 ) -> DataFrame:
     """Tiles of a region, in a time range (start inclusive, end exclusive), of some pollutants.
 
-    All three reach the files: tile keys and times as Parquet filters, pollutants and days as
-    folder filters. Day bounds are a day wider, so that they hold in any time zone.
+    All three reach the files: tile keys and times as Parquet filters, pollutants and days (of UTC) as
+    folder filters.
     """
     found = tiles
     if pollutants is not None:
@@ -125,11 +142,11 @@ def scan_tiles(
     if start is not None:
         first = F.lit(start).cast("timestamp")
         found = found.where(F.col("ts") >= first)
-        found = found.where(F.col("day") >= F.date_sub(F.to_date(first), 1)) if has_day else found
+        found = found.where(F.col("day") >= _utc_day(first)) if has_day else found
     if end is not None:
         last = F.lit(end).cast("timestamp")
         found = found.where(F.col("ts") < last)
-        found = found.where(F.col("day") <= F.date_add(F.to_date(last), 1)) if has_day else found
+        found = found.where(F.col("day") <= _utc_day(last)) if has_day else found
     return found.select(*columns) if columns else found
 
 
@@ -171,12 +188,15 @@ def merge_meta(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return kept.select(*names).unionByName(incoming.select(*names))
 
 
-def upsert_meta(incoming: DataFrame, path: str) -> None:
-    """Add raster metadata by region. The merged table is staged first, so that the stored one is
-    not overwritten while it is read."""
+def upsert_meta(incoming: DataFrame, path: str, order_by=()) -> None:
+    """Add raster metadata by region, one row each: of several incoming ones the greatest ``order_by``
+    wins, then the greatest of the other columns. The merged table is staged first, so that the
+    stored one is not overwritten while it is read."""
+    names = RASTER_META.fieldNames()
+    fresh = keep_last(incoming, ["region_no"], [*order_by, *names[1:]]).select(*names)
     existing = _read_if_present(incoming.sparkSession, path, RASTER_META)
-    merged = incoming.select(*RASTER_META.fieldNames()) if existing is None else merge_meta(existing, incoming)
-    stage(merged, "raster-meta").write.mode("overwrite").parquet(path)
+    with staged(fresh if existing is None else merge_meta(existing, fresh), "raster-meta") as merged:
+        merged.write.mode("overwrite").parquet(path)
 
 
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
