@@ -24,7 +24,9 @@ def run_station_etl(
     station_table(spark, paths, provinces_path, locations_path, compat).write.mode("overwrite").saveAsTable(table)
 
 
-def preview(df: DataFrame, view: str = VIEW, n: int = 100) -> DataFrame:
-    """Register the table as a temporary view and give its first rows, through SQL."""
+def preview(df: DataFrame, view: str = VIEW, n: int = 100, order_by=()) -> DataFrame:
+    """Register the table as a temporary view and give its first rows, through SQL: any rows, or the
+    first in the order of some columns."""
     df.createOrReplaceTempView(view)
-    return df.sparkSession.sql(f"SELECT * FROM {view} LIMIT {int(n)}")
+    order = f" ORDER BY {', '.join(f'`{c}`' for c in order_by)}" if order_by else ""
+    return df.sparkSession.sql(f"SELECT * FROM {view}{order} LIMIT {int(n)}")

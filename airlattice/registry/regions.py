@@ -1,5 +1,7 @@
 """Region dimension, name lookup, raster metadata, coordinates."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from airlattice.functions.geo import gcj02_to_wgs84, geohash
@@ -7,6 +9,7 @@ from airlattice.operators import regions as ops
 from airlattice.plans.region_load import load_region_dim
 from airlattice.registry import standins as st
 from airlattice.sources import tile_store as store
+from airlattice.sources.regions import read_centres
 
 
 def _code(province, city):
@@ -38,6 +41,14 @@ def centres(spark, sf_dir):
     return provinces, cities
 
 
+def centres_catalog(spark, sf_dir):
+    """City centres from a catalog table."""
+    name = f"centres_{uuid.uuid4().hex}"
+    extra = centres(spark, sf_dir)[1].withColumn("more", F.lit(1))
+    extra.write.option("path", st.scratch(spark, "centres")).saveAsTable(name)
+    return read_centres(spark, table=name)
+
+
 def region_dim(spark, sf_dir):
     return ops.build_region_dim(region_list(spark, sf_dir), *centres(spark, sf_dir))
 
@@ -153,6 +164,12 @@ SELECT c_custkey, r_name AS province, nation.n_name AS city, cities.code, substr
        substr(cities.code, 3, 2)::BIGINT AS city_no, cities.code::BIGINT AS region_no
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 LEFT JOIN cities ON cities.province = r_name AND cities.n_name = nation.n_name""",
+    ),
+    "centres_catalog": (
+        centres_catalog,
+        """SELECT concat(n_name, CASE WHEN n_nationkey % 2 = 0 THEN '市' ELSE '' END) AS name,
+       concat('[', n_nationkey + 90, '.25,', min(s_suppkey) % 90, '.75]') AS cp
+FROM nation JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_name, n_nationkey""",
     ),
     "upsert_meta": (
         upsert_meta,

@@ -1,9 +1,11 @@
 """Cleaning and typing of station text."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from airlattice.operators import stations as ops
-from airlattice.plans.station_etl import preview, station_table
+from airlattice.plans.station_etl import preview, run_station_etl, station_table
 from airlattice.registry import standins as st
 from airlattice.sources.text import read_lines, write_lines
 
@@ -87,18 +89,37 @@ def _chain(compat):
 
 def station_files(spark, sf_dir):
     """The same from files: station text and both lookups as files; through a view."""
-    folder = st.scratch(spark, "station")
+    folder = _lookup_files(spark, sf_dir)
+    cleaned = station_table(spark, st.station_folder(spark, sf_dir), f"{folder}/provinces", f"{folder}/locations")
+    preview(cleaned)
+    return _time(spark.sql("SELECT * FROM air_data"))
+
+
+def _lookup_files(spark, sf_dir) -> str:
+    folder = st.scratch(spark, "lookups")
     header = spark.createDataFrame([(0, "province city")], "part int, value string")
     cities = st.provinces(spark, sf_dir).select(F.lit(1).alias("part"), F.concat_ws(" ", "province", "city").alias("value"))
     write_lines(header.unionByName(cities).orderBy("part").coalesce(1), f"{folder}/provinces")
     header = spark.createDataFrame([(0, "address lng lat")], "part int, value string")
-    places = st.locations(spark, sf_dir).select(
-        F.lit(1).alias("part"), F.concat_ws(" ", "address", "lng", "lat").alias("value")
-    )
+    places = st.locations(spark, sf_dir).select(F.lit(1).alias("part"), F.concat_ws(" ", "address", "lng", "lat").alias("value"))
     write_lines(header.unionByName(places).orderBy("part").coalesce(1), f"{folder}/locations")
-    cleaned = station_table(spark, st.station_folder(spark, sf_dir), f"{folder}/provinces", f"{folder}/locations")
-    preview(cleaned)
-    return _time(spark.sql("SELECT * FROM air_data"))
+    return folder
+
+
+def station_managed(spark, sf_dir):
+    """The whole job into a managed table, run twice (it replaces), then read by name."""
+    folder = _lookup_files(spark, sf_dir)
+    name = f"station_{uuid.uuid4().hex}"
+    for _ in range(2):
+        run_station_etl(spark, st.station_folder(spark, sf_dir), f"{folder}/provinces", f"{folder}/locations", name)
+    return _time(spark.table(name))
+
+
+def station_preview(spark, sf_dir):
+    """The first rows by every column, through the view."""
+    folder = _lookup_files(spark, sf_dir)
+    cleaned = _time(station_table(spark, st.station_folder(spark, sf_dir), f"{folder}/provinces", f"{folder}/locations"))
+    return preview(cleaned, "air_preview", TOP, cleaned.columns)
 
 
 def station_project(spark, sf_dir):
@@ -197,6 +218,8 @@ QUERIES = {
     "station_chain": (_chain(False), _typed_sql(False)),
     "station_chain_compat": (_chain(True), _typed_sql(True)),
     "station_files": (station_files, _typed_sql(False)),
+    "station_managed": (station_managed, _typed_sql(False)),
+    "station_preview": (station_preview, f"SELECT * FROM ({_typed_sql(False)}) ORDER BY ALL NULLS FIRST LIMIT {TOP}"),
     "station_project": (
         station_project,
         f"WITH {st.STATION_SQL} SELECT f[1] AS time, f[2] AS city, f[3] AS site, f[4] AS aqi, f[15] AS o3_8h FROM filled",

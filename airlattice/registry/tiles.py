@@ -1,5 +1,7 @@
 """Aggregates, scans and bands over tile versions."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from airlattice.operators import bands, olap
@@ -228,6 +230,16 @@ SELECT tile_key, pollutant, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {_SUM_SQL}
 _TS_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 _RANGE_SQL = f"tile_key >= {REGION * 100000} AND tile_key < {(REGION + 1) * 100000} AND ts >= '{START}' AND ts < '{END}'"
 
+def tile_catalog(spark, sf_dir):
+    """Hourly tiles through a catalog table: made, made again without effect, filled, read by name."""
+    name = f"tiles_{uuid.uuid4().hex}"
+    store.create_tile_table(spark, name)
+    stored = store.with_day(hour_store(spark, sf_dir))
+    stored.select(*spark.table(name).columns).write.insertInto(name)
+    store.create_tile_table(spark, name)
+    return _summed(spark.table(name), "tile_key", "pollutant", _text())
+
+
 QUERIES = {
     "time_pattern_hours": (_time_pattern(st.hour_tiles, "hours"), _time_pattern_sql(st.hour_tiles_sql(), "hour")),
     **{
@@ -255,6 +267,7 @@ QUERIES = {
         f"WITH {_STORE_SQL} SELECT tile_key, pollutant, {_TS_SQL}, {_SUM_SQL} AS total FROM stored "
         f"WHERE {_RANGE_SQL} AND pollutant IN ('pm25', 'co')",
     ),
+    "tile_catalog": (tile_catalog, f"WITH {_STORE_SQL} SELECT tile_key, pollutant, {_TS_SQL}, {_SUM_SQL} AS total FROM stored"),
     "tile_count": (tile_count, f"WITH {_STORE_SQL} SELECT count(DISTINCT tile_key) AS n_tiles FROM stored WHERE {_RANGE_SQL}"),
     "scan_latest": (
         scan_latest,
