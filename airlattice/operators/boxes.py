@@ -65,8 +65,17 @@ def _overlaps(box: Box) -> Column:
     )
 
 
-def tiles_in_box(tiles: DataFrame, box: Box, tile_length: int) -> DataFrame:
-    """Tiles that overlap the box: each row is judged by its own extent, no shuffle."""
+def tiles_in_box(tiles: DataFrame, box: Box, tile_length: int, meta: DataFrame = None) -> DataFrame:
+    """Tiles that overlap the box.
+
+    With ``meta``, the tile keys are found from the raster metadata, so that the scan of ``tiles``
+    gets them as a filter; without it each row is judged by its own extent. No shuffle either way
+    while keys are few.
+    """
+    if meta is not None:
+        east, north = F.col("xll") + F.col("ncols") * F.col("cellsize"), F.col("yll") + F.col("nrows") * F.col("cellsize")
+        near = (F.col("xll") < box.lng_max) & (east > box.lng_min) & (F.col("yll") < box.lat_max) & (north > box.lat_min)
+        return keep_matching(tiles, tile_directory(meta.where(near)).where(_overlaps(box)), "tile_key")
     return tile_extents(tiles, tile_length).where(_overlaps(box)).select(*tiles.columns)
 
 
@@ -121,25 +130,47 @@ def build_geo_index(meta: DataFrame, precision: int) -> DataFrame:
     return geohash_cover(tile_directory(meta), precision).drop("gx", "gy")
 
 
-def box_tile_keys(index: DataFrame, boxes: DataFrame, precision: int) -> DataFrame:
+def _cells_in(precision: int) -> Column:
+    """About how many GeoHash cells a box has."""
+    width, height = geohash_cell_size(precision)
+    return ((F.col("lng_max") - F.col("lng_min")) / width + 1) * ((F.col("lat_max") - F.col("lat_min")) / height + 1)
+
+
+def box_tile_keys(index: DataFrame, boxes: DataFrame, precision: int, by=()) -> DataFrame:
     """(box_id, tile_key) of overlapping tiles for boxes of (box_id, lng_min, lat_min, lng_max, lat_max).
 
-    Boxes and tiles meet on equal GeoHash cells, then by their extents. A pair that shares many
-    cells is kept only in the most south-western of them, so no distinct is needed.
+    Boxes and tiles meet on equal GeoHash cells (and on ``by``, columns of both), then by their
+    extents. A pair that shares many cells is kept only in the most south-western of them, so no
+    distinct is needed. A box of more than MAX_BOX_CELLS cells is unfolded into coarser ones, of
+    which the whole world has no more.
     """
+    coarse = precision
+    while coarse > 1 and 32**coarse > MAX_BOX_CELLS:
+        coarse -= 1
+    edges = ["lng_min", "lat_min", "lng_max", "lat_max"]
+    wanted = boxes.select("box_id", *by, *edges)
+    if coarse == precision:
+        return _box_hits(index, wanted, precision, precision, by)
+    small = wanted.where(_cells_in(precision) <= MAX_BOX_CELLS)
+    large = wanted.where(_cells_in(precision) > MAX_BOX_CELLS)
+    return _box_hits(index, small, precision, precision, by).unionByName(_box_hits(index, large, precision, coarse, by))
+
+
+def _box_hits(index: DataFrame, boxes: DataFrame, precision: int, level: int, by) -> DataFrame:
+    """Hits of boxes unfolded at ``level``, a prefix of the index's cells."""
     width, height = geohash_cell_size(precision)
     edges = ["lng_min", "lat_min", "lng_max", "lat_max"]
-    covered = geohash_cover(boxes.select("box_id", *edges), precision).select(
-        "box_id", "geohash", "gx", "gy", *[F.col(c).alias(f"box_{c}") for c in edges]
+    covered = geohash_cover(boxes, level).select(
+        "box_id", *by, F.col("geohash").alias("cell"), *[F.col(c).alias(f"box_{c}") for c in edges]
     )
     west, south = F.greatest("lng_min", "box_lng_min"), F.greatest("lat_min", "box_lat_min")
-    hits = index.join(covered, "geohash").where(
+    corner = geohash_of_cell(_first_cell(west, 180.0, width), _first_cell(south, 90.0, height), precision)
+    hits = index.withColumn("cell", F.substring("geohash", 1, level)).join(covered, ["cell", *by]).where(
         (F.col("lng_min") < F.col("box_lng_max"))
         & (F.col("lng_max") > F.col("box_lng_min"))
         & (F.col("lat_min") < F.col("box_lat_max"))
         & (F.col("lat_max") > F.col("box_lat_min"))
-        & (F.col("gx") == _first_cell(west, 180.0, width))
-        & (F.col("gy") == _first_cell(south, 90.0, height))
+        & (F.col("geohash") == corner)
     )
     return hits.select("box_id", "tile_key")
 
@@ -147,11 +178,7 @@ def box_tile_keys(index: DataFrame, boxes: DataFrame, precision: int) -> DataFra
 def tiles_in_box_indexed(tiles: DataFrame, index: DataFrame, box: Box, precision: int) -> DataFrame:
     """Tiles that overlap the box, found through the index table instead of by reading extents.
 
-    A box of very many cells is not unfolded: the index is then filtered by its extents.
     """
-    width, height = geohash_cell_size(precision)
-    if (box.lng_max - box.lng_min) / width * (box.lat_max - box.lat_min) / height > MAX_BOX_CELLS:
-        return keep_matching(tiles, index.where(_overlaps(box)), "tile_key")
     one = tiles.sparkSession.createDataFrame(
         [(0, *[float(v) for v in box])],
         "box_id int, lng_min double, lat_min double, lng_max double, lat_max double",

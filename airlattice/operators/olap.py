@@ -5,7 +5,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.functions.cells import nodata_of, valid_max, valid_mean, valid_min
+from airlattice.functions.cells import nodata_of, valid_count, valid_max, valid_mean, valid_min, valid_sum
 from airlattice.functions.timebuckets import bucket_start, bucket_text
 from airlattice.schemas import HIERARCHIES, PROPS
 
@@ -20,18 +20,21 @@ def tile_means(tiles: DataFrame, nodata=None) -> DataFrame:
     return tiles.withColumn("tile_mean", valid_mean(F.col("data"), nodata_of(nodata)))
 
 
-def time_pattern(tiles: DataFrame, level: str, nodata=None, compat: bool = False) -> DataFrame:
-    """Mean of tile means per time bucket, sorted by bucket.
+def time_pattern(tiles: DataFrame, level: str, nodata=None, compat: bool = False, weighted: bool = False) -> DataFrame:
+    """Mean of tile means per time bucket, sorted by bucket; ``weighted`` by the tiles' valid cells, it is
+    the mean of all valid cells.
 
     ``level`` is hour, day, month, season, year or all. Tiles without valid cells are left out;
     a bucket of nothing else has a NULL mean (NaN with ``compat``). Grouping is on the truncated
     timestamp; text is made once per bucket.
     """
-    per_tile = tiles.select(
-        bucket_start(F.col("ts"), level).alias("start"),
-        valid_mean(F.col("data"), nodata_of(nodata)).alias("tile_mean"),
-    )
-    buckets = per_tile.groupBy("start").agg(F.avg("tile_mean").alias("mean"))
+    start, marker = bucket_start(F.col("ts"), level).alias("start"), nodata_of(nodata)
+    if weighted:
+        sums = tiles.select(start, valid_sum(F.col("data"), marker).alias("total"), valid_count(F.col("data"), marker).alias("n"))
+        buckets = sums.groupBy("start").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("mean"))
+    else:
+        means = tiles.select(start, valid_mean(F.col("data"), marker).alias("tile_mean"))
+        buckets = means.groupBy("start").agg(F.avg("tile_mean").alias("mean"))
     mean = F.coalesce("mean", F.lit(float("nan"))) if compat else F.col("mean")
     return buckets.select(bucket_text(F.col("start"), level).alias("bucket"), mean.alias("mean")).orderBy("bucket")
 

@@ -14,6 +14,7 @@ from airlattice.sources import tile_store as store
 # Fixed values of the questions asked.
 CURVE = 64
 BOX = boxes.Box(72.0, 19.0, 83.3, 25.1)
+COURSE_BOX = boxes.Box(101.0, 18.5, 121.0, 21.0)
 PRECISION = 3
 FIRST_HOUR = "2016-05-01 00:00:00"
 IMPORT_START, IMPORT_END = "2016-05-01", "2999-12-31"
@@ -311,8 +312,16 @@ WHERE strftime(time, '%Y-%m-%d %H:%M:%S') BETWEEN '{SOME_START}' AND '{SOME_END}
 
 
 def box_query(spark, sf_dir):
-    found = boxes.tiles_in_box(cut(spark, sf_dir), BOX, st.RASTER_LENGTH)
-    return found.select("tile_key", _total())
+    found = boxes.tiles_in_box(cut(spark, sf_dir), BOX, st.RASTER_LENGTH, st.raster_meta(spark, sf_dir))
+    return _cells_of(found, "tile_key")
+
+
+def box_question(spark, sf_dir):
+    """Hourly course of the imported tiles under a box."""
+    folder = import_folder(spark, sf_dir)
+    meta = store.read_meta(spark, f"{folder}/meta")
+    tiles = tile_query.box_tiles(spark, f"{folder}/tiles", meta, COURSE_BOX, "pm25", f"{IMPORT_START} 00:00:00", f"{IMPORT_END} 00:00:00")
+    return tile_query.time_query(tiles, "hours").select("bucket", F.round("mean", 4).alias("mean"))
 
 
 def geo_index(spark, sf_dir):
@@ -324,28 +333,48 @@ def _customer_boxes(spark, sf_dir):
     """A box of 0.5 x 0.25 degrees per customer."""
     key = F.col("c_custkey")
     west, south = 70.0 + (key * 37 % 480) * 0.1, 18.0 + (key * 17 % 330) * 0.1
-    return st.table(spark, sf_dir, "customer").select(
-        key.alias("box_id"), west.alias("lng_min"), south.alias("lat_min"),
+    regions = st.raster_meta(spark, sf_dir).agg(F.count(F.lit(1)).alias("regions"))
+    customers = st.table(spark, sf_dir, "customer").crossJoin(F.broadcast(regions))
+    return customers.select(
+        key.alias("box_id"), (key % F.col("regions") + 101).alias("region_no"), west.alias("lng_min"), south.alias("lat_min"),
         (west + 0.5).alias("lng_max"), (south + 0.25).alias("lat_max"),
     )
 
 
 def geohash_query(spark, sf_dir):
-    """Tiles under each customer's box, through the index."""
+    """Tiles of each customer's region under the customer's box, through a stored index: rasters lie on
+    top of each other, and a box asks for one of them."""
+    path = st.scratch(spark, "index")
     index = boxes.build_geo_index(st.raster_meta(spark, sf_dir), PRECISION)
-    return boxes.box_tile_keys(index, _customer_boxes(spark, sf_dir), PRECISION)
+    store.refresh_geo_index(index, path)
+    store.refresh_geo_index(index.where("region_no % 2 = 0"), path)
+    return boxes.box_tile_keys(spark.read.parquet(path), _customer_boxes(spark, sf_dir), PRECISION, by=("region_no",))
 
 
 def geohash_box(spark, sf_dir):
     """The same tiles as in box_query, through the index."""
     index = boxes.build_geo_index(st.raster_meta(spark, sf_dir), PRECISION)
-    return boxes.tiles_in_box_indexed(cut(spark, sf_dir), index, BOX, PRECISION).select("tile_key", _total())
+    return boxes.tiles_in_box_indexed(cut(spark, sf_dir), index, BOX, PRECISION).transform(_cells_of, "tile_key")
 
 
 _BOX_SQL = f"""WITH {st.CELLS_SQL}
-SELECT tile_key, round(sum(value::DOUBLE), 2) AS total FROM located JOIN extents USING (region_no, tile_code)
-WHERE lng_min < {BOX.lng_max} AND lng_max > {BOX.lng_min} AND lat_min < {BOX.lat_max} AND lat_max > {BOX.lat_min}
-GROUP BY tile_key"""
+SELECT tile_key, pos, round(value::DOUBLE, 2) AS value FROM located JOIN extents USING (region_no, tile_code)
+WHERE lng_min < {BOX.lng_max} AND lng_max > {BOX.lng_min} AND lat_min < {BOX.lat_max} AND lat_max > {BOX.lat_min}"""
+
+_BOX_COURSE_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL},
+stored AS (
+  SELECT *, (k % 2 + 1) * 100 + k % {CITIES} + 1 AS city_no,
+         row_number() OVER (PARTITION BY k % {CITIES} ORDER BY time DESC) AS newest FROM named),
+spots AS (SELECT city_no, xll, yll FROM stored WHERE newest = 1),
+placed_tiles AS (
+  SELECT time, tile_code, city_no, avg(value::DOUBLE) FILTER (value <> -9999) AS tile_mean, any_value(x) AS x, any_value(y) AS y,
+         any_value(height) AS height, any_value(width) AS width
+  FROM located JOIN stored USING (region_no) WHERE time < '{IMPORT_END}' GROUP BY region_no, time, tile_code, city_no)
+SELECT strftime(time, '%Y-%m-%d %H') AS bucket, round(avg(tile_mean), 4) AS mean
+FROM placed_tiles t JOIN spots s ON t.city_no = s.city_no
+WHERE s.xll + x * 2.0 < {COURSE_BOX.lng_max} AND s.xll + x * 2.0 + width * 0.125 > {COURSE_BOX.lng_min}
+  AND s.yll + y * 2.0 < {COURSE_BOX.lat_max} AND s.yll + y * 2.0 + height * 0.125 > {COURSE_BOX.lat_min}
+GROUP BY 1"""
 
 # Cells of precision 3 are 360/256 degrees wide and 180/128 high; 15 bits, longitude first.
 _HASH_SQL = """concat(
@@ -362,10 +391,10 @@ SELECT region_no, {_HASH_SQL} AS geohash, tile_code FROM both_of"""
 
 _CUSTOMER_BOX_SQL = f"""WITH {st.CELLS_SQL},
 corners AS (
-  SELECT c_custkey AS box_id, 70.0::DOUBLE + (c_custkey * 37 % 480) * 0.1::DOUBLE AS west,
+  SELECT c_custkey AS box_id, c_custkey % (SELECT count(*) FROM meta) + 101 AS region_no, 70.0::DOUBLE + (c_custkey * 37 % 480) * 0.1::DOUBLE AS west,
          18.0::DOUBLE + (c_custkey * 17 % 330) * 0.1::DOUBLE AS south FROM customer)
 SELECT box_id, tile_key FROM corners JOIN extents
-ON lng_min < west + 0.5 AND lng_max > west AND lat_min < south + 0.25 AND lat_max > south"""
+ON corners.region_no = extents.region_no AND lng_min < west + 0.5 AND lng_max > west AND lat_min < south + 0.25 AND lat_max > south"""
 
 QUERIES = {
     "split_tiles": (
@@ -418,6 +447,7 @@ heat AS (
 SELECT "row", col, round(v::DOUBLE, 1) AS value FROM heat""",
     ),
     "box_query": (box_query, _BOX_SQL),
+    "box_question": (box_question, _BOX_COURSE_SQL),
     "geo_index": (geo_index, _INDEX_SQL),
     "geohash_query": (geohash_query, _CUSTOMER_BOX_SQL),
     "geohash_box": (geohash_box, _BOX_SQL),

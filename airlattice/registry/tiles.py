@@ -50,6 +50,12 @@ def _time_pattern_sql(tiles_sql, level):
 SELECT {_BUCKET_SQL[level]} AS bucket, round(avg(tile_mean), 6) AS mean FROM means GROUP BY 1 ORDER BY 1"""
 
 
+def time_pattern_weighted(spark, sf_dir):
+    """Tiles with many missing cells count less."""
+    course = olap.time_pattern(st.day_tiles(spark, sf_dir, 0.25), "month", weighted=True)
+    return course.select("bucket", F.round("mean", 6).alias("mean"))
+
+
 def _spatial_mean(floor):
     def run(spark, sf_dir):
         return _cells(olap.spatial_mean(st.day_tiles(spark, sf_dir, floor)), "tile_key")
@@ -247,6 +253,11 @@ QUERIES = {
         for level in ("day", "month", "season", "year", "all")
     },
     "time_pattern_sparse": (_time_pattern(st.day_tiles, "day", 0.25), _time_pattern_sql(st.day_tiles_sql(0.25), "day")),
+    "time_pattern_weighted": (
+        time_pattern_weighted,
+        f"""WITH {st.day_tiles_sql(0.25)}, cells AS (SELECT ts, unnest(data)::DOUBLE AS v FROM tiles)
+SELECT strftime(ts, '%Y-%m') AS bucket, round(avg(v) FILTER (v <> -999), 6) AS mean FROM cells GROUP BY 1 ORDER BY 1""",
+    ),
     "spatial_mean": (_spatial_mean(-0.2), _spatial_mean_sql(-0.2)),
     "spatial_mean_sparse": (_spatial_mean(0.25), _spatial_mean_sql(0.25)),
     "spatial_mean_props": (

@@ -199,5 +199,23 @@ def upsert_meta(incoming: DataFrame, path: str, order_by=()) -> None:
         merged.write.mode("overwrite").parquet(path)
 
 
+# --- GeoHash index ---------------------------------------------------------------------------
+
+
+def write_geo_index(index: DataFrame, path: str) -> None:
+    """An index (see ``build_geo_index``) sorted by cell, so that a cell is found by file statistics."""
+    index.repartitionByRange("geohash").sortWithinPartitions("geohash").write.mode("overwrite").parquet(path)
+
+
+def refresh_geo_index(changed: DataFrame, path: str) -> None:
+    """Replace the regions of ``changed``, an index of new or altered regions, in a stored one."""
+    existing = _read_if_present(changed.sparkSession, path, changed.schema)
+    if existing is None:
+        return write_geo_index(changed, path)
+    kept = existing.join(changed.select("region_no").distinct(), "region_no", "left_anti").select(*changed.columns)
+    with staged(kept.unionByName(changed), "geo-index") as merged:
+        write_geo_index(merged, path)
+
+
 def read_meta(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RASTER_META).parquet(path)
