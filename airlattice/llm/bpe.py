@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import byte_texts
-from airlattice.llm.encode import encoder, slices, vocabulary
+from airlattice.llm.common import byte_texts, return_memory
+from airlattice.llm.encode import batch_slices, encoder, vocabulary
 
 # The hash covers this many bytes; a chunk ends where its low bits are zero (one place in 256).
 WINDOW = 16
 MASK = (1 << 8) - 1
 SHORTEST, LONGEST = 64, 2048
 # Bytes of chunk texts kept per generation in a worker.
-KEPT_BYTES = 16 << 20
+KEPT_BYTES = 6 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -90,96 +90,76 @@ class ChunkEncoder:
         self.lengths = np.array([len(b) for b in self.token_bytes], np.int64)
         self.chunks, self.older, self.kept = {}, {}, 0
 
-    def _encode(self, parts: list[bytes]) -> list[np.ndarray]:
-        found = self.own.encode([p.decode("utf-8", "replace") for p in parts])
-        return [np.frombuffer(ids, np.uint32) for ids in found]
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        return self.own.encode([p.decode("utf-8", "replace") for p in parts])
 
     def _learn(self, wanted: set) -> None:
         fresh = []
-        for chunk in wanted:
-            if chunk not in self.chunks:
-                if chunk in self.older:
-                    self.chunks[chunk] = self.older[chunk]
-                else:
-                    fresh.append(chunk)
-        for chunk, ids in zip(fresh, self._encode(fresh)):
-            self.chunks[chunk] = (ids, np.cumsum(self.lengths[ids]))
-            self.kept += len(chunk)
+        for chunk in wanted.difference(self.chunks):
+            ids = self.older.get(chunk)
+            if ids is None:
+                fresh.append(chunk)
+            else:
+                self.chunks[chunk] = ids
+        self.chunks.update(zip(fresh, self._encode(fresh)))
+        self.kept += sum(map(len, fresh))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         cut, wanted = [], set()
         for text in texts:
-            view = np.frombuffer(text, np.uint8)
-            ends = cut_places(view)
+            ends = cut_places(np.frombuffer(text, np.uint8))
             chunks = [text[a:b] for a, b in zip([0, *ends], ends)]
             wanted.update(chunks)
-            cut.append((view, ends, chunks))
+            cut.append((ends, chunks))
         self._learn(wanted)
-        # Windows to encode again, for all texts of the slice at once.
-        plans = [self._windows(*item) if len(item[1]) > 1 else [] for item in cut]
-        distinct = {text[a:b] for text, windows in zip(texts, plans) for a, b in windows}
+        joined, distinct = [], set()
+        for text, (ends, chunks) in zip(texts, cut):
+            ids = np.frombuffer(b"".join([self.chunks[c] for c in chunks]), np.uint32)
+            windows = self._windows(text, ends, ids) if len(ends) > 1 else []
+            distinct.update([text[a:b] for a, b, _, _ in windows])
+            joined.append((ids, windows))
+        # Windows are encoded again for all texts of the slice at once.
         repairs = dict(zip(distinct, self._encode(list(distinct))))
-        found = [self._join(text, *item, windows, repairs) for text, item, windows in zip(texts, cut, plans)]
         if self.kept > KEPT_BYTES:
             self.chunks, self.older, self.kept = {}, self.chunks, 0
-        return found
+        return [self._repaired(text, ids, windows, repairs) for text, (ids, windows) in zip(texts, joined)]
+
+    def _windows(self, text: bytes, ends: list[int], ids: np.ndarray) -> list[tuple]:
+        """(from, to) in bytes around the joins, and the tokens of the chunks that end before and by them.
 
-    def _windows(self, view, ends, chunks) -> list[tuple[int, int]]:
-        """(from, to) in bytes around the joins, widened until both ends are agreed; windows that meet are one."""
+        A window's ends are word starts where a token of the chunks ends too; it is widened until
+        that is so. Windows that meet are one.
+        """
+        view = np.frombuffer(text, np.uint8)
         starts = np.flatnonzero((view[1:] == 32) & _PLAIN[view[:-1]]) + 1
-        starts = np.concatenate([[0], starts, [len(view)]])
+        token_ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])
+        agreed = starts[token_ends[np.searchsorted(token_ends, starts)] == starts]
+        agreed = np.concatenate([[0], agreed, [len(text)]])
         joins = np.array(ends[:-1])
-        before = np.searchsorted(starts, joins, side="right") - 1
-        after = np.searchsorted(starts, joins, side="left")
+        begins = agreed[np.searchsorted(agreed, joins, side="right") - 1]
+        stops = agreed[np.searchsorted(agreed, joins, side="left")]
+        inside = begins < stops  # else the join is agreed as it is
         windows: list = []
-        for i, j in zip(before.tolist(), after.tolist()):
-            if i == j:
-                continue  # the join is a word start itself
-            while not self._agrees(int(starts[i]), ends, chunks):
-                i -= 1
-            while not self._agrees(int(starts[j]), ends, chunks):
-                j += 1
-            a, b = int(starts[i]), int(starts[j])
+        for a, b in zip(begins[inside].tolist(), stops[inside].tolist()):
             if windows and a <= windows[-1][1]:
-                windows[-1] = (windows[-1][0], max(b, windows[-1][1]))
+                windows[-1][1] = max(b, windows[-1][1])
             else:
-                windows.append((a, b))
-        return windows
-
-    def _agrees(self, place: int, ends, chunks) -> bool:
-        """Whether a token of the chunk around ``place`` ends there."""
-        if place in (0, ends[-1]):
-            return True
-        k = int(np.searchsorted(ends, place, side="right"))
-        inside = place - (ends[k - 1] if k else 0)
-        if inside == 0:
-            return True
-        sums = self.chunks[chunks[k]][1]
-        return int(sums[np.searchsorted(sums, inside)]) == inside
-
-    def _join(self, text, view, ends, chunks, windows, repairs) -> np.ndarray:
-        """Ids of the chunks outside the windows, and of the windows."""
-        if not chunks:
-            return np.zeros(0, np.uint32)
-        out, at, n = [], 0, 0
-        begin = 0
-        for chunk, end in zip(chunks, ends):
-            ids, sums = self.chunks[chunk]
-            while True:
-                stop = min(windows[n][0], end) if n < len(windows) else end
-                if at < stop:
-                    first = int(np.searchsorted(sums, at - begin, side="right")) if at > begin else 0
-                    last = int(np.searchsorted(sums, stop - begin, side="left")) + 1
-                    out.append(ids[first:last])
-                    at = stop
-                if n < len(windows) and at == windows[n][0] and at < end:
-                    out.append(repairs[text[slice(*windows[n])]])
-                    at = windows[n][1]
-                    n += 1
-                if at >= end:
-                    break
-            begin = end
-        return np.concatenate(out)
+                windows.append([a, b])
+        places = np.searchsorted(token_ends, np.array(windows, np.int64).reshape(-1, 2)).tolist()
+        return [(a, b, i, j) for (a, b), (i, j) in zip(windows, places)]
+
+    @staticmethod
+    def _repaired(text: bytes, ids: np.ndarray, windows: list[tuple], repairs: dict) -> np.ndarray:
+        """The chunks' ids outside the windows, and those of the windows."""
+        if not windows:
+            return ids
+        out, last = [], 0
+        for a, b, i, j in windows:
+            out.append(ids[last:i].tobytes())
+            out.append(repairs[text[a:b]])
+            last = j
+        out.append(ids[last:].tobytes())
+        return np.frombuffer(b"".join(out), np.uint32)
 
 
 def _token_bytes(words: dict[str, int], special: set[int]) -> list[bytes]:
@@ -199,25 +179,35 @@ def is_byte_level(vocabulary_text: str) -> bool:
     return kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space")
 
 
-def encode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, ids: the ids of each whole text."""
+def encode(docs: DataFrame, tokenizer_path: str, decoded: bool = False) -> DataFrame:
+    """doc_id, ids: the ids of each whole text; with ``decoded`` also text: what the ids decode to, in the
+    same pass, so that one worker serves a task."""
     words = vocabulary(docs.sparkSession, tokenizer_path)
     if not is_byte_level(words.value):
         raise ValueError("chunk reuse needs a byte-level vocabulary that adds no leading space")
 
     def run(batches):
+        return_memory()
         own = _chunk_encoder(words)
         for batch in batches:
-            for part in slices(list(range(batch.num_rows))):
-                piece = batch.slice(part[0], len(part))
+            for piece in batch_slices(batch):
                 found = own.encode(byte_texts(piece.column("text")))
                 sizes = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.concatenate(found).astype(np.int32) if found else np.zeros(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), ids], ["doc_id", "ids"])
+                arrays = [piece.column("doc_id"), ids]
+                if decoded:
+                    arrays.append(_texts(own.token_bytes, [x.tolist() for x in found]))
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
+    names = ["doc_id", "ids", "text"] if decoded else ["doc_id", "ids"]
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return columns.mapInArrow(run, "doc_id long, ids array<int>")
+    return columns.mapInArrow(run, "doc_id long, ids array<int>" + (", text string" if decoded else ""))
+
+
+def _texts(table: list[bytes], lists: list[list[int]]) -> pa.Array:
+    """Ids to text by the bytes of each id."""
+    return pa.array([b"".join([table[i] for i in ids]).decode("utf-8", "replace") for ids in lists], pa.string())
 
 
 _chunk_encoders: dict = {}
@@ -236,12 +226,11 @@ def decode(tokens: DataFrame, tokenizer_path: str) -> DataFrame:
     words = vocabulary(tokens.sparkSession, tokenizer_path)
 
     def run(batches):
+        return_memory()
         table = _chunk_encoder(words).token_bytes
         for batch in batches:
-            ids = batch.column("ids")
-            flat = [table[i] for i in ids.flatten().to_pylist()]
-            ends = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())]).tolist()
-            texts = [b"".join(flat[a:b]).decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+            for piece in batch_slices(batch):
+                texts = _texts(table, [x or [] for x in piece.column("ids").to_pylist()])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ids"), texts], ["doc_id", "ids", "text"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")

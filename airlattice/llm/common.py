@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from airlattice.session import pin_time_zone, shared_folder, stage
 
-__all__ = ["arrow_rows", "byte_texts", "fold", "shared_folder", "ship", "stage", "table"]
+__all__ = ["arrow_rows", "byte_texts", "fold", "return_memory", "shared_folder", "ship", "stage", "table"]
 
 
 _shipped: set = set()
@@ -59,6 +59,12 @@ def byte_texts(column: pa.Array):
     return texts
 
 
+def return_memory() -> None:
+    """Let this worker's Arrow batches go back to the system when they are done with: workers stay on
+    between tasks, and Arrow's own allocators keep what the largest batch took."""
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
 def arrow_rows(df: DataFrame, schema: str, make) -> DataFrame:
     """Rows that ``make()``'s function gives for each Arrow batch of ``df``; ``make`` runs once a task.
 

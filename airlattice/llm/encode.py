@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 # Words kept per generation (about 220 bytes each), and texts handled at once.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 150_000
 SLICE = 250
 _SPLIT = re.compile(r"(?<=\S) ")
 _UNSAFE = re.compile(r"\s ")

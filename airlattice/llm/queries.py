@@ -55,7 +55,7 @@ def op3_quality(spark, sf_dir):
 
 def op4_bpe(spark, sf_dir):
     path = public_tokenizers.path(BYTE_BPE)
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    found = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
