@@ -14,7 +14,7 @@ from airlattice.sources import tile_store as store
 # Fixed values of the questions asked.
 CURVE = 64
 BOX = boxes.Box(72.0, 19.0, 83.3, 25.1)
-COURSE_BOX = boxes.Box(101.0, 18.5, 121.0, 21.0)
+COURSE_BOX = boxes.Box(72.0, 18.5, 121.0, 21.0)
 PRECISION = 3
 FIRST_HOUR = "2016-05-01 00:00:00"
 IMPORT_START, IMPORT_END = "2016-05-01", "2999-12-31"
@@ -22,7 +22,7 @@ ASKED = ("P1", "C1", "pm25")
 # Cities of the files: few, so that each has several hours even in small tables.
 CITIES = 4
 # Names outside these bounds are not opened.
-SOME_START, SOME_END = "2016-05-01 01:00:00", "2016-05-01 12:00:00"
+SOME_START, SOME_END = "2016-05-01 00:00:00", "2016-05-01 01:30:00"
 
 
 def _big(*names):
@@ -232,7 +232,7 @@ def raster_import(spark, sf_dir):
 
 
 def import_between(spark, sf_dir):
-    """Bounds that leave out files of earlier and later hours: tiles by region and hour."""
+    """Bounds that leave out files of later hours: tiles by region and hour."""
     folder = st.scratch(spark, "import")
     import_rasters(
         spark, raster_files(spark, sf_dir), _file_regions(spark, sf_dir), f"{folder}/tiles", f"{folder}/meta", SOME_START, SOME_END
