@@ -148,8 +148,3 @@ def batch_slices(batch, size: int = SLICE):
     """An Arrow batch in steps, so that few of its texts are held as strings at a time."""
     for at in range(0, batch.num_rows, size):
         yield batch.slice(at, size)
-
-
-def slices(items: list, size: int = SLICE):
-    for at in range(0, len(items), size):
-        yield items[at : at + size]

@@ -30,7 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airlattice.llm.encode import encoder, slices, vocabulary
+from airlattice.joins import broadcast_if_small
+from airlattice.llm.common import return_memory
+from airlattice.llm.encode import batch_slices, encoder, vocabulary
 
 SKIPPABLE = 0x184D2A5E
 MAGIC = b"ATOKENS\n"
@@ -39,8 +41,11 @@ FRAMES = np.dtype([("packed", "<u4"), ("size", "<u4"), ("check", "<u4")])
 DOCS = np.dtype([("doc_id", "<i8"), ("n", "<i8"), ("frame", "<u4"), ("null", "<u4")])
 # Ids of a frame (a longer document has a frame of its own), and text bytes behind one file.
 FRAME_IDS = 1 << 16
-FILE_TEXT_BYTES = 32 << 20
+FILE_TEXT_BYTES = 16 << 20
 LEVEL = 3
+# Bytes of ids that a reading task holds before it hands them on.
+READ_BYTES = 4 << 20
+MAX_BROADCAST_FILES = 500_000
 TABLE = "doc_id long, file long, place long, start_in_file long, n_tokens long, ids binary"
 
 
@@ -73,13 +78,15 @@ class FileBuilder:
         self.frames.append((len(packed), len(data), check_of(data)))
         self.open, self.open_ids = [], 0
 
-    def finish(self) -> bytes:
+    def finish(self, without: int = 0) -> bytes:
+        """The file, but for the last ``without`` bytes of the footer."""
         if self.open:
             self._close()
         frames, docs = np.array(self.frames, FRAMES), np.array(self.docs, DOCS)
         footer = FOOTER.pack(self.number, len(frames), len(docs), self.width) + MAGIC
         table = frames.tobytes() + docs.tobytes() + footer
-        return b"".join([*self.body, struct.pack("<II", SKIPPABLE, len(table)), table])
+        head = struct.pack("<II", SKIPPABLE, len(table))
+        return b"".join([*self.body, head, table[: len(table) - without]])
 
 
 def read_table(content: bytes):
@@ -124,11 +131,12 @@ def read_documents(content: bytes, wanted=None):
         yield place, None if docs["null"][place] else int(docs["doc_id"][place]), int(before[place]), ids
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0) -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 0, file_text_bytes: int | None = None) -> None:
     """Encode ``docs`` (doc_id, text) and write their files in ascending order of doc_id.
 
     Texts are dealt by range of doc_id (bounds from the ids alone) and encoded where they arrive,
-    so they are shuffled once and ids never are.
+    so they are shuffled once and ids never are. ``file_text_bytes`` of text stand behind a file,
+    which a task holds while it is made.
     """
     spark = docs.sparkSession
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -137,20 +145,21 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
 
     def run(batches):
+        return_memory()
         own, file = encoder(words), None
         width = 2 if max(own.tokenizer.get_vocab_size(), end_id or 0) <= 1 << 16 else 4
         for batch in batches:
-            rows = list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()))
-            for part in slices(rows):
+            for part in batch_slices(batch):
                 if file is None:
                     file = FileBuilder(TaskContext.get().partitionId(), width)
-                for (doc_id, _), ids in zip(part, own.encode([t or "" for _, t in part])):
+                doc_ids, texts = (part.column(n).to_pylist() for n in ("doc_id", "text"))
+                for doc_id, ids in zip(doc_ids, own.encode([t or "" for t in texts])):
                     file.add(doc_id, ids + end)
         if file is not None:
-            content = file.finish()
-            yield pa.RecordBatch.from_arrays([pa.array([content[:-1]], pa.binary())], ["content"])
+            # The writer ends the row with the last byte.
+            yield pa.RecordBatch.from_arrays([pa.array([file.finish(without=1)], pa.binary())], ["content"])
 
-    ranged = columns.repartitionByRange(max(1, math.ceil(size / FILE_TEXT_BYTES)), "doc_id").sortWithinPartitions("doc_id", "text")
+    ranged = columns.repartitionByRange(max(1, math.ceil(size / (file_text_bytes or FILE_TEXT_BYTES))), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ranged.mapInArrow(run, "content binary").select(F.col("content").cast("string").alias("value"))
     files.write.option("lineSep", "\n").option("compression", "none").text(path)
 
@@ -167,16 +176,16 @@ def read(spark: SparkSession, path: str, wanted: list[int] | None = None) -> Dat
     keys = None if wanted is None else set(wanted)
 
     def run(batches):
+        return_memory()
         for batch in batches:
             for n in range(batch.num_rows):
-                content = batch.column("content")[n].as_buffer()
-                content = content.to_pybytes()
+                content = batch.column("content")[n].as_buffer().to_pybytes()
                 number = read_table(content)[0]
                 rows, held = [], 0
                 for place, doc_id, start, ids in read_documents(content, keys):
                     rows.append((doc_id, number, place, start, len(ids) // 4, ids))
                     held += len(ids)
-                    if held > 16 << 20:
+                    if held > READ_BYTES:
                         yield _rows(rows)
                         rows, held = [], 0
                 yield _rows(rows)
@@ -208,5 +217,7 @@ def file_starts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_with_starts(spark: SparkSession, path: str) -> DataFrame:
-    """``read`` with ``start``: the ids of all documents before it, over all files."""
-    return read(spark, path).join(file_starts(spark, path), "file").withColumn("start", F.col("file_start") + F.col("start_in_file"))
+    """``read`` with ``start``: the ids of all documents before it, over all files. Files are few and
+    large; their starts are broadcast after a look at their number, so ids are not shuffled."""
+    starts = broadcast_if_small(file_starts(spark, path), MAX_BROADCAST_FILES)
+    return read(spark, path).join(starts, "file").withColumn("start", F.col("file_start") + F.col("start_in_file"))
