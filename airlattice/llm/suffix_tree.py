@@ -28,17 +28,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import byte_texts, fold, shared_folder, stage
+from airlattice.llm.common import byte_texts, fold, return_memory, shared_folder
 
 MAX_DEPTH = 3
 # Occurrences that a context needs, the discount of its followers, and the divergence (nats per
 # occurrence, after a penalty per follower) from its parent that it needs.
-MIN_CONTEXT, DISCOUNT, MIN_DIVERGENCE = 8, 0.75, 0.02
-BLOCK_TOKENS = 1 << 21
-BUCKET_KEYS = 1 << 21
+MIN_CONTEXT, DISCOUNT, MIN_DIVERGENCE = 16, 0.75, 0.02
+BLOCK_TOKENS = 1 << 19
+# Tokens behind one bucket: a bucket's keys are held by one task.
+BUCKET_TOKENS = 1 << 21
 LEAST_BUCKETS = 16
 # About this many bytes of text stand behind one partition of blocks.
-PARTITION_BYTES = 16 << 20
+PARTITION_BYTES = 8 << 20
 
 # The end token is hashed as a text that no word can be.
 END = xxhash.xxh64_intdigest(b" ")
@@ -58,6 +59,17 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(data[1:]), np.dtype(data[:1].decode()))
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte: of each, the upper bytes are zero."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """splitmix of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -104,27 +116,26 @@ class BlockBuilder:
             "train": self.train,
             "sizes": self.sizes,
             "tokens": packed(tokens),
-            "words": distinct.tobytes(),
+            "words": packed_keys(distinct),
             "counts": packed(np.bincount(counted, minlength=len(distinct))),
-            "n_words": len(distinct),
+            "n_tokens": self.tokens,
         }
 
 
-BLOCK = "block long, doc_ids array<long>, train array<boolean>, sizes array<int>, tokens binary, words binary, counts binary, n_words long"
+BLOCK = "block long, doc_ids array<long>, train array<boolean>, sizes array<int>, tokens binary, words binary, counts binary, n_tokens long"
 
 
-def write_blocks(docs: DataFrame, train) -> DataFrame:
-    """The blocks of ``docs``, written once in the shared folder and dealt by block number, so that
-    answers can be joined to them without moving them."""
+def write_blocks(docs: DataFrame, train) -> tuple[DataFrame, int]:
+    """The blocks of ``docs``, written once and dealt by block number, and the number of parts."""
     spark = docs.sparkSession
     columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.col("text").cast("string").alias("text"))
     kinds = pa.schema(
         [("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("train", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32()))]
-        + [("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_words", pa.int64())]
+        + [("tokens", pa.binary()), ("words", pa.binary()), ("counts", pa.binary()), ("n_tokens", pa.int64())]
     )
 
     def run(batches):
-        # Odd steps apart, so that neighbouring blocks fall into different partitions.
+        return_memory()
         number = TaskContext.get().partitionId() << 20
         block = BlockBuilder(number)
         for batch in batches:
@@ -140,9 +151,16 @@ def write_blocks(docs: DataFrame, train) -> DataFrame:
 
     size = columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / PARTITION_BYTES))
+    return _by_block(columns.mapInArrow(run, BLOCK), parts), parts
+
+
+def _by_block(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` written in the shared folder as a table bucketed by block: joins of such tables by block
+    move nothing."""
+    spark = rows.sparkSession
     name = f"blocks_{uuid.uuid4().hex}"
     path = shared_folder(spark, "blocks")
-    columns.mapInArrow(run, BLOCK).write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
+    rows.write.bucketBy(parts, "block").option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -160,15 +178,17 @@ def requests(block: int, keys: np.ndarray, columns: list[np.ndarray], buckets: i
     for b in range(buckets):
         part = slice(int(ends[b]), int(ends[b + 1]))
         if part.start < part.stop:
-            yield {"bucket": b, "block": block, "keys": keys[part].tobytes(), "columns": [packed(c[part]) for c in columns]}
+            yield {"bucket": b, "block": block, "keys": packed_keys(keys[part]), "columns": [packed(c[part]) for c in columns]}
 
 
 def _add_up(asked: pa.Table) -> pa.Table:
     """Sums by key over all blocks of a bucket. ``first`` marks, for each key, one block that has it;
     total and positive (of the first column) are counted once, in the bucket's first row."""
     rows = asked.sort_by("block").to_pylist()
-    keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-    ends = np.cumsum([len(r["keys"]) // 8 for r in rows])
+    keys = [unpacked_keys(r["keys"]) for r in rows]
+    sizes = [len(k) for k in keys]
+    keys = np.concatenate(keys)
+    ends = np.cumsum(sizes)
     distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
     is_first = np.zeros(len(keys), bool)
     is_first[first] = True
@@ -180,7 +200,7 @@ def _add_up(asked: pa.Table) -> pa.Table:
         sums.append(total.astype(np.int64) if whole else total)
     found = []
     for i, (row, end) in enumerate(zip(rows, ends.tolist())):
-        own = slice(end - len(row["keys"]) // 8, end)
+        own = slice(end - sizes[i], end)
         found.append(
             {
                 "block": row["block"],
@@ -201,117 +221,100 @@ def _answer_kinds() -> pa.Schema:
     )
 
 
-def exchanged(asked: DataFrame, step: int) -> DataFrame:
-    """The answers, written once. ``step`` tells them from those of other exchanges."""
-    return stage(asked.groupBy("bucket").applyInArrow(_add_up, ANSWERED).withColumn("step", F.lit(step)), "answers")
+def exchanged(asked: DataFrame, parts: int) -> DataFrame:
+    """The answers, written once beside the blocks."""
+    return _by_block(asked.groupBy("bucket").applyInArrow(_add_up, ANSWERED).repartition(parts, "block"), parts)
 
 
 # --- a block and what it knows --------------------------------------------------------------
 
 
-class Answers:
-    """One block's answers by step, in the order in which it asked."""
-
-    def __init__(self, rows: list[dict]):
-        self.by_step: dict = {}
-        for row in sorted(rows, key=lambda r: (r["step"], r["bucket"])):
-            self.by_step.setdefault(row["step"], []).append(row)
-
-    def __call__(self, step: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """Columns and the first mark of ``n`` keys."""
-        rows = self.by_step.get(step, [])
-        if not rows:
-            return [np.zeros(n)] * 3, np.zeros(n, bool)
-        columns = [np.concatenate([unpacked(r["columns"][i]) for r in rows]) for i in range(len(rows[0]["columns"]))]
-        marks = [np.unpackbits(np.frombuffer(r["first"], np.uint8))[: len(unpacked(r["columns"][0]))] for r in rows]
-        return columns, np.concatenate(marks).astype(bool)
+def answered(rows: list[dict] | None, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """A block's answers in the order in which it asked for ``n`` keys: columns, and the first mark."""
+    if not rows:
+        return [np.zeros(n)] * 3, np.zeros(n, bool)
+    rows = sorted(rows, key=lambda r: r["bucket"])
+    parts = [[unpacked(c) for c in r["columns"]] for r in rows]
+    columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+    marks = [np.unpackbits(np.frombuffer(r["first"], np.uint8))[: len(p[0])] for r, p in zip(rows, parts)]
+    return columns, np.concatenate(marks).astype(bool)
 
 
 class Walk:
     """A block's tokens with the states that are known so far.
 
     The steps of level k are 2k - 1 (contexts with their next word) and 2k (contexts); step 0 are the
-    words. ``ask(step)`` gives the keys and columns to send; ``scores()`` the end result.
+    words. ``ask(step)`` gives the keys and columns to send; ``scores()`` the end result. A context
+    with its next word is the next level's context one place on, so a level's keys are found by
+    number among those of the level before, and only pairs have to be sorted.
     """
 
-    def __init__(self, row: dict, answers: Answers, n_train: int, n_distinct: int):
+    def __init__(self, row: dict, answers: list, n_train: int, n_distinct: int):
         self.answers = answers
-        self.tokens = unpacked(row["tokens"]).astype(np.int64)
-        words = np.frombuffer(row["words"], np.uint64)
+        self.tokens = unpacked(row["tokens"]).astype(np.int32)
+        self.keys = unpacked_keys(row["words"])
         self.sizes = np.array(row["sizes"], np.int64)
         self.train = np.repeat(np.array(row["train"], bool), self.sizes)
         self.ends = np.cumsum(self.sizes)
-        self.place = np.arange(len(self.tokens)) - np.repeat(self.ends - self.sizes, self.sizes)
-        counts = answers(0, len(words))[0][0]
+        self.place = (np.arange(len(self.tokens)) - np.repeat(self.ends - self.sizes, self.sizes)).astype(np.int32)
+        counts = answered(answers[0], len(self.keys))[0][0]
         self.count = counts[self.tokens]
         self.base = (self.count + 1.0) / (n_train + n_distinct + 1.0)
-        self.hash = mixed(words)[self.tokens]
+        self.hash = mixed(self.keys)[self.tokens]
         self.prob = self.base.copy()
-        self.context = np.zeros(len(self.tokens), np.uint64)
+        # Of the keys of the level before: counts, and which one ends at each place (-1: none).
+        self.totals, self.number = counts, self.tokens
+        self.active = np.ones(len(self.tokens), bool)
 
-    def _earlier(self, values: np.ndarray, k: int) -> np.ndarray:
-        """Values of k places before; where that is another document, the caller looks away."""
-        return np.concatenate([np.zeros(k, values.dtype), values[: len(values) - k]])
-
-    def level(self, k: int, known_pairs: bool, known_contexts: bool):
+    def level(self, k: int, known_pairs: bool, known_contexts: bool) -> None:
         """Go one level deeper with what is known of it."""
-        if k == 1:
-            seen = self._earlier(self.count, 1)
-            allowed = self.place >= 1
-        else:
-            seen = self._earlier(self.pair_count, 1)
-            allowed = self.active & (self.place >= k)
-        self.seen = seen
-        self.eligible = np.flatnonzero(allowed & (seen >= MIN_CONTEXT))
-        at = self.eligible
-        self.context[at] = mixed(self.context[at] * np.uint64(31) + self._earlier(self.hash, k)[at] + np.uint64(k))
+        before = np.concatenate([np.full(1, -1, np.int32), self.number[:-1]])
+        seen = np.where(before >= 0, self.totals[before], 0)
+        at = np.flatnonzero(self.active & (self.place >= k) & (seen >= MIN_CONTEXT)).astype(np.int32)
+        node, often = before[at], seen[at]
+        used = np.zeros(len(self.keys), bool)
+        used[node] = True
+        contexts, context_of = self.keys[used], (np.cumsum(used) - 1)[node]
         # A word that was seen once cannot follow twice.
-        self.asking = at[self.count[at] >= 2]
-        pairs = mixed(self.context[self.asking] ^ (self.hash[self.asking] * np.uint64(0x9E3779B97F4A7C15)))
-        self.pairs, self.pair_at, self.pair_of = np.unique(pairs, return_index=True, return_inverse=True)
+        asking = self.count[at] >= 2
+        asked = at[asking]
+        pairs = mixed(self.keys[node[asking]] ^ (self.hash[asked] * np.uint64(0x9E3779B97F4A7C15)))
+        pairs, first_at, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
         if not known_pairs:
+            trained = np.bincount(pair_of, self.train[asked], minlength=len(pairs)).astype(np.int64)
+            self.wanted = pairs, [trained]
             return
-        (totals, *_), first = self.answers(2 * k - 1, len(self.pairs))
-        totals = np.where(totals >= 2, totals, 0)
-        self.pair_count = np.zeros(len(self.tokens), np.int64)
-        self.pair_count[self.asking] = totals[self.pair_of]
-        self.contexts, self.context_of = np.unique(self.context[at], return_inverse=True)
+        (totals, *_), first = answered(self.answers[2 * k - 1], len(pairs))
+        totals = np.where(totals >= 2, totals, 0).astype(np.int64)
         if not known_contexts:
-            self._evidence(totals, first)
+            # This block's share of each context's mass, followers and divergence: pairs it is first in.
+            own = np.flatnonzero(first & (totals >= 2))
+            of = context_of[asking][first_at[own]]
+            n, c = totals[own], often[asking][first_at[own]]
+            gain = n * np.log(n / (c * self.prob[asked[first_at[own]]])) - 0.5 * np.log(c)
+            size = len(contexts)
+            sums = [np.bincount(of, n, minlength=size).astype(np.int64), np.bincount(of, minlength=size), np.bincount(of, gain, minlength=size)]
+            self.wanted = contexts, sums
             return
-        (mass, followers, gain), _ = self.answers(2 * k, len(self.contexts))
-        often = seen[at]
-        mass, followers, gain = (np.asarray(x, float)[self.context_of] for x in (mass, followers, gain))
-        kept = gain >= MIN_DIVERGENCE * often
-        states = at[kept]
-        left = 1.0 - (mass[kept] - DISCOUNT * followers[kept]) / often[kept]
-        own = np.maximum(self.pair_count[states] - DISCOUNT, 0) * (self.pair_count[states] >= 2)
-        self.prob[states] = own / often[kept] + left * self.prob[states]
+        (mass, followers, gain), _ = answered(self.answers[2 * k], len(contexts))
+        kept = gain[context_of] >= MIN_DIVERGENCE * often
+        states, c = at[kept], often[kept]
+        self.number = np.full(len(self.tokens), -1, np.int32)
+        self.number[asked] = pair_of
+        follows = self.number[states]
+        n = np.where(follows >= 0, totals[follows], 0) if len(totals) else np.zeros(len(states))
+        left = 1.0 - (mass[context_of][kept] - DISCOUNT * followers[context_of][kept]) / c
+        self.prob[states] = np.where(n >= 2, n - DISCOUNT, 0.0) / c + left * self.prob[states]
         self.active = np.zeros(len(self.tokens), bool)
         self.active[states] = True
-
-    def _evidence(self, totals, first):
-        """This block's share of each context's mass, followers and divergence: pairs that it is first in."""
-        own = np.flatnonzero(first & (totals >= 2))
-        where = self.asking[self.pair_at[own]]
-        of = np.searchsorted(self.contexts, self.context[where])
-        n, often = totals[own], self.seen[where]
-        gain = n * np.log(n / (often * self.prob[where])) - 0.5 * np.log(often)
-        size = len(self.contexts)
-        self.columns = [
-            np.bincount(of, n, minlength=size).astype(np.int64),
-            np.bincount(of, minlength=size).astype(np.int64),
-            np.bincount(of, gain, minlength=size),
-        ]
+        # Totals get a last entry for places without a key.
+        self.keys, self.totals = pairs, np.append(totals, 0)
 
     def ask(self, step: int):
         k = (step + 1) // 2
         for level in range(1, k + 1):
-            last = level == k
-            self.level(level, not last or step % 2 == 0, not last)
-        if step % 2:
-            return self.pairs, [np.bincount(self.pair_of, self.train[self.asking], minlength=len(self.pairs)).astype(np.int64)]
-        return self.contexts, self.columns
+            self.level(level, level < k or step % 2 == 0, level < k)
+        return self.wanted
 
     def scores(self, depth: int):
         for level in range(1, depth + 1):
@@ -325,49 +328,52 @@ class Walk:
 
 
 def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
-    """Blocks with all their answers. Blocks lie where they are; answers of a block are as large as it."""
-    parts = answers[0]
-    for more in answers[1:]:
-        parts = parts.unionByName(more)
-    own = parts.groupBy("block").agg(F.collect_list(F.struct("step", "bucket", "columns", "first")).alias("answers"))
-    return blocks.join(own.hint("shuffle_hash"), "block")
+    """Blocks with all their answers, a column for each exchange. Both lie by block, so nothing moves."""
+    for step, parts in enumerate(answers):
+        rows = F.collect_list(F.struct("bucket", "columns", "first")).alias(f"answers_{step}")
+        blocks = blocks.join(parts.groupBy("block").agg(rows).hint("shuffle_hash"), "block", "left")
+    return blocks
 
 
 def _walks(batch: pa.RecordBatch, n_train: int, n_distinct: int):
+    """Each block with its walk, one at a time."""
     for n in range(batch.num_rows):
         row = batch.slice(n, 1).to_pylist()[0]
-        yield row, Walk(row, Answers(row["answers"]), n_train, n_distinct)
+        steps = sum(name.startswith("answers_") for name in row)
+        yield row, Walk(row, [row.pop(f"answers_{i}") for i in range(steps)], n_train, n_distinct)
 
 
 def scored(docs: DataFrame, train, depth: int = MAX_DEPTH) -> DataFrame:
     """doc_id, trains, n_tokens, n_known, train_tokens, base_score, score of every row; the model learns
     from those where ``train`` is true."""
-    blocks = write_blocks(docs, train)
-    keys = blocks.agg(F.sum("n_words")).first()[0] or 0
-    buckets = max(LEAST_BUCKETS, math.ceil(keys / BUCKET_KEYS))
+    blocks, parts = write_blocks(docs, train)
+    tokens = blocks.agg(F.sum("n_tokens")).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, math.ceil(tokens / BUCKET_TOKENS))
 
     def ask_words(batches):
         for batch in batches:
             for n in range(batch.num_rows):
-                words = np.frombuffer(batch.column("words")[n].as_buffer(), np.uint64)
+                words = unpacked_keys(batch.column("words")[n].as_py())
                 counts = unpacked(batch.column("counts")[n].as_py())
                 yield _asked(requests(batch.column("block")[n].as_py(), words, [counts], buckets))
 
-    answers = [exchanged(blocks.select("block", "words", "counts").mapInArrow(ask_words, ASKED), 0)]
+    answers = [exchanged(blocks.select("block", "words", "counts").mapInArrow(ask_words, ASKED), parts)]
     found = answers[0].agg(F.sum("total").alias("n"), F.sum("positive").alias("v")).first()
     n_train, n_distinct = int(found["n"] or 0), int(found["v"] or 0)
 
     for step in range(1, 2 * depth + 1):
 
         def ask(batches, step=step):
+            return_memory()
             for batch in batches:
                 for row, walk in _walks(batch, n_train, n_distinct):
                     keys, columns = walk.ask(step)
                     yield _asked(requests(row["block"], keys, columns, buckets))
 
-        answers.append(exchanged(_with_answers(blocks, answers).mapInArrow(ask, ASKED), step))
+        answers.append(exchanged(_with_answers(blocks, answers).mapInArrow(ask, ASKED), parts))
 
     def score(batches):
+        return_memory()
         for batch in batches:
             for row, walk in _walks(batch, n_train, n_distinct):
                 known, base, prob = walk.scores(depth)

@@ -91,7 +91,7 @@ def test_whole_table_against_brute_force(spark):
 
 def test_many_blocks_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", 300)
-    monkeypatch.setattr(suffix_tree, "BUCKET_KEYS", 50)
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 50)
     rng = random.Random(1)
     phrases = ["the cat sat on the mat .", "the dog sat on the rug .", "a cat and a dog", "once upon a time there was"]
     rows = [(i, " ".join(rng.choice(phrases) for _ in range(rng.randint(0, 12)))) for i in range(150)]
