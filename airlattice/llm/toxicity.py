@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import fold
+from airlattice.llm.common import fold, return_memory
 
 # The model is fitted on at most so many labelled documents of either kind, chosen by a hash of
 # their id: a bounded sample, of whole texts.
@@ -37,7 +37,8 @@ THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 BEGINNINGS = (4, 5)
-KEPT_WORDS = 200_000
+KEPT_WORDS = 100_000
+SLICE = 250
 
 
 def evidence(word: str) -> list[str]:
@@ -67,27 +68,30 @@ def sample(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) ->
     return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def bags(text: str) -> list[list[str]]:
-    """The distinct words of each sentence of a text."""
+def bags(text: str, shared: dict | None = None) -> list[list[str]]:
+    """The distinct words of each sentence of a text. ``shared``: words of other texts, to be held once."""
     lowered = (text or "").lower()
-    return [words for a, b in sentences(lowered) if (words := sorted(set(_WORD.findall(lowered[a:b]))))]
+    shared = {} if shared is None else shared
+    found = [sorted(set(_WORD.findall(lowered[a:b]))) for a, b in sentences(lowered)]
+    return [[shared.setdefault(w, w) for w in words] for words in found if words]
 
 
 def select_evidence(toxic: list, other: list) -> list[str]:
     """Evidence that is clearly more frequent among the bags of toxic documents."""
-    counts = []
-    for group in (toxic, other):
-        seen: Counter = Counter()
-        for doc in group:
-            seen.update({e for words in doc for word in words for e in evidence(word)})
-        counts.append(seen)
+    seen: Counter = Counter()
+    for doc in toxic:
+        seen.update({e for words in doc for word in words for e in evidence(word)})
+    often = {e: c for e, c in seen.items() if c >= MIN_DOCS}
+    elsewhere: Counter = Counter()
+    for doc in other:
+        elsewhere.update({e for words in doc for word in words for e in evidence(word) if e in often})
     n1, n0 = len(toxic), len(other)
     found = []
-    for e, c1 in counts[0].items():
-        c0 = counts[1][e]
+    for e, c1 in often.items():
+        c0 = elsewhere[e]
         share1, share0, both = c1 / n1, (c0 + 0.5) / (n0 + 1), (c1 + c0) / (n1 + n0)
         z = (share1 - c0 / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
-        if c1 >= MIN_DOCS and share1 >= MIN_RATIO * share0 and z >= MIN_Z:
+        if share1 >= MIN_RATIO * share0 and z >= MIN_Z:
             found.append((-z, e))
     return [e for _, e in sorted(found)[:MAX_WORDS]]
 
@@ -132,10 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> di
     """The model. It is trained in one task on the bounded sample; its size is bounded by MAX_WORDS."""
 
     def run(batches):
-        texts, known = [], []
+        return_memory()
+        texts, known, shared = [], [], {}
         for batch in batches:
-            texts += [bags(t) for t in batch.column("text").to_pylist()]
-            known += batch.column("toxic").to_pylist()
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts += [bags(t, shared) for t in part.column("text").to_pylist()]
+                known += part.column("toxic").to_pylist()
         model = train(texts, known)
         yield pa.RecordBatch.from_pydict({"e": pa.array(list(model), pa.string()), "w": pa.array(list(model.values()), pa.float64())})
 
