@@ -33,10 +33,10 @@ from airlattice.llm.common import byte_texts, fold, return_memory, shared_folder
 MAX_DEPTH = 3
 # Occurrences that a context needs, the discount of its followers, and the divergence (nats per
 # occurrence, after a penalty per follower) from its parent that it needs.
-MIN_CONTEXT, DISCOUNT, MIN_DIVERGENCE = 16, 0.75, 0.02
+MIN_CONTEXT, DISCOUNT, MIN_DIVERGENCE = 8, 0.75, 0.02
 BLOCK_TOKENS = 1 << 19
 # Tokens behind one bucket: a bucket's keys are held by one task.
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
 LEAST_BUCKETS = 16
 # About this many bytes of text stand behind one partition of blocks.
 PARTITION_BYTES = 8 << 20

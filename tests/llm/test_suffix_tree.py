@@ -98,6 +98,16 @@ def test_many_blocks_give_the_same(spark, monkeypatch):
     same(rows_of(suffix_tree.held_out_scores(docs(spark, rows))), brute(rows, lambda i: fold(i, 7) != 2)[0])
 
 
+def test_contexts_of_a_few_documents_count(spark):
+    """A passage that ten documents share is a state, one that six share is not."""
+    for shared, learned in ((10, True), (6, False)):
+        rows = [(i, f"first{i} green apples last{i}") for i in range(shared)]
+        found = rows_of(suffix_tree.scored(docs(spark, rows), F.lit(True)))
+        assert len(found) == shared
+        assert all((score > base + 0.1) == learned for *_, base, score in found)
+        same(found, brute(rows, lambda i: True)[0])
+
+
 def test_odd_rows(spark):
     frame = odd_docs(spark)
     rows = [tuple(r) for r in frame.select("doc_id", "text").collect()]
