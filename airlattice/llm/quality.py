@@ -34,8 +34,10 @@ MIN_WORDS = 50
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 FEATURES = 5
-# Share of a group that the estimate rests on, steps, and documents that a group needs of its own.
-HALF = 0.75
+# Share of a group that the estimate rests on: up to the rest of it may be junk. CONSISTENCY makes the
+# spread of the nearest half that of the whole for normal vectors: HALF / P(chi-square(7) <= median of
+# chi-square(5)). Steps, and documents that a group needs of its own.
+HALF, CONSISTENCY = 0.5, 1.9122
 STEPS = 6
 MIN_GROUP = 200
 # Least spread per feature (standard deviations on the transformed scale): text lengths and word
@@ -140,7 +142,7 @@ def _estimate(n: int, sums: list) -> tuple:
     spread[np.triu_indices(FEATURES)] = s[FEATURES:] / n
     spread = spread + np.triu(spread, 1).T - np.outer(centre, centre)
     # The mean of the nearest HALF has too small a spread; the floor is added, so it is never singular.
-    spread = spread / HALF + np.diag(np.square(FLOORS))
+    spread = spread * CONSISTENCY + np.diag(np.square(FLOORS))
     return centre.tolist(), np.linalg.inv(spread).ravel().tolist()
 
 

@@ -94,6 +94,20 @@ def test_outliers_within_groups_of_all_sizes(spark):
     assert found == {i: "%%%" not in t for i, t, _, _ in rows}
 
 
+def test_two_fifths_of_a_group_may_be_junk(spark):
+    """Junk that passes the base rules goes from groups of which it is 35 and 40 %, all rows in copies or not."""
+    rows, junk = [], set()
+    for g, (bad, copies) in enumerate([(105, False), (120, False), (120, True)]):
+        texts = group(300, 10 + g)
+        texts = [t.replace(" ", "%## ") if i < bad else t for i, t in enumerate(texts)]
+        texts = [texts[0] if copies and i < bad else t for i, t in enumerate(texts)]
+        rows += [(1000 * g + i, t, "en", f"hot{g}") for i, t in enumerate(texts)]
+        junk.update(1000 * g + i for i in range(bad))
+    found = quality.verdicts(docs(spark, rows)).collect()
+    assert len(found) == len(rows) and not any(r["base_failed"] for r in found)
+    assert {r["doc_id"] for r in found if not r["kept"]} == junk
+
+
 def test_odd_rows_and_kept_columns(spark):
     frame = odd_docs(spark)
     assert quality.verdicts(frame).count() == frame.count()
