@@ -9,8 +9,8 @@ sample clearly more often than in others; a sentence without evidence cannot off
 alone never adds up to a verdict.
 
 Cases: a null or empty text has score 0; labels that are null or belong to no document are not
-used, and among several labels of a document toxic wins; repeated rows are scored each; rows
-without an id are scored and never trained on; without any labels, or of one kind only, every score
+used, and among several labels of a document or of equal texts toxic wins; repeated rows are scored
+each, and equal texts are trained on once; rows without an id are scored and never trained on; without any labels, or of one kind only, every score
 is 0; an empty table gives no rows.
 """
 
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import fold, return_memory
+from airlattice.llm.common import fold, return_memory, stage
 
-# The model is fitted on at most so many labelled documents of either kind, chosen by a hash of
-# their id: a bounded sample, of whole texts.
+# The model is fitted on at most so many distinct labelled texts of either kind, chosen by a hash of
+# an id: a bounded sample, of whole texts.
 SAMPLE_TOXIC, SAMPLE_OTHER = 3_000, 6_000
 # Bag-level test for evidence: documents, ratio of shares, and standard errors of the difference.
 MIN_DOCS, MIN_RATIO, MIN_Z = 6, 8.0, 4.5
@@ -55,17 +55,24 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
-    """text, toxic of the labelled documents that the model is fitted on."""
+    """text, toxic of the labelled texts that the model is fitted on. Copies of a text are one, and toxic
+    if any of them is."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where((fold("doc_id", folds) != held) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    there = known.join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = there.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC)
-    chosen = chosen.unionByName(there.where("toxic = 0").orderBy(*order).limit(SAMPLE_OTHER))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most the sample's size in ids, whatever the tables.
-    return texts.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # A text's key is 128 bits; of its rows the first by hash of the id stands for it.
+    key = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), F.col("text")).alias("b"))
+    keyed = texts.select("doc_id", key.alias("key")).join(known, "doc_id")
+    one = keyed.groupBy("key").agg(F.max("toxic").alias("toxic"), F.min(F.struct(F.xxhash64("doc_id").alias("place"), "doc_id")).alias("first"))
+    one = stage(one.select("key", "toxic", "first.*"), "labelled")
+    order = ["place", "doc_id", "key"]
+    chosen = one.where("toxic = 1").orderBy(*order).limit(SAMPLE_TOXIC)
+    chosen = chosen.unionByName(one.where("toxic = 0").orderBy(*order).limit(SAMPLE_OTHER))
+    # At most the sample's size in ids, whatever the tables. A row that is there more than once counts once.
+    chosen = chosen.select("doc_id", F.col("key").alias("chosen"), "toxic")
+    found = texts.join(F.broadcast(chosen), "doc_id").where(key == F.col("chosen"))
+    return found.groupBy("chosen").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def bags(text: str, shared: dict | None = None) -> list[list[str]]:

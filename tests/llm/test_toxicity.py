@@ -44,6 +44,23 @@ def test_learns_from_documents_and_locates_sentences(spark):
     assert {r["doc_id"] for r in clean.collect()} == {i for i, t in truth.items() if not t}
 
 
+def test_copies_leave_room_for_other_texts(spark, monkeypatch):
+    """A text with many labelled copies is trained on once, and is toxic if one copy is."""
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 150)
+    rows, labels = corpus()
+    # Copies of one toxic text, the first of them labelled otherwise; a row that is there twice.
+    more = [(1000 + i, rows[0][1]) for i in range(900)]
+    frame = docs(spark, [*rows, *more, rows[5], rows[5]])
+    known = labelled(spark, [*labels, *[(i, 1, int(i > 1000)) for i, _ in more]])
+    found = sorted((r["text"], r["toxic"]) for r in toxicity.sample(frame, known).collect())
+    trains = {t for (i, t), (_, _, y) in zip(rows, labels) if y and fold(i, 3) != 1} | {rows[0][1]}
+    assert len({t for t, _ in found}) == len(found)
+    assert {t for t, y in found if y} == trains
+    truth = {i: y for i, _, y in labels}
+    predicted = {r["doc_id"]: r["predicted"] for r in toxicity.scored(frame, known).where("doc_id < 1000").collect()}
+    assert predicted == truth
+
+
 def test_gradient_is_that_of_the_likelihood():
     """One weight at a time, trained weights are a stationary point."""
     rows, labels = corpus(300, 2)
