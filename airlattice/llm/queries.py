@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from airlattice.llm import ann, bpe, filter_audit, language, packing, quality, resampling, simhash, suffix_tree, token_counts, token_files, toxicity
+from airlattice.llm import ann, bpe, filter_audit, language, minhash, packing, quality, resampling, simhash, suffix_tree, token_counts, token_files, toxicity
 from airlattice.llm.common import shared_folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -94,6 +94,11 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash(spark, sf_dir):
+    found = minhash.near_copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -192,6 +197,7 @@ QUERIES = {
     "op8_suffix_tree": (op8_suffix_tree, None),
     "op9_language": (op9_language, None),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_minhash": (op11_minhash, None),
     "op12_filter_audit": (op12_filter_audit, OP12_SQL),
     "op13_resampling": (op13_resampling, OP13_SQL),
 }
