@@ -8,8 +8,9 @@ candidates; the union of two sketches is itself a sketch and estimates the simil
 is confirmed on the full sets.
 
 A list is not unfolded into all its pairs while that would be many: its classes are compared with one
-of them, what that links is one component, and only pairs of different components are left. Lists
-of unlike texts that stay long are compared in blocks. None of this leaves out a pair.
+of them, its hub, what that links is one component, and only pairs of different components are left.
+Those are compared in blocks of bounded size, all classes that share a hub with each other; sets
+travel to their blocks, not to each of their pairs. None of this leaves out a link.
 
 What may be lost: sets within the ``k`` least are compared exactly, and of larger ones a pair at the
 threshold shares fewer than ``needed`` sketch values with a chance of 1e-9 (more alike, less).
@@ -39,11 +40,14 @@ K = 64
 LOSS = 1e-9
 # Words whose hash a worker keeps; shingles of a text mixed at once.
 KEPT_WORDS = 300_000
-# Classes of a list in one block when it is compared pair by pair, and pairs a posting may stand for
-# before another round of stars is tried instead.
-BLOCK = 500
+# Shingles of the sets in one block, and classes that the others of a block are placed by.
+BLOCK_SHINGLES = 300_000
+PIVOTS = 8
+# Pairs that an entry of an open list may stand for without a round of stars, and the most rounds.
 PAIRS_PER_POSTING = 4
 MAX_STARS = 5
+# Pairs whose sketches are compared at once.
+STEP = 4096
 
 _FACTORS = [xxhash.xxh64_intdigest(b"place", seed) | 1 for seed in range(64)]
 
@@ -156,59 +160,144 @@ def postings(sets: DataFrame, k: int = K, similarity=SIMILARITY) -> DataFrame:
     return listed.select(F.col("entry.value").alias("value"), "cls", "n")
 
 
-def _size_fits(similarity=SIMILARITY) -> Column:
-    part, whole = similarity
-    return (F.col("n") * whole >= F.col("n_other") * part) & (F.col("n_other") * whole >= F.col("n") * part)
+def hub_groups(lists: DataFrame, turn: int) -> DataFrame:
+    """hub, root_hub, cls, n, root: one class of each list, the first by a hash, with all classes of its lists
+    (itself too), once each. Lists that name one text's passages mostly choose the same hub."""
+    first = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root")).alias("hub"))
+    hubs = stage(first.select("value", F.col("hub.cls").alias("hub"), F.col("hub.root").alias("root_hub")), "hubs")
+    return join_hot(lists, hubs, "value").select("hub", "root_hub", "cls", "n", "root").distinct()
 
 
-def _pairs(found: DataFrame) -> DataFrame:
-    return found.select(F.least("cls", "other").alias("a"), F.greatest("cls", "other").alias("b")).distinct()
+# --- confirmation ---------------------------------------------------------------------------
 
 
-def star_pairs(lists: DataFrame, turn: int, similarity=SIMILARITY) -> DataFrame:
-    """a, b: the classes of each list (value, cls, n, root) with one of it, the first by a hash."""
-    first = lists.groupBy("value").agg(F.min(F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "n", "root")).alias("hub"))
-    hubs = stage(first.select("value", F.col("hub.cls").alias("other"), F.col("hub.n").alias("n_other"), F.col("hub.root").alias("root_other")), "hubs")
-    return _pairs(join_hot(lists, hubs, "value").where((F.col("root") != F.col("root_other")) & _size_fits(similarity)))
+def _matrix(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """Sketches as rows of ``k`` numbers, for places beyond a small set's end the largest."""
+    found = np.full((len(sets), k), np.iinfo(np.int64).max)
+    for row, one in zip(found, sets):
+        row[: min(k, len(one))] = one[:k]
+    return found
 
 
-def block_pairs(lists: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """a, b: the classes of each list that are in different components. A long list is dealt into
-    blocks by hash, and every two blocks of it meet in a group of their own."""
-    lengths = lists.groupBy("value").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    dealt = join_hot(lists, stage(lengths, "lengths"), "value").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = dealt.select("value", F.col("block").alias("x"), every.alias("y"), "cls", "n", "root").where("x <= y")
-    right = dealt.select(
-        "value", every.alias("x"), F.col("block").alias("y"),
-        F.col("cls").alias("other"), F.col("n").alias("n_other"), F.col("root").alias("root_other"),
-    ).where("x <= y")
-    met = left.join(right, ["value", "x", "y"]).where((F.col("x") < F.col("y")) | (F.col("cls") < F.col("other")))
-    return _pairs(met.where((F.col("root") != F.col("root_other")) & _size_fits(similarity)))
+def ruled_out(one: np.ndarray, other: np.ndarray, certain: int, similarity=SIMILARITY) -> np.ndarray:
+    """Which rows of two sketch matrices cannot be similar enough. The k least values of both together are
+    the sketch of the union; those that both hold are its part of the intersection."""
+    k, filler = one.shape[1], np.iinfo(np.int64).max
+    both = np.sort(np.concatenate([one, other], axis=1), axis=1)
+    fresh = np.ones(both.shape, bool)
+    fresh[:, 1:] = both[:, 1:] != both[:, :-1]
+    real = both != filler
+    place = np.cumsum(fresh & real, axis=1)
+    shared = (~fresh & real & (place <= k)).sum(axis=1)
+    alike = -(-np.minimum(k, place[:, -1]) * similarity[0] // similarity[1])
+    return shared < np.minimum(alike, certain)
 
 
-# --- confirmation ---------------------------------------------------------------------------
+def _shared(one: np.ndarray, other: np.ndarray) -> int:
+    few, many = (one, other) if len(one) <= len(other) else (other, one)
+    at = np.searchsorted(many, few)
+    return int((many[np.minimum(at, len(many) - 1)] == few).sum())
 
 
-def _both(pairs: DataFrame, table: DataFrame, *columns: str, share: float) -> DataFrame:
-    """Pairs with columns of both their classes, by the names c_a and c_b."""
-    for side in ("a", "b"):
-        named = table.select(F.col("cls").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns])
-        pairs = join_hot(pairs, named, side, share)
-    return pairs
+def _distances(sets: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
+    """The share of the union that a set and a pivot do not share."""
+    found = np.empty((len(sets), len(pivots)))
+    for i, one in enumerate(sets):
+        for j, other in enumerate(pivots):
+            shared = _shared(one, other)
+            found[i, j] = 1 - shared / (len(one) + len(other) - shared)
+    return found
 
 
-def likely(pairs: DataFrame, sets: DataFrame, k: int = K, similarity=SIMILARITY) -> DataFrame:
-    """The pairs whose sketches do not rule them out: the k least values of both together are the sketch
-    of the union, and those that both hold are its part of the intersection. Upper halves of the
-    hashes are enough for that; one value of slack covers the few that are alike."""
-    half = F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))
-    both = _both(pairs, sets.select("cls", half.alias("half")), "half", share=1e-3)
-    union = F.slice(F.array_sort(F.array_union("half_a", "half_b")), 1, k)
-    shared = F.size(F.filter(F.array_intersect("half_a", "half_b"), lambda v: v <= F.element_at("last", 1)))
-    alike = F.floor(F.col("size") * similarity[0] / F.lit(float(similarity[1]))) - 1
-    sized = both.select("*", F.size(union).alias("size"), F.slice(union, -1, 1).alias("last"))
-    return sized.where(shared >= F.least(alike, F.lit(certain_overlap(k, similarity)))).select("a", "b")
+def linked_pairs(left: list, right: list, roots_left, roots_right, same: bool, k: int = K, similarity=SIMILARITY) -> list[tuple[int, int]]:
+    """Positions of pairs of two lists of sets (or of one, if they are the ``same``) that are in different
+    components and similar enough: as many as tie together all that is linked. Pairs that the links
+    before them join already are not looked at, so there are fewer links than sets.
+
+    Ruled out before any whole sets are compared: by their sizes; by their distances from some pivots,
+    which obey the triangle inequality, so that those of linked sets differ little; by their sketches.
+    """
+    part, whole = similarity
+    sizes_left, sizes_right = np.array([len(s) for s in left]), np.array([len(s) for s in right])
+    open_pairs = roots_left[:, None] != roots_right[None, :]
+    open_pairs &= (sizes_left[:, None] * whole >= sizes_right * part) & (sizes_right * whole >= sizes_left[:, None] * part)
+    if same:
+        open_pairs &= np.arange(len(left))[:, None] < np.arange(len(right))
+    if open_pairs.sum() > PIVOTS * (len(left) + len(right)):
+        pivots = left[:: max(1, len(left) // PIVOTS)][:PIVOTS]
+        for x, y in zip(_distances(left, pivots).T, _distances(right, pivots).T):
+            open_pairs &= np.abs(x[:, None] - y) <= (whole - part) / whole + 1e-9
+    rows, columns = np.nonzero(open_pairs)
+    sketch_left, sketch_right, certain, found = _matrix(left, k), _matrix(right, k), certain_overlap(k, similarity), []
+    tied: dict = {}
+
+    def root(x: int) -> int:
+        while (up := tied.get(x, x)) != x:
+            tied[x] = x = tied.get(up, up)
+        return x
+
+    roots_left, roots_right = roots_left.tolist(), roots_right.tolist()
+    for at in range(0, len(rows), STEP):
+        x, y = rows[at : at + STEP], columns[at : at + STEP]
+        kept = ~ruled_out(sketch_left[x], sketch_right[y], certain, similarity)
+        for i, j in zip(x[kept].tolist(), y[kept].tolist()):
+            one, other = root(roots_left[i]), root(roots_right[j])
+            if one == other:
+                continue
+            shared = _shared(left[i], right[j])
+            if whole * shared >= part * (len(left[i]) + len(right[j]) - shared):
+                found.append((i, j))
+                tied[one] = other
+    return found
+
+
+def _linked_in_groups(dealt: DataFrame, keys: list[str], k: int, similarity) -> DataFrame:
+    """a, b: linked pairs of the two sides (0 and 1) of every group; a group of side 0 alone is compared with
+    itself."""
+
+    def compare(table):
+        return_memory()
+        side = table.column("side").to_numpy()
+        sets = [np.frombuffer(c.as_buffer(), np.int64) for c in table.column("hashes")]
+        cls, roots = table.column("cls").to_numpy(), table.column("root").to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        same = not len(right)
+        right = left if same else right
+        found = linked_pairs([sets[i] for i in left], [sets[i] for i in right], roots[left], roots[right], same, k, similarity)
+        a = cls[left[[i for i, _ in found]]] if found else np.empty(0, np.int64)
+        b = cls[right[[j for _, j in found]]] if found else np.empty(0, np.int64)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.groupBy(*keys).applyInArrow(compare, "a long, b long")
+
+
+def _in_blocks(groups: DataFrame) -> DataFrame:
+    """``groups`` with blocks, how many blocks a hub's classes make, and block."""
+    blocks = groups.groupBy("hub").agg(F.ceil(F.sum("n") / F.lit(float(BLOCK_SHINGLES))).cast("int").alias("blocks"))
+    dealt = join_hot(groups, stage(blocks, "blocks"), "hub")
+    return dealt.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+
+
+def star_links(groups: DataFrame, full: DataFrame, k: int = K, similarity=SIMILARITY) -> DataFrame:
+    """a, b: the links of hubs with the classes of their lists that are in other components."""
+    dealt = _in_blocks(groups)
+    members = dealt.where("root <> root_hub").select("hub", "block", F.lit(1).alias("side"), "cls", "root")
+    centres = members.select("hub", "block").distinct().join(dealt.where("cls = hub").select("hub", "root"), "hub")
+    both = stage(members.unionByName(centres.select("hub", "block", F.lit(0).alias("side"), F.col("hub").alias("cls"), "root")), "stars")
+    return _linked_in_groups(join_hot(both, full, "cls", share=1e-2), ["hub", "block"], k, similarity)
+
+
+def block_links(groups: DataFrame, full: DataFrame, k: int = K, similarity=SIMILARITY) -> DataFrame:
+    """a, b: the links between classes with the same hub that are in different components. Every two blocks
+    of a hub's classes meet in a group of their own."""
+    dealt = stage(_in_blocks(groups), "blocks")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    pairs = join_hot(dealt, full, "cls", share=1e-2).select("hub", "block", "cls", "root", "hashes", every)
+    dealt = pairs.select(
+        "hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"),
+        F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"), "cls", "root", "hashes",
+    )
+    return _linked_in_groups(dealt, ["hub", "x", "y"], k, similarity)
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -233,29 +322,6 @@ def full_sets(docs: DataFrame, sets: DataFrame, wanted: DataFrame, shingle: int
     return arrow_rows(chosen, "cls long, hashes binary", make).groupBy("cls").agg(F.first("hashes").alias("hashes"))
 
 
-def confirmed(pairs: DataFrame, full: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """The pairs whose whole sets are similar enough."""
-
-    def make():
-        return_memory()
-
-        def step(batch):
-            sides = [[np.frombuffer(c.as_buffer(), np.int64) for c in batch.column(f"hashes_{s}")] for s in "ab"]
-            kept = []
-            for one, other in zip(*sides):
-                few, many = (one, other) if len(one) <= len(other) else (other, one)
-                at = np.searchsorted(many, few)
-                shared = int((many[np.minimum(at, len(many) - 1)] == few).sum())
-                kept.append(similarity[1] * shared >= similarity[0] * (len(one) + len(other) - shared))
-            kept = pa.array(kept, pa.bool_())
-            return {"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)}
-
-        return step
-
-    both = _both(pairs, full, "hashes", share=1e-2)
-    return arrow_rows(both.select("a", "b", "hashes_a", "hashes_b"), "a long, b long", make)
-
-
 # --- components -----------------------------------------------------------------------------
 
 
@@ -279,23 +345,22 @@ def _pairs_left(lists: DataFrame) -> tuple[int, float]:
 def links(docs: DataFrame, sets: DataFrame, shingle: int = SHINGLE, k: int = K, similarity=SIMILARITY) -> DataFrame | None:
     """node, root: the component of every class that is linked with another, None without any link.
 
-    Stars first, as long as the lists that are open stand for many pairs and stars still link
-    something; then all pairs of different components that are left. Pairs looked at once are not
-    looked at again.
+    Stars first, as long as the lists that are open stand for many pairs and a round leaves at most
+    half of them; then all pairs of different components that are left.
     """
-    lists, roots, found, tried = stage(postings(sets, k, similarity), "postings"), None, None, None
+    lists = _open_lists(stage(postings(sets, k, similarity), "postings"), None)
+    full = stage(full_sets(docs, sets, lists.select("cls").distinct(), shingle), "sets")
+    roots, found, before = None, None, math.inf
     for turn in range(MAX_STARS + 1):
-        lists = _open_lists(lists.select("value", "cls", "n"), roots)
+        if turn:
+            lists = _open_lists(lists.select("value", "cls", "n"), roots)
         entries, left = _pairs_left(lists)
         if not entries:
             break
-        last = turn == MAX_STARS or left <= PAIRS_PER_POSTING * entries
-        pairs = block_pairs(lists, similarity) if last else star_pairs(lists, turn, similarity)
-        pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        hopeful = stage(likely(pairs, sets, k, similarity), "likely")
-        wanted = hopeful.select(F.col("a").alias("cls")).unionByName(hopeful.select(F.col("b").alias("cls"))).distinct()
-        fresh = stage(confirmed(hopeful, stage(full_sets(docs, sets, wanted, shingle), "sets"), similarity), "links")
+        last = turn == MAX_STARS or left <= PAIRS_PER_POSTING * entries or left > before / 2
+        before = left
+        groups = stage(hub_groups(lists, turn), "groups")
+        fresh = stage((block_links if last else star_links)(groups, full, k, similarity), "links")
         found = fresh if found is None else found.unionByName(fresh)
         roots = components(found)
         if last:

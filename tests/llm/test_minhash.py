@@ -93,7 +93,7 @@ def planted(seed):
 def test_near_copies_passages_and_chains(spark, monkeypatch, stars):
     """Whichever way lists are taken apart, in small blocks too, no link is lost."""
     monkeypatch.setattr(minhash, "MAX_STARS", stars)
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(minhash, "PAIRS_PER_POSTING", 1)
     rows = planted(stars)
     found = rows_of(minhash.near_copies(docs(spark, rows)))
@@ -123,6 +123,52 @@ def test_fewer_values_than_certain_are_unlikely():
     assert min((rng.permutation(2000)[:64] < 1600).sum() for _ in range(500)) > certain
 
 
+def tied_roots(n, pairs):
+    root = list(range(n))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in pairs:
+        root[find(int(i))] = find(int(j))
+    return [find(x) for x in range(n)]
+
+
+def partition(roots):
+    groups = {}
+    for i, r in enumerate(roots):
+        groups.setdefault(r, set()).add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_nothing_is_ruled_out_that_is_linked():
+    """Random families of sets: the links found tie together what all links do, and are no more than needed."""
+    rng = np.random.default_rng(4)
+    hashes = minhash._WordHashes()
+    for _ in range(8):
+        size = int(rng.choice([3, 20, 70, 400]))
+        base = rng.integers(0, 1 << 60, size)
+        sets = []
+        for share in np.repeat([0, 0.02, 0.05, 0.1, 0.2, 0.4], 8):
+            changed = np.where(rng.random(size) < share, rng.integers(0, 1 << 60, size), base)
+            sets.append(minhash.shingle_set(" ".join(map(str, changed)).encode(), hashes))
+        roots = rng.integers(0, 6, len(sets)) if rng.random() < 0.5 else np.arange(len(sets))
+        before = [(i, int(np.flatnonzero(roots == r)[0])) for i, r in enumerate(roots)]
+        every = [
+            (i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))
+        ]
+        found = minhash.linked_pairs(sets, sets, roots, roots, True)
+        assert set(found) <= set(every) and len(found) < len(set(roots))
+        assert partition(tied_roots(len(sets), before + found)) == partition(tied_roots(len(sets), before + every))
+        half = len(sets) // 2
+        crossed = [(i, j + half) for i, j in minhash.linked_pairs(sets[:half], sets[half:], roots[:half], roots[half:], False)]
+        want = [(i, j) for i, j in every if i < half <= j]
+        assert partition(tied_roots(len(sets), before + crossed)) == partition(tied_roots(len(sets), before + want))
+
+
 def test_hot_keys_stay_apart(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 400, 7).otherwise(F.col("id")).alias("k"), "id")
     table = spark.range(900).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
