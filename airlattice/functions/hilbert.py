@@ -69,3 +69,61 @@ def hilbert_xy(code: Column, n: Column) -> Column:
     return F.aggregate(
         _levels(n), start, step, lambda acc: F.struct(acc["x"].alias("x"), acc["y"].alias("y"))
     )
+
+
+def curve_intervals(n: Column, x_first: Column, x_last: Column, y_first: Column, y_last: Column) -> Column:
+    """ARRAY<STRUCT<low, high>>: the curve codes of the positions with x and y within the bounds (all
+    included), as maximal intervals in ascending order.
+
+    Quadrant descent: squares of the curve are looked at from the whole grid down. A square within the
+    bounds is one interval, one outside goes, and only those across an edge are quartered, in the
+    order of the curve; so the work grows with the edges of the rectangle, not with its area.
+    """
+    # A square: its first code, its corner, and how the curve runs in it: whether x and y are swapped
+    # and whether they are mirrored.
+    number = lambda v: F.lit(v).cast("bigint")
+
+    def square(code, x, y, swap, mirror):
+        return F.struct(code.alias("code"), x.alias("x"), y.alias("y"), swap.alias("swap"), mirror.alias("mirror"))
+
+    def quarters(one: Column, half: Column) -> Column:
+        """The four quadrants, in the curve's order. In a square as the whole grid is, it runs lower left
+        (turned), upper left, upper right, lower right (turned the other way)."""
+        parts = []
+        for place, (right, upper) in enumerate(((0, 0), (0, 1), (1, 1), (1, 0))):
+            # undo the square's own turn: first the swap, then the mirror
+            a = F.when(one["swap"], number(upper)).otherwise(number(right))
+            b = F.when(one["swap"], number(right)).otherwise(number(upper))
+            a = F.when(one["mirror"], 1 - a).otherwise(a)
+            b = F.when(one["mirror"], 1 - b).otherwise(b)
+            swap = ~one["swap"] if upper == 0 else one["swap"]
+            mirror = ~one["mirror"] if (right, upper) == (1, 0) else one["mirror"]
+            parts.append(square(one["code"] + place * half * half, one["x"] + a * half, one["y"] + b * half, swap, mirror))
+        return F.array(*parts)
+
+    def step(acc: Column, half: Column) -> Column:
+        """Quarter all open squares, of side 2 * half, and tell their quarters apart."""
+        parts = F.flatten(F.transform(acc["open"], lambda one: quarters(one, half)))
+        touched = F.filter(parts, lambda p: (p["x"] <= x_last) & (p["x"] + half > x_first) & (p["y"] <= y_last) & (p["y"] + half > y_first))
+        inside = lambda p: (p["x"] >= x_first) & (p["x"] + half - 1 <= x_last) & (p["y"] >= y_first) & (p["y"] + half - 1 <= y_last)
+        whole = F.transform(F.filter(touched, inside), lambda p: F.struct(p["code"].alias("low"), (p["code"] + half * half - 1).alias("high")))
+        return F.struct(F.filter(touched, lambda p: ~inside(p)).alias("open"), F.concat(acc["done"], whole).alias("done"))
+
+    start = F.struct(
+        F.array(square(number(0), number(0), number(0), F.lit(False), F.lit(False))).alias("open"),
+        F.array().cast("array<struct<low:bigint,high:bigint>>").alias("done"),
+    )
+    found = F.aggregate(F.reverse(_levels(n)), start, step, lambda acc: F.array_sort(acc["done"]))
+    return joined_intervals(found)
+
+
+def joined_intervals(intervals: Column) -> Column:
+    """Ascending intervals with neighbours joined that leave no code between them."""
+
+    def step(acc: Column, one: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["low"].alias("low"), one["high"].alias("high"))))
+        near = F.try_element_at(acc, F.lit(-1))["high"] + 1 >= one["low"]
+        return F.when(F.size(acc) == 0, F.array(one)).when(near, longer).otherwise(F.concat(acc, F.array(one)))
+
+    return F.aggregate(intervals, F.array().cast("array<struct<low:bigint,high:bigint>>"), step)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 REGION_STEP = 100_000
 CITY_STEP = 100
 MAX_CODE = 99_999
+# Keys of one folder of the tile table: those of a province.
+KEY_SPAN = 10_000_000
 
 
 def region_number(province_no: Column, city_no: Column) -> Column:
@@ -42,3 +44,8 @@ def key_code(key: Column) -> Column:
 def region_key_range(region_no: int) -> tuple[int, int]:
     """Keys of one region: start inclusive, end exclusive."""
     return region_no * REGION_STEP, (region_no + 1) * REGION_STEP
+
+
+def key_span(key: Column) -> Column:
+    """Number of the key range that a tile key falls into; a region lies in one."""
+    return F.floor(key / KEY_SPAN).cast("int")

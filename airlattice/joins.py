@@ -1,6 +1,6 @@
 """Joins that look at the size of one side before they choose how to move it."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.session import stage
@@ -41,3 +41,9 @@ def keep_matching(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
         return df.where(F.col(key).isin([row[0] for row in listed]))
     keys = stage(keys, "keys")
     return df.join(broadcast_if_small(keys, MAX_BROADCAST_KEYS), key, "left_semi")
+
+
+def spread_key(key: Column, row: Column) -> Column:
+    """A text key for a left join in which rows without a key match nothing, yet do not all go to one
+    task: each gets a key of its own, from the hash of ``row``, which no lookup holds."""
+    return F.coalesce(key, F.concat(F.lit("\x00"), F.xxhash64(row).cast("string")))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.functions.cells import nodata_of, valid_count, valid_max, valid_mean, valid_min, valid_sum
-from airlattice.functions.timebuckets import bucket_start, bucket_text
+from airlattice.functions.keys import CITY_STEP, key_region
+from airlattice.functions.timebuckets import bucket_start, bucket_text, time_level
 from airlattice.schemas import HIERARCHIES, PROPS
 
 # Cells of a tile aggregated side by side in one group. 32 means in one aggregation row keep
@@ -218,13 +219,64 @@ def roll_up_all(df: DataFrame, hierarchies, value: str, places: DataFrame = None
     Facts are summed at the finest level first, so the row multiplication of grouping sets acts
     on that much smaller result, never on facts. ``grouping_id`` tells the level of a row.
     """
-    leaves = [c for h in hierarchies for c in h]
-    partial = _partials(df, leaves, value, places, on)
+    return _all_levels(_partials(df, _leaves(hierarchies), value, places, on), hierarchies)
+
+
+def _leaves(hierarchies) -> list:
+    return [c for h in hierarchies for c in h]
+
+
+def _all_levels(partial: DataFrame, hierarchies) -> DataFrame:
+    """Every level of each hierarchy with every level of the others, from sums at the finest."""
     sets = [
         [F.col(c) for part in choice for c in part]
         for choice in product(*[[h[:i] for i in range(len(h), -1, -1)] for h in hierarchies])
     ]
-    levels = partial.groupingSets(sets, *[F.col(c) for c in leaves]).agg(
+    levels = partial.groupingSets(sets, *[F.col(c) for c in _leaves(hierarchies)]).agg(
         F.grouping_id().cast("bigint").alias("grouping_id"), *_merge()
     )
     return _with_mean(levels)
+
+
+# --- stored partial states --------------------------------------------------------------------
+
+# What is asked of states is merged from a row per tile, pollutant and (UTC) day; no cells are read.
+
+
+def state_pattern(states: DataFrame, level: str, weighted: bool = False) -> DataFrame:
+    """``time_pattern`` by day, month, season, year or all, from partial states."""
+    if time_level(level) == "hour":
+        raise ValueError("states are kept by day; ask the tiles for hours")
+    total, n = ("cell_total", "cell_count") if weighted else ("mean_total", "n_valid")
+    buckets = states.groupBy(bucket_start(F.col("day").cast("timestamp"), level).alias("start")).agg(
+        F.try_divide(F.sum(total), F.sum(n)).alias("mean")
+    )
+    return buckets.select(bucket_text(F.col("start"), level).alias("bucket"), "mean").orderBy("bucket")
+
+
+def state_stats(states: DataFrame, by=()) -> DataFrame:
+    """``tile_stats`` from partial states, over all of them or by some of their columns."""
+    return states.groupBy(*by).agg(
+        F.try_divide(F.sum("mean_total"), F.sum("n_valid")).alias("tile_avg"),
+        F.max("high").alias("tile_max"),
+        F.min("low").alias("tile_min"),
+        F.sum("n_versions").alias("n_versions"),
+    )
+
+
+def roll_up_states(states: DataFrame, hierarchies, places: DataFrame = None, on: str = "region_no") -> DataFrame:
+    """``roll_up_all`` over all valid cells, from partial states.
+
+    Levels may be year, month and day, region_no and province_no, pollutant, and columns of ``places``,
+    a table with one row per region. States are merged by region before they are joined with it.
+    """
+    day = F.col("day").cast("timestamp")
+    leveled = states.withColumns({level: bucket_text(day, level) for level in ("year", "month", "day")}).withColumns(
+        {"region_no": key_region(F.col("tile_key")), "province_no": F.floor(key_region(F.col("tile_key")) / CITY_STEP)}
+    )
+    facts = leveled.withColumns({"total": F.col("cell_total"), "n": F.col("cell_count")})
+    leaves = _leaves(hierarchies)
+    if places is not None:
+        own = [c for c in leaves if c not in places.columns or c == on]
+        facts = facts.groupBy(*dict.fromkeys([*own, on])).agg(*_merge()).join(places, on)
+    return _all_levels(facts.groupBy(*leaves).agg(*_merge()), hierarchies)

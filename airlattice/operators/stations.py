@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airlattice.functions.timebuckets import is_time_text, parse_time
+from airlattice.joins import spread_key
 
 # Column names of layout A, the date of the switch to layout B, places of the
 # measures in a row after province, lng and lat were inserted, the least number of fields,
@@ -91,9 +92,9 @@ def add_province(rows: DataFrame, provinces: DataFrame) -> DataFrame:
 
     ``provinces`` is (city, province), one row per city. No broadcast is forced: Spark
     broadcasts the lookup while its size is below the threshold, else shuffles both sides and
-    splits hot cities.
+    splits hot cities. Rows without a city are spread over all tasks.
     """
-    kept = rows.where(F.size("fields") > 1).withColumn("city", F.get("fields", F.lit(1)))
+    kept = rows.where(F.size("fields") > 1).withColumn("city", spread_key(F.get("fields", F.lit(1)), F.col("fields")))
     joined = kept.join(provinces, "city", "left")
     return joined.withColumn(
         "fields",
@@ -109,9 +110,10 @@ def station_address(province: Column, city: Column, site: Column, compat: bool =
 def add_location(rows: DataFrame, locations: DataFrame, compat: bool = False) -> DataFrame:
     """Insert lng and lat as fifth and sixth field ("" if unknown); needs 6 fields or more.
 
-    ``locations`` is (address, lng, lat) as text, one row per address.
+    ``locations`` is (address, lng, lat) as text, one row per address. Rows without an address are spread over
+    all tasks, whatever share of all they are.
     """
-    address = station_address(*[F.get("fields", F.lit(i)) for i in (1, 2, 3)], compat=compat)
+    address = spread_key(station_address(*[F.get("fields", F.lit(i)) for i in (1, 2, 3)], compat=compat), F.col("fields"))
     joined = rows.where(F.size("fields") > 5).withColumn("address", address).join(locations, "address", "left")
     found = F.array(F.coalesce("lng", F.lit("")), F.coalesce("lat", F.lit("")))
     return joined.withColumn(
@@ -137,6 +139,54 @@ def is_valid_row(fields: Column, compat: bool = False) -> Column:
     return F.coalesce(long_enough & full & numbers, F.lit(False))
 
 
+# Why a row is rejected: too few fields to be placed, unknown province or location, fewer fields than its
+# layout has, a blank field, no number where one belongs.
+REASONS = ("few", "province", "location", "short", "blank", "number")
+# Fields of a row before its province and location are inserted.
+PLACED_FIELDS = 5
+_INSERTED_PLACES = (1, 4, 5)
+
+
+def judged_rows(lines: DataFrame, provinces: DataFrame, locations: DataFrame, compat: bool = False) -> DataFrame:
+    """value (the line), fields (the full row, or what there is of it), reasons: every data line with what is
+    wrong with it. A row without reasons is valid, see ``is_valid_row``.
+
+    One pass, without a shuffle while both lookups are small enough to broadcast.
+    """
+    rows = data_lines(lines).select("value", F.split(F.regexp_replace("value", ",+$", ""), ",").alias("fields"))
+    rows = fill_blanks(rows).withColumn("few", F.size("fields") < PLACED_FIELDS)
+    cities = rows.withColumn("city", spread_key(F.get("fields", F.lit(1)), F.col("fields")))
+    placed = cities.join(provinces, "city", "left")
+    address = station_address(F.col("province"), F.get("fields", F.lit(1)), F.get("fields", F.lit(2)), compat)
+    located = placed.withColumn("address", spread_key(address, F.col("fields"))).join(locations, "address", "left")
+    found = F.array("province"), F.array(F.coalesce("lng", F.lit("")), F.coalesce("lat", F.lit("")))
+    parts = F.slice("fields", 1, 1), found[0], F.slice("fields", 2, 2), found[1], F.slice("fields", F.lit(4), F.size("fields"))
+    full = located.withColumn("fields", F.when(F.col("few"), F.col("fields")).otherwise(F.concat(*parts)))
+
+    own = F.filter("fields", lambda x, i: ~i.isin(*_INSERTED_PLACES))
+    old = _is_layout_a(parse_time(F.get("fields", F.lit(0))))
+    pattern = number_pattern(compat)
+    wrong = F.exists(
+        F.filter("fields", lambda x, i: _checked(i)), lambda x: ~F.coalesce(x.rlike(pattern), F.lit(False))
+    )
+    tests = {
+        "few": F.col("few"),
+        "province": F.get("fields", F.lit(1)).isNull(),
+        "location": F.get("fields", F.lit(4)) == "",
+        "short": F.size("fields") < F.when(old, LAYOUT_A_FIELDS).otherwise(LAYOUT_B_FIELDS),
+        "blank": F.exists(own, _is_blank),
+        "number": wrong,
+    }
+    found = [F.when(tests[r] if r == "few" else ~F.col("few") & tests[r], r) for r in REASONS]
+    return full.select("value", "fields", F.filter(F.array(*found), lambda r: r.isNotNull()).alias("reasons"))
+
+
+def reason_counts(prefix: str = "") -> list[Column]:
+    """Aggregates over judged rows: all, valid, and those with each reason; a row may have several."""
+    each = [F.count_if(F.array_contains("reasons", r)).alias(f"{prefix}{r}") for r in REASONS]
+    return [F.count(F.lit(1)).alias(f"{prefix}rows"), F.count_if(F.size("reasons") == 0).alias(f"{prefix}valid"), *each]
+
+
 def repair_rows(rows: DataFrame, compat: bool = False) -> DataFrame:
     """Full rows made regular: blanks and ``_`` to "0", bad times to a fixed text, padded to the
     layout's length, non-numbers in checked places to "0"."""
@@ -232,6 +282,6 @@ def clean_station(lines: DataFrame, provinces: DataFrame, locations: DataFrame,
         "fields", F.get("fields", F.lit(0)).alias("raw_time"), filled(1).alias("city"), filled(2).alias("site")
     )
     placed = named.join(provinces, "city", "left")
-    address = station_address(F.col("province"), F.col("city"), F.col("site"), compat)
+    address = spread_key(station_address(F.col("province"), F.col("city"), F.col("site"), compat), F.col("fields"))
     located = placed.withColumn("address", address).join(locations, "address", "left")
     return _typed(located, INSERTED_FIELDS, compat)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airlattice.functions.keys import key_region
-from airlattice.operators.boxes import Box, tiles_in_box
+from airlattice.operators.boxes import Box, tiles_in_box_ranges
 from airlattice.operators.mosaic import tiles_to_asc
 from airlattice.operators.olap import spatial_mean, time_pattern
 from airlattice.operators.regions import resolve_region
@@ -29,10 +29,10 @@ def region_tiles(
 
 
 def box_tiles(spark: SparkSession, tiles_path: str, meta: DataFrame, box: Box, pollutant: str, start: str, end: str) -> DataFrame:
-    """Tiles of one pollutant and time range that overlap a box: folders are pruned by pollutant and day,
-    files by the tile keys that the metadata gives for the box."""
+    """Tiles of one pollutant and time range that overlap a box: folders are pruned by pollutant, day and key
+    range, files by the intervals of tile keys that the metadata gives for the box."""
     scanned = scan_tiles(read_tiles(spark, tiles_path), start=start, end=end, pollutants=[pollutant])
-    return tiles_in_box(scanned, box, None, meta)
+    return tiles_in_box_ranges(scanned, box, meta)
 
 
 def time_query(tiles: DataFrame, level: str) -> DataFrame:

@@ -22,6 +22,8 @@ ASKED = ("P1", "C1", "pm25")
 # Cities of the files: few, so that each has several hours even in small tables.
 CITIES = 4
 # Names outside these bounds are not opened.
+# One raster in this many comes again.
+AGAIN = 3
 SOME_START, SOME_END = "2016-05-01 00:00:00", "2016-05-01 01:30:00"
 
 
@@ -136,15 +138,18 @@ SELECT region_no, unnest(range(7)) AS line,
                'NODATA_VALUE -9999.0']) AS header, NULL, NULL FROM meta"""
 
 
-@st.once
-def raster_files(spark, sf_dir) -> str:
-    """All rasters as text files, a few cities at successive hours; written once per application."""
+def _raster_name():
     number = F.col("region_no") - 101
     hours = F.make_interval(hours=F.floor(number / CITIES).cast("int"))
     time = F.date_format(F.lit(FIRST_HOUR).cast("timestamp") + hours, "yyyy-MM-dd'H'HH")
-    name = F.format_string("P%d%%C%d#%s#pm25", number % 2 + 1, number % CITIES + 1, time)
+    return F.format_string("P%d%%C%d#%s#pm25", number % 2 + 1, number % CITIES + 1, time)
+
+
+@st.once
+def raster_files(spark, sf_dir) -> str:
+    """All rasters as text files, a few cities at successive hours; written once per application."""
     path = st.scratch(spark, "asc")
-    files.write_asc_files(_text(spark, sf_dir).withColumn("raster", name), path)
+    files.write_asc_files(_text(spark, sf_dir).withColumn("raster", _raster_name()), path)
     return path
 
 
@@ -241,6 +246,32 @@ def import_between(spark, sf_dir):
     return tiles.groupBy("region_no", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def import_again(spark, sf_dir):
+    """All files imported with a ledger; then every third raster written anew with doubled cells, and two
+    more imports: the first opens the new files only, the second none."""
+    folder = st.scratch(spark, "again")
+    meta = st.raster_meta(spark, sf_dir)
+    again = meta.where(f"region_no % {AGAIN} = 0")
+    cells = st.raster_cells(spark, sf_dir).join(F.broadcast(again.select("region_no")), "region_no")
+    doubled = cells.withColumn("value", F.when(F.col("value") == st.RASTER_NODATA, F.col("value")).otherwise(F.col("value") * 2).cast("float"))
+    text = mosaic.tiles_to_asc(tiling.with_tile_key(tiling.split_cells(doubled, meta)), meta, rasters=again)
+
+    def run():
+        import_rasters(
+            spark, f"{folder}/asc", _file_regions(spark, sf_dir), f"{folder}/tiles", f"{folder}/meta", IMPORT_START, IMPORT_END,
+            ledger_path=f"{folder}/ledger", states_path=f"{folder}/states",
+        )
+
+    files.write_asc_files(_text(spark, sf_dir).withColumn("raster", _raster_name()), f"{folder}/asc/a")
+    run()
+    files.write_asc_files(text.withColumn("raster", _raster_name()), f"{folder}/asc/b")
+    for _ in range(2):
+        run()
+    tiles = store.read_tiles(spark, f"{folder}/tiles")
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    return _cells_of(tiles, "tile_key", text)
+
+
 def import_parts(spark, sf_dir):
     """All orders as one raster, written in ordered parts, imported, and every cell of it."""
     orders = st.table(spark, sf_dir, "orders")
@@ -305,6 +336,11 @@ SELECT ((k % 2 + 1) * 100 + k % {CITIES} + 1) * 100000 + tile_code AS tile_key,
 FROM located JOIN named USING (region_no)
 WHERE strftime(time, '%Y-%m-%d %H:%M:%S') BETWEEN '{IMPORT_START}' AND '{IMPORT_END}'"""
 
+_AGAIN_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
+SELECT ((k % 2 + 1) * 100 + k % {CITIES} + 1) * 100000 + tile_code AS tile_key, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts, pos,
+       round((CASE WHEN region_no % {AGAIN} = 0 AND value <> -9999 THEN value * 2::FLOAT ELSE value END)::DOUBLE, 2) AS value
+FROM located JOIN named USING (region_no)"""
+
 _BETWEEN_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
 SELECT (k % 2 + 1) * 100 + k % {CITIES} + 1 AS region_no, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts, count(DISTINCT tile_code) AS n
 FROM located JOIN named USING (region_no)
@@ -324,6 +360,19 @@ def box_question(spark, sf_dir):
     return tile_query.time_query(tiles, "hours").select("bucket", F.round("mean", 4).alias("mean"))
 
 
+def box_intervals(spark, sf_dir):
+    """The intervals of keys that a box comes to, region by region."""
+    found = boxes.box_key_intervals(st.raster_meta(spark, sf_dir), BOX)
+    return found.select("region_no", F.inline("intervals"))
+
+
+def box_ranges(spark, sf_dir):
+    """Every cell of the imported tiles under the box, by intervals of keys."""
+    folder = import_folder(spark, sf_dir)
+    found = boxes.tiles_in_box_ranges(store.read_tiles(spark, f"{folder}/tiles"), COURSE_BOX, store.read_meta(spark, f"{folder}/meta"))
+    return _cells_of(found, "tile_key", F.date_format("ts", "yyyy-MM-dd HH").alias("bucket"))
+
+
 def geo_index(spark, sf_dir):
     index = boxes.build_geo_index(st.raster_meta(spark, sf_dir), PRECISION)
     return index.select("region_no", "geohash", *_big("tile_code"))
@@ -361,20 +410,27 @@ _BOX_SQL = f"""WITH {st.CELLS_SQL}
 SELECT tile_key, pos, round(value::DOUBLE, 2) AS value FROM located JOIN extents USING (region_no, tile_code)
 WHERE lng_min < {BOX.lng_max} AND lng_max > {BOX.lng_min} AND lat_min < {BOX.lat_max} AND lat_max > {BOX.lat_min}"""
 
-_BOX_COURSE_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL},
+_STORED_SQL = f"""{st.CELLS_SQL}, {_NAMES_SQL},
 stored AS (
   SELECT *, (k % 2 + 1) * 100 + k % {CITIES} + 1 AS city_no,
          row_number() OVER (PARTITION BY k % {CITIES} ORDER BY time DESC) AS newest FROM named),
-spots AS (SELECT city_no, xll, yll FROM stored WHERE newest = 1),
+spots AS (SELECT city_no, xll, yll FROM stored WHERE newest = 1)"""
+
+_UNDER_COURSE_BOX = f"""s.xll + x * 2.0 < {COURSE_BOX.lng_max} AND s.xll + x * 2.0 + width * 0.125 > {COURSE_BOX.lng_min}
+  AND s.yll + y * 2.0 < {COURSE_BOX.lat_max} AND s.yll + y * 2.0 + height * 0.125 > {COURSE_BOX.lat_min}"""
+
+_BOX_RANGES_SQL = f"""WITH {_STORED_SQL}
+SELECT stored.city_no * 100000 + tile_code AS tile_key, strftime(time, '%Y-%m-%d %H') AS bucket, pos, round(value::DOUBLE, 2) AS value
+FROM located JOIN stored USING (region_no) JOIN spots s ON stored.city_no = s.city_no WHERE {_UNDER_COURSE_BOX}"""
+
+_BOX_COURSE_SQL = f"""WITH {_STORED_SQL},
 placed_tiles AS (
   SELECT time, tile_code, city_no, avg(value::DOUBLE) FILTER (value <> -9999) AS tile_mean, any_value(x) AS x, any_value(y) AS y,
          any_value(height) AS height, any_value(width) AS width
   FROM located JOIN stored USING (region_no) WHERE time < '{IMPORT_END}' GROUP BY region_no, time, tile_code, city_no)
 SELECT strftime(time, '%Y-%m-%d %H') AS bucket, round(avg(tile_mean), 4) AS mean
 FROM placed_tiles t JOIN spots s ON t.city_no = s.city_no
-WHERE s.xll + x * 2.0 < {COURSE_BOX.lng_max} AND s.xll + x * 2.0 + width * 0.125 > {COURSE_BOX.lng_min}
-  AND s.yll + y * 2.0 < {COURSE_BOX.lat_max} AND s.yll + y * 2.0 + height * 0.125 > {COURSE_BOX.lat_min}
-GROUP BY 1"""
+WHERE {_UNDER_COURSE_BOX} GROUP BY 1"""
 
 # Cells of precision 3 are 360/256 degrees wide and 180/128 high; 15 bits, longitude first.
 _HASH_SQL = """concat(
@@ -428,6 +484,7 @@ SELECT region_no, "row", col, code FROM cells JOIN codes ON col = x0 AND "row" =
     "split_file_rows": (split_file_rows, _FILE_TILES_SQL),
     "raster_import": (raster_import, _IMPORT_SQL),
     "import_between": (import_between, _BETWEEN_SQL),
+    "import_again": (import_again, _AGAIN_SQL),
     "import_parts": (import_parts, _PARTS_SQL),
     "named_time_query": (
         named_time_query,
@@ -448,6 +505,15 @@ SELECT "row", col, round(v::DOUBLE, 1) AS value FROM heat""",
     ),
     "box_query": (box_query, _BOX_SQL),
     "box_question": (box_question, _BOX_COURSE_SQL),
+    "box_intervals": (
+        box_intervals,
+        f"""WITH {st.CELLS_SQL},
+under AS (
+  SELECT region_no, tile_key, tile_key - row_number() OVER (PARTITION BY region_no ORDER BY tile_key) AS island FROM extents
+  WHERE lng_min < {BOX.lng_max} AND lng_max > {BOX.lng_min} AND lat_min < {BOX.lat_max} AND lat_max > {BOX.lat_min})
+SELECT region_no, min(tile_key) AS low, max(tile_key) AS high FROM under GROUP BY region_no, island""",
+    ),
+    "box_ranges": (box_ranges, _BOX_RANGES_SQL),
     "geo_index": (geo_index, _INDEX_SQL),
     "geohash_query": (geohash_query, _CUSTOMER_BOX_SQL),
     "geohash_box": (geohash_box, _BOX_SQL),

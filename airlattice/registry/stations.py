@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from airlattice.operators import stations as ops
-from airlattice.plans.station_etl import preview, run_station_etl, station_table
+from airlattice.plans.station_etl import preview, read_rejects, read_valid, run_station_etl, sort_out, station_table
 from airlattice.registry import standins as st
 from airlattice.sources.text import read_lines, write_lines
 
@@ -115,6 +115,25 @@ def station_managed(spark, sf_dir):
     return _time(spark.table(name))
 
 
+def _sorted_out(spark, sf_dir):
+    folder, target = _lookup_files(spark, sf_dir), st.scratch(spark, "sorted-out")
+    places = f"{folder}/provinces", f"{folder}/locations"
+    return target, sort_out(spark, st.station_folder(spark, sf_dir), *places, target)
+
+
+def station_rejects(spark, sf_dir):
+    """Every line, valid as full rows or rejected with its reasons."""
+    target, _ = _sorted_out(spark, sf_dir)
+    valid = read_valid(spark, target).select("value", F.lit("").alias("reasons"))
+    return valid.unionByName(read_rejects(spark, target).select("value", F.array_join("reasons", " ").alias("reasons")))
+
+
+def station_reject_counts(spark, sf_dir):
+    """The counts taken while the lines were written."""
+    _, counts = _sorted_out(spark, sf_dir)
+    return spark.createDataFrame(sorted(counts.items()), "reason string, n bigint")
+
+
 def station_preview(spark, sf_dir):
     """The first rows by every column, through the view."""
     folder = _lookup_files(spark, sf_dir)
@@ -196,6 +215,27 @@ SELECT f[1] AS time, CASE WHEN timed THEN f[1] END AS ts, {province} AS province
        {lng} AS lng, {lat} AS lat, {measures} FROM repaired"""
 
 
+_JUDGED_SQL = f"""{st.STATION_SQL},
+raw AS (SELECT value, string_split(rtrim(value, ','), ',') AS f FROM lines WHERE rtrim(value, ',') <> '' AND NOT starts_with(value, 'time,')),
+data AS (SELECT value, list_transform(f, lambda v: CASE WHEN trim(v) = '' THEN '0' ELSE v END) AS f FROM raw),
+placed AS (
+  SELECT value, len(f) < 5 AS few, CASE WHEN len(f) < 5 THEN f ELSE
+    list_concat([f[1]], [province], f[2:3], [coalesce(lng, ''), coalesce(lat, '')], f[4:]) END AS f
+  FROM data LEFT JOIN provinces ON f[2] = city LEFT JOIN locations ON address = province || f[2] || f[3]),
+judged AS (
+  SELECT value, f, CASE WHEN few THEN ['few'] ELSE list_filter([
+    CASE WHEN f[2] IS NULL THEN 'province' END, CASE WHEN f[5] = '' THEN 'location' END,
+    CASE WHEN len(f) < CASE WHEN {_OLD_SQL} THEN 20 ELSE 16 END THEN 'short' END,
+    CASE WHEN len(list_filter(list_concat(f[1:1], f[3:4], f[7:]), lambda v: {_BLANK_SQL})) > 0 THEN 'blank' END,
+    CASE WHEN len(list_filter(list_concat(f[7:7], f[10:]), lambda v: NOT regexp_full_match(v, '{_number_sql(False)}'))) > 0 THEN 'number' END],
+    lambda r: r IS NOT NULL) END AS reasons
+  FROM placed)"""
+
+_REASON_COUNTS_SQL = " UNION ALL ".join(
+    f"SELECT '{r}' AS reason, count(*) FILTER (list_contains(reasons, '{r}')) AS n FROM judged" for r in ops.REASONS
+)
+
+
 QUERIES = {
     "station_split": (station_split, f"WITH {st.STATION_SQL} {_row_sql('split')}"),
     "station_clean": (station_clean, f"WITH {st.STATION_SQL} {_row_sql('filled')}"),
@@ -219,6 +259,17 @@ QUERIES = {
     "station_chain_compat": (_chain(True), _typed_sql(True)),
     "station_files": (station_files, _typed_sql(False)),
     "station_managed": (station_managed, _typed_sql(False)),
+    "station_rejects": (
+        station_rejects,
+        f"""WITH {_JUDGED_SQL}
+SELECT CASE WHEN len(reasons) = 0 THEN array_to_string(f, ',') ELSE value END AS value, array_to_string(reasons, ' ') AS reasons
+FROM judged""",
+    ),
+    "station_reject_counts": (
+        station_reject_counts,
+        f"WITH {_JUDGED_SQL} {_REASON_COUNTS_SQL} UNION ALL SELECT 'rows', count(*) FROM judged "
+        "UNION ALL SELECT 'valid', count(*) FILTER (len(reasons) = 0) FROM judged",
+    ),
     "station_preview": (station_preview, f"SELECT * FROM ({_typed_sql(False)}) ORDER BY ALL NULLS FIRST LIMIT {TOP}"),
     "station_project": (
         station_project,

@@ -233,6 +233,86 @@ ranked AS (
   SELECT *, row_number() OVER (PARTITION BY tile_key, pollutant, ts ORDER BY turn DESC, seq DESC) AS n FROM everything)
 SELECT tile_key, pollutant, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, {_SUM_SQL} AS total FROM ranked WHERE n = 1"""
 
+# Late tiles: those of one province on two days come again with doubled cells.
+LATE_PROVINCE, LATE_START, LATE_END = 2, "2024-01-10 00:00:00", "2024-01-12 00:00:00"
+PATTERN_LEVELS = ("day", "month", "season", "year", "all")
+
+
+@st.once
+def late_folder(spark, sf_dir) -> str:
+    """The hourly tiles with their partial states, and then the late ones; written once per application."""
+    folder = st.scratch(spark, "late")
+    first = st.hour_tiles(spark, sf_dir)
+    late = first.where(F.floor(F.col("region_no") / 100) == LATE_PROVINCE).where(F.col("ts") >= LATE_START).where(F.col("ts") < LATE_END)
+    doubled = late.withColumn("data", F.transform("data", lambda v: F.when(v == st.NODATA, v).otherwise(v * 2)))
+    for tiles in (first, doubled):
+        store.upsert_tiles(tiles, f"{folder}/tiles", order_by=["seq"], states_path=f"{folder}/states")
+    return folder
+
+
+def _late_states(spark, sf_dir):
+    return store.read_states(st.pin_time_zone(spark), f"{late_folder(spark, sf_dir)}/states")
+
+
+def upsert_late(spark, sf_dir):
+    """All tiles after the late ones came in."""
+    tiles = store.read_tiles(st.pin_time_zone(spark), f"{late_folder(spark, sf_dir)}/tiles")
+    return _summed(tiles, "tile_key", "pollutant", _text())
+
+
+def state_pattern(spark, sf_dir):
+    """Courses at every level above the hour, from states."""
+    states = _late_states(spark, sf_dir)
+    courses = [olap.state_pattern(states, level).withColumn("level", F.lit(level)) for level in PATTERN_LEVELS]
+    courses.append(olap.state_pattern(states, "month", weighted=True).withColumn("level", F.lit("weighted")))
+    every = courses[0]
+    for course in courses[1:]:
+        every = every.unionByName(course)
+    return every.select("level", "bucket", F.round("mean", 6).alias("mean"))
+
+
+def state_region(spark, sf_dir):
+    """Daily course of one region and two pollutants, from states."""
+    found = store.scan_states(_late_states(spark, sf_dir), REGION, START[:10], END[:10], ["pm25", "co"])
+    return olap.state_pattern(found, "day").select("bucket", F.round("mean", 6).alias("mean"))
+
+
+def state_stats(spark, sf_dir):
+    stats = olap.state_stats(_late_states(spark, sf_dir), ["pollutant"])
+    return stats.select("pollutant", "n_versions", *[F.round(c, 6).alias(c) for c in ("tile_avg", "tile_max", "tile_min")])
+
+
+def _names_of_provinces(spark, sf_dir):
+    """A row per region: its province by name."""
+    region = st.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1).alias("province_no"), F.col("r_name").alias("province"))
+    return region.select("province", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("city"), "province_no").select(
+        "province", (F.col("province_no") * 100 + F.col("city")).cast("bigint").alias("region_no")
+    )
+
+
+def state_rollup(spark, sf_dir):
+    """All levels of time with all levels of space, provinces by name, from states."""
+    hierarchies = [["year", "month", "day"], ["province", "region_no"]]
+    levels = olap.roll_up_states(_late_states(spark, sf_dir), hierarchies, _names_of_provinces(spark, sf_dir))
+    return levels.select(
+        "year", "month", "day", "province", "region_no", "grouping_id", "n",
+        *[F.round(c, 5).alias(c) for c in ("total", "low", "high", "mean")],
+    )
+
+
+_LATE_SQL = f"""{st.hour_tiles_sql()},
+unique_tiles AS (
+  SELECT * FROM tiles QUALIFY row_number() OVER (PARTITION BY tile_key, pollutant, tiles.ts ORDER BY seq DESC) = 1),
+stored AS (
+  SELECT * REPLACE (CASE WHEN region_no // 100 = {LATE_PROVINCE} AND ts >= '{LATE_START}' AND ts < '{LATE_END}'
+    THEN list_transform(data, lambda v: CASE WHEN v = -999 THEN v ELSE v * 2::FLOAT END) ELSE data END AS data)
+  FROM unique_tiles),
+means AS (
+  SELECT *, list_avg(list_transform(list_filter(data, lambda v: v <> -999), lambda v: v::DOUBLE)) AS tile_mean FROM stored),
+cells AS (
+  SELECT pollutant, ts, region_no, unnest(data)::DOUBLE AS v FROM stored)"""
+
+
 _TS_SQL = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
 _RANGE_SQL = f"tile_key >= {REGION * 100000} AND tile_key < {(REGION + 1) * 100000} AND ts >= '{START}' AND ts < '{END}'"
 
@@ -240,7 +320,7 @@ def tile_catalog(spark, sf_dir):
     """Hourly tiles through a catalog table: made, made again without effect, filled, read by name."""
     name = f"tiles_{uuid.uuid4().hex}"
     store.create_tile_table(spark, name)
-    stored = store.with_day(hour_store(spark, sf_dir))
+    stored = store.with_folders(hour_store(spark, sf_dir))
     stored.select(*spark.table(name).columns).write.insertInto(name)
     store.create_tile_table(spark, name)
     return _summed(spark.table(name), "tile_key", "pollutant", _text())
@@ -344,4 +424,34 @@ SELECT tile_key, unnest({[f"properties:{n}" for n in PROPS.fieldNames()]}) AS na
        unnest([4, 4, lng, lat, 0.05, 8, 8, -999]::DOUBLE[]) AS value FROM one""",
     ),
     "upsert_tiles": (upsert_tiles, _UPSERT_SQL),
+    "upsert_late": (upsert_late, f"WITH {_LATE_SQL} SELECT tile_key, pollutant, {_TS_SQL}, {_SUM_SQL} AS total FROM stored"),
+    "state_pattern": (
+        state_pattern,
+        f"WITH {_LATE_SQL} "
+        + " UNION ALL ".join(
+            f"SELECT '{level}' AS level, {_BUCKET_SQL[level]} AS bucket, round(avg(tile_mean), 6) AS mean FROM means GROUP BY 2"
+            for level in PATTERN_LEVELS
+        )
+        + " UNION ALL SELECT 'weighted', strftime(ts, '%Y-%m'), round(avg(v) FILTER (v <> -999), 6) FROM cells GROUP BY 2",
+    ),
+    "state_region": (
+        state_region,
+        f"WITH {_LATE_SQL} SELECT {_BUCKET_SQL['day']} AS bucket, round(avg(tile_mean), 6) AS mean FROM means "
+        f"WHERE region_no = {REGION} AND pollutant IN ('pm25', 'co') AND ts::DATE BETWEEN '{START[:10]}' AND '{END[:10]}' GROUP BY 1",
+    ),
+    "state_stats": (
+        state_stats,
+        f"""WITH {_LATE_SQL} SELECT pollutant, count(*) AS n_versions, round(avg(tile_mean), 6) AS tile_avg,
+  round(max(list_max(list_filter(data, lambda v: v <> -999)))::DOUBLE, 6) AS tile_max,
+  round(min(list_min(list_filter(data, lambda v: v <> -999)))::DOUBLE, 6) AS tile_min FROM means GROUP BY pollutant""",
+    ),
+    "state_rollup": (
+        state_rollup,
+        f"""WITH {_LATE_SQL}, facts AS (
+  SELECT v, strftime(ts, '%Y') AS year, strftime(ts, '%Y-%m') AS month, strftime(ts, '%Y-%m-%d') AS day,
+         r_name AS province, region_no FROM cells JOIN region ON r_regionkey + 1 = region_no // 100 WHERE v <> -999)
+SELECT year, month, day, province, region_no, GROUPING(year, month, day, province, region_no)::BIGINT AS grouping_id, count(*) AS n,
+       round(sum(v), 5) AS total, round(min(v), 5) AS low, round(max(v), 5) AS high, round(avg(v), 5) AS mean
+FROM facts GROUP BY ROLLUP (year, month, day), ROLLUP (province, region_no)""",
+    ),
 }

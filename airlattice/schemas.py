@@ -58,6 +58,17 @@ RASTER_META = _struct(
     ("tile_length", T.IntegerType()),
 )
 
+# A raster that was imported: what it stands for, and the file by which a change is told.
+IMPORTED = _struct(
+    ("region_no", T.LongType()),
+    ("pollutant", T.StringType()),
+    ("ts", T.TimestampType()),
+    ("path", T.StringType()),
+    ("size", T.LongType()),
+    ("modified", T.TimestampType()),
+    ("imported", T.TimestampType()),
+)
+
 PROPS = _struct(
     ("x_tiles", T.IntegerType()),
     ("y_tiles", T.IntegerType()),

@@ -40,6 +40,23 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_open_scopes: list = []
+
+
+@contextlib.contextmanager
+def clearing(spark: SparkSession):
+    """Remove at the end of a block what was staged in it. For jobs that write their results: data frames that
+    outlive the block must not read what it staged."""
+    folders: list = []
+    _open_scopes.append(folders)
+    try:
+        yield
+    finally:
+        _open_scopes.remove(folders)
+        for path in folders:
+            drop_folder(spark, path)
+
+
 @contextlib.contextmanager
 def staged(df: DataFrame, label: str = "stage"):
     """``stage`` for the length of a block that reads it; then the folder goes."""
@@ -55,8 +72,10 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage of rows that are costly to compute and used more than once; the files
-    outlive any executor.
+    outlive any executor, and stay unless ``clearing`` is around.
     """
     path = shared_folder(df.sparkSession, label)
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -70,14 +70,22 @@ def has_name_parts(name: str = "name"):
 
 
 def list_rasters(spark: SparkSession, paths) -> DataFrame:
-    """(path, name, size, in_parts) of all rasters below the paths; no file is opened. The part files of
-    a folder are one raster, whose size is their sum."""
+    """(path, name, size, in_parts, modified) of all rasters below the paths; no file is opened. The part files
+    of a folder are one raster, whose size is their sum and whose time the latest."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     each = files.select(
         _raster_path().alias("path"), _raster_name().alias("name"), _is_part_file().alias("in_parts"),
-        F.col("_metadata.file_size").alias("size"),
+        F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"),
     )
-    return each.groupBy("path", "name", "in_parts").agg(F.sum("size").alias("size")).select("path", "name", "size", "in_parts")
+    listed = each.groupBy("path", "name", "in_parts").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
+    return listed.select("path", "name", "size", "in_parts", "modified")
+
+
+def _text_files(spark: SparkSession, paths, wanted: list | None, **options) -> DataFrame:
+    """Text below the paths; of the rasters ``wanted`` only, if they are listed. Spark leaves out files by a
+    condition on their paths before any is opened."""
+    files = spark.read.option("recursiveFileLookup", True).text(paths, **options)
+    return files if wanted is None else files.where(_raster_path().isin(wanted))
 
 
 def _header_columns(value_of):
@@ -94,15 +102,15 @@ def _word(line, index: int):
     return F.get(F.split(F.trim(line), r"\s+"), F.lit(index))
 
 
-def read_asc(spark: SparkSession, paths, max_size: int = None) -> DataFrame:
+def read_asc(spark: SparkSession, paths, max_size: int = None, wanted: list = None) -> DataFrame:
     """One row per raster: path, name, ncols, nrows, xll, yll, cellsize, nodata, lines.
 
     A file is one record, so it must fit a task; with ``max_size``, larger files and rasters in parts
     are left out (see ``read_asc_rows``). Parallelism comes from the number of files. The header is
     the leading lines with known keys, in any case and order. ``lines`` is the raster body, top row
-    first, still as text.
+    first, still as text. ``wanted`` lists the paths of the rasters to open, all by default.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(paths, wholetext=True)
+    files = _text_files(spark, paths, wanted, wholetext=True)
     if max_size is not None:
         files = files.where((F.col("_metadata.file_size") <= max_size) & ~_is_part_file())
     split = files.select(
@@ -125,16 +133,35 @@ def read_asc(spark: SparkSession, paths, max_size: int = None) -> DataFrame:
     return parted.select("path", "name", *numbers, "lines")
 
 
-def read_asc_rows(spark: SparkSession, paths, min_size: int = None, rasters: DataFrame = None) -> DataFrame:
+def _headers_of(lines: DataFrame, *counts) -> DataFrame:
+    """path, ``counts`` and the header columns, from lines (path, value)."""
+    key, value = F.lower(_word(F.col("value"), 0)), _word(F.col("value"), 1).try_cast("double")
+    found = lines.groupBy("path").agg(*counts, *[F.max(F.when(key == k, value)).alias(f"header_{k}") for k in _KNOWN_KEYS])
+    kept = [c for c in found.columns if not c.startswith("header_") or c == "header_lines"]
+    return found.select(*kept, *_header_columns(lambda k: F.col(f"header_{k}")))
+
+
+def read_headers(spark: SparkSession, paths, wanted: list = None, rasters: DataFrame = None) -> DataFrame:
+    """path and the header columns of rasters, without their bodies: those ``wanted`` by path, those of
+    ``rasters`` (path), or all."""
+    lines = _text_files(spark, paths, wanted).where(F.col("value").rlike(_HEADER_LINE)).select(_raster_path().alias("path"), "value")
+    if rasters is not None:
+        lines = lines.join(broadcast_if_small(rasters.select("path"), MAX_BROADCAST_KEYS), "path", "left_semi")
+    return _headers_of(lines)
+
+
+def read_asc_rows(
+    spark: SparkSession, paths, min_size: int = None, rasters: DataFrame = None, wanted: list = None
+) -> DataFrame:
     """One row per raster row, as from ``raster_rows(read_asc(...))``, for rasters of any size.
 
     Files are read in splits by many tasks, and the part files of one folder make up one raster
     (see ``write_asc``). Lines are staged with the place they were read at; a line's number is the
     number of lines in the splits before its own plus its place in that split. ``min_size``
     leaves out whole files up to that size; parts are read whatever their size. ``rasters`` (path)
-    are those wanted.
+    are those to read, or ``wanted``, a list of their paths.
     """
-    files = spark.read.option("recursiveFileLookup", True).text(paths)
+    files = _text_files(spark, paths, wanted)
     if min_size is not None:
         files = files.where((F.col("_metadata.file_size") > min_size) | _is_part_file())
     placed = files.where(F.trim("value") != "").select(
@@ -155,12 +182,7 @@ def read_asc_rows(spark: SparkSession, paths, min_size: int = None, rasters: Dat
     earlier = Window.partitionBy("path").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select(*split, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
 
-    key, value = F.lower(_word(F.col("value"), 0)), _word(F.col("value"), 1).try_cast("double")
-    headers = (
-        lines.groupBy("path")
-        .agg(F.count_if("is_header").alias("header_lines"), F.count(F.lit(1)).alias("all_lines"), *[F.max(F.when(key == k, value)).alias(f"header_{k}") for k in _KNOWN_KEYS])
-    )
-    headers = headers.select("path", "header_lines", "all_lines", *_header_columns(lambda k: F.col(f"header_{k}")))
+    headers = _headers_of(lines, F.count_if("is_header").alias("header_lines"), F.count(F.lit(1)).alias("all_lines"))
     short = F.raise_error(F.concat(F.lit("raster does not hold nrows rows: "), F.col("path"))).cast("int")
     whole = F.col("all_lines") - F.col("header_lines") == F.col("nrows")
     headers = headers.withColumn("nrows", F.when(whole, F.col("nrows")).otherwise(short)).drop("all_lines")

@@ -1,9 +1,9 @@
-"""The tile table: Parquet folders by pollutant and day, files sorted by tile key and time.
+"""The tile table: Parquet folders by pollutant, day and key range, files sorted by tile key and time.
 
-Why this layout: a query names pollutants and a time range, which prune folders, and a region,
-which is a contiguous range of tile keys, pruned by Parquet statistics inside the sorted files.
-Folders per region as well would make hundreds of times more, tiny, files; ``partition_by`` can
-still ask for them.
+Why this layout: a query names pollutants and a time range, which prune folders, and a region or some
+keys, which prune folders by their key range and row groups by statistics and Bloom filters inside the
+sorted files. A key range is a province (``KEY_SPAN``), so that a late raster rewrites the tiles of its
+province on its day, not those of all; folders per region would make many more, tiny, files.
 """
 
 from pyspark.errors import AnalysisException
@@ -12,18 +12,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from airlattice.functions.keys import region_key_range
+from airlattice.functions.cells import nodata_of, valid_cells
+from airlattice.functions.keys import KEY_SPAN, REGION_STEP, key_span, region_key_range
 from airlattice.joins import MAX_BROADCAST_KEYS, broadcast_if_small, keep_matching
 from airlattice.schemas import RASTER_META, TILES
 from airlattice.session import staged
 
-PARTITION_BY = ("pollutant", "day")
+PARTITION_BY = ("pollutant", "day", "key_range")
 VERSION_KEY = ("tile_key", "pollutant", "ts")
 
 # Most partitions an upsert names as constants in its plan; beyond it joins instead.
 MAX_LISTED_PARTITIONS = 2_000
 
-STORED = T.StructType([*TILES.fields, T.StructField("day", T.DateType())])
+# Tile keys a file is expected to hold: the Bloom filter of its keys gets about 10 bits for each.
+BLOOM_KEYS = 20_000
+
+STORED = T.StructType([*TILES.fields, T.StructField("day", T.DateType()), T.StructField("key_range", T.IntegerType())])
+
+STATES = T.StructType(
+    [
+        T.StructField("tile_key", T.LongType()),
+        *[T.StructField(c, T.LongType()) for c in ("n_versions", "n_valid")],
+        *[T.StructField(c, T.DoubleType()) for c in ("mean_total", "cell_total")],
+        T.StructField("cell_count", T.LongType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("low", "high")],
+        T.StructField("pollutant", T.StringType()),
+        T.StructField("day", T.DateType()),
+        T.StructField("key_range", T.IntegerType()),
+    ]
+)
 
 
 def _utc_day(ts: Column) -> Column:
@@ -31,8 +48,10 @@ def _utc_day(ts: Column) -> Column:
     return F.date_from_unix_date(F.floor(F.unix_seconds(ts) / 86_400).cast("int"))
 
 
-def with_day(tiles: DataFrame) -> DataFrame:
-    return tiles.withColumn("day", _utc_day(F.col("ts")))
+def with_folders(tiles: DataFrame) -> DataFrame:
+    """Add the folder columns that follow from time and key, or from the region, whose keys lie in one range."""
+    key = F.col("tile_key") if "tile_key" in tiles.columns else F.col("region_no") * REGION_STEP
+    return tiles.withColumns({"day": _utc_day(F.col("ts")), "key_range": key_span(key)})
 
 
 def create_tile_table(spark: SparkSession, name: str, replace: bool = False) -> None:
@@ -53,13 +72,19 @@ def keep_last(rows: DataFrame, key, order_by) -> DataFrame:
 def write_tiles(tiles: DataFrame, path: str, mode: str = "append", partition_by=PARTITION_BY) -> None:
     """Write tiles. One shuffle by folder; adaptive execution splits large folders over several
     files and packs small ones (without it, a folder is written by one task)."""
-    stored = with_day(tiles).select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
-    adaptive = tiles.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
-    by_folder = stored.hint("rebalance", *partition_by) if adaptive else stored.repartition(*partition_by)
+    stored = with_folders(tiles).select(*[F.col(f.name).cast(f.dataType) for f in STORED.fields])
+    _write_folders(stored, path, mode, partition_by, "tile_key", "ts")
+
+
+def _write_folders(rows: DataFrame, path: str, mode: str, partition_by, *order: str) -> None:
+    adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    by_folder = rows.hint("rebalance", *partition_by) if adaptive else rows.repartition(*partition_by)
     (
-        by_folder.sortWithinPartitions(*partition_by, "tile_key", "ts")
+        by_folder.sortWithinPartitions(*partition_by, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
+        .option("parquet.bloom.filter.enabled#tile_key", "true")
+        .option("parquet.bloom.filter.expected.ndv#tile_key", str(BLOOM_KEYS))
         .partitionBy(*partition_by)
         .parquet(path)
     )
@@ -69,7 +94,7 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORED).parquet(path)
 
 
-def _read_if_present(spark: SparkSession, path: str, schema: T.StructType):
+def read_if_present(spark: SparkSession, path: str, schema: T.StructType):
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:
@@ -78,23 +103,28 @@ def _read_if_present(spark: SparkSession, path: str, schema: T.StructType):
         raise
 
 
-def _touched_part(existing: DataFrame, touched: DataFrame, partition_by) -> DataFrame:
-    """Rows of ``existing`` in the folders listed in ``touched``."""
-    folders = touched.select(*partition_by).distinct()
-    listed = folders.limit(MAX_LISTED_PARTITIONS + 1).collect()
-    if len(listed) > MAX_LISTED_PARTITIONS:
-        return existing.join(folders, list(partition_by), "left_semi")
-    if not listed:
+def _touched_folders(rows: DataFrame, partition_by) -> list | None:
+    """The folders of ``rows``, None if they are too many to be named in a plan."""
+    listed = rows.select(*partition_by).distinct().limit(MAX_LISTED_PARTITIONS + 1).collect()
+    return listed if len(listed) <= MAX_LISTED_PARTITIONS else None
+
+
+def _touched_part(existing: DataFrame, touched: list | None, rows: DataFrame, partition_by) -> DataFrame:
+    """Rows of ``existing`` in the folders ``touched``, or in those of ``rows`` if these are not listed."""
+    if touched is None:
+        return existing.join(rows.select(*partition_by).distinct(), list(partition_by), "left_semi")
+    if not touched:
         return existing.where(F.lit(False))
-    same = [F.struct(*[F.lit(v) for v in row]) for row in listed]
-    coarse = [F.col(c).isin(sorted({row[c] for row in listed})) for c in partition_by]
+    same = [F.struct(*[F.lit(v) for v in row]) for row in touched]
     condition = F.struct(*[F.col(c) for c in partition_by]).isin(same)
-    for c in coarse:
-        condition = condition & c
+    for c in partition_by:
+        condition = condition & F.col(c).isin(sorted({row[c] for row in touched}))
     return existing.where(condition)
 
 
-def upsert_tiles(incoming: DataFrame, path: str, order_by=(), partition_by=PARTITION_BY, replaces: DataFrame = None) -> None:
+def upsert_tiles(
+    incoming: DataFrame, path: str, order_by=(), partition_by=PARTITION_BY, replaces: DataFrame = None, states_path: str = None
+) -> None:
     """Add tile versions; of several for one (tile, pollutant, time) the last one stays.
 
     Incoming rows win over stored ones; among themselves the greatest ``order_by`` wins, then the
@@ -102,26 +132,91 @@ def upsert_tiles(incoming: DataFrame, path: str, order_by=(), partition_by=PARTI
     are read and rewritten, and stored rows are shuffled once, for the write. ``incoming`` is
     computed once, into a staging folder that goes afterwards.
 
-    ``replaces``: a short table (with pollutant, ts and other columns of the tiles) of what incoming
-    rows stand for, all of it unique. Stored rows that match it go, and ``incoming`` is then neither
-    staged nor compared with itself. Not atomic for readers meanwhile.
+    ``replaces``: a short table (with region_no, pollutant, ts and other columns of the tiles) of what
+    incoming rows stand for, all of it unique. Stored rows that match it go, and ``incoming`` is then
+    neither staged nor compared with itself. ``states_path``: a table of partial states (see
+    ``tile_states``) whose folders are made anew where tiles were. Not atomic for readers meanwhile.
     """
     names = [F.col(f.name).cast(f.dataType) for f in STORED.fields]
     if replaces is not None:
-        _merge_tiles(with_day(incoming).select(*names), with_day(replaces), path, partition_by, replaces.columns)
+        _merge_tiles(with_folders(incoming).select(*names), with_folders(replaces), path, partition_by, replaces.columns, states_path)
         return
-    fresh = keep_last(with_day(incoming), VERSION_KEY, [*order_by, "data"])
+    fresh = keep_last(with_folders(incoming), VERSION_KEY, [*order_by, "data"])
     with staged(fresh.select(*names), "upsert") as arriving:
-        _merge_tiles(arriving, arriving.select(*VERSION_KEY, "day"), path, partition_by, VERSION_KEY)
+        folders = [c for c in STORED.fieldNames() if c in partition_by and c not in VERSION_KEY]
+        _merge_tiles(arriving, arriving.select(*VERSION_KEY, *folders), path, partition_by, VERSION_KEY, states_path)
 
 
-def _merge_tiles(fresh: DataFrame, replaces: DataFrame, path: str, partition_by, key) -> None:
-    existing = _read_if_present(fresh.sparkSession, path, STORED)
+def _merge_tiles(fresh: DataFrame, replaces: DataFrame, path: str, partition_by, key, states_path: str | None) -> None:
+    """``replaces``: unique by ``key``, with the folder columns."""
+    spark = fresh.sparkSession
+    existing = read_if_present(spark, path, STORED)
+    touched = _touched_folders(replaces, partition_by)
     if existing is not None:
-        gone = broadcast_if_small(replaces.select(*key).distinct(), MAX_BROADCAST_KEYS)
-        kept = _touched_part(existing, replaces, partition_by).join(gone, list(key), "left_anti")
+        gone = broadcast_if_small(replaces.select(*key), MAX_BROADCAST_KEYS)
+        kept = _touched_part(existing, touched, replaces, partition_by).join(gone, list(key), "left_anti")
         fresh = kept.select(*STORED.fieldNames()).unionByName(fresh)
     write_tiles(fresh, path, mode="overwrite", partition_by=partition_by)
+    if states_path is not None:
+        changed = _touched_part(read_tiles(spark, path), touched, replaces, partition_by)
+        write_states(tile_states(changed), states_path, mode="overwrite")
+
+
+# --- partial states --------------------------------------------------------------------------
+
+
+def tile_states(tiles: DataFrame) -> DataFrame:
+    """Sums, counts and extremes per tile, pollutant and day: a row each, that others can be merged from.
+
+    n_versions; n_valid, of them those with a valid cell; mean_total, the sum of their means;
+    cell_total and cell_count of all valid cells; low and high. All versions of a tile on a day lie in
+    one folder of the tile table, so the states of a folder follow from that folder alone.
+    """
+    marker = nodata_of()
+    valid = valid_cells(F.col("data"), marker)
+    total = F.aggregate("valid", F.lit(0.0), lambda a, v: a + v)
+    each = tiles.select("tile_key", "pollutant", "day", "key_range", valid.alias("valid"))
+    sums = each.select(
+        "tile_key", "pollutant", "day", "key_range", F.size("valid").cast("bigint").alias("n"), total.alias("total"),
+        F.array_min("valid").cast("double").alias("low"), F.array_max("valid").cast("double").alias("high"),
+    )
+    return sums.groupBy("tile_key", "pollutant", "day", "key_range").agg(
+        F.count(F.lit(1)).alias("n_versions"),
+        F.count_if(F.col("n") > 0).alias("n_valid"),
+        F.sum(F.try_divide("total", "n")).alias("mean_total"),
+        F.sum("total").alias("cell_total"),
+        F.sum("n").alias("cell_count"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+    )
+
+
+def write_states(states: DataFrame, path: str, mode: str = "append") -> None:
+    """Partial states in folders like those of the tiles; those that ``states`` has rows for are replaced
+    with mode "overwrite"."""
+    _write_folders(states.select(*STATES.fieldNames()), path, mode, PARTITION_BY, "tile_key")
+
+
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(STATES).parquet(path)
+
+
+def scan_states(states: DataFrame, region_no: int = None, first_day: str = None, last_day: str = None, pollutants=None) -> DataFrame:
+    """States of a region, from one day to another (both included), of some pollutants; all three prune
+    folders."""
+    found = states
+    if pollutants is not None:
+        found = found.where(F.col("pollutant").isin(list(pollutants)))
+    if region_no is not None:
+        found = scan_keys(found, *region_key_range(region_no))
+    if first_day is not None:
+        found = found.where(F.col("day") >= F.lit(first_day).cast("date"))
+    if last_day is not None:
+        found = found.where(F.col("day") <= F.lit(last_day).cast("date"))
+    return found
+
+
+# --- scans -----------------------------------------------------------------------------------
 
 
 def scan_tiles(
@@ -129,15 +224,14 @@ def scan_tiles(
 ) -> DataFrame:
     """Tiles of a region, in a time range (start inclusive, end exclusive), of some pollutants.
 
-    All three reach the files: tile keys and times as Parquet filters, pollutants and days (of UTC) as
-    folder filters.
+    All three reach the files: tile keys and times as Parquet filters, key ranges, pollutants and days
+    (of UTC) as folder filters.
     """
     found = tiles
     if pollutants is not None:
         found = found.where(F.col("pollutant").isin(list(pollutants)))
     if region_no is not None:
-        low, high = region_key_range(region_no)
-        found = found.where((F.col("tile_key") >= low) & (F.col("tile_key") < high))
+        found = scan_keys(found, *region_key_range(region_no))
     has_day = "day" in tiles.columns
     if start is not None:
         first = F.lit(start).cast("timestamp")
@@ -152,7 +246,17 @@ def scan_tiles(
 
 def scan_keys(tiles: DataFrame, start_key: int, stop_key: int) -> DataFrame:
     """Tiles in a key range: start inclusive, stop exclusive."""
-    return tiles.where((F.col("tile_key") >= start_key) & (F.col("tile_key") < stop_key))
+    found = tiles.where((F.col("tile_key") >= start_key) & (F.col("tile_key") < stop_key))
+    if "key_range" in tiles.columns:
+        found = found.where(F.col("key_range").between(start_key // KEY_SPAN, max(stop_key - 1, start_key) // KEY_SPAN))
+    return found
+
+
+def _in_ranges_of(tiles: DataFrame, keys) -> DataFrame:
+    """Only the folders whose key ranges hold some of the keys."""
+    if "key_range" not in tiles.columns:
+        return tiles
+    return tiles.where(F.col("key_range").isin(sorted({k // KEY_SPAN for k in keys if k is not None})))
 
 
 def latest_tiles(tiles: DataFrame, by=("tile_key", "pollutant")) -> DataFrame:
@@ -162,13 +266,14 @@ def latest_tiles(tiles: DataFrame, by=("tile_key", "pollutant")) -> DataFrame:
 
 def get_tile(tiles: DataFrame, key: int, *columns: str) -> DataFrame:
     """Some columns of one tile."""
-    return tiles.where(F.col("tile_key") == key).select(*columns)
+    return _in_ranges_of(tiles, [key]).where(F.col("tile_key") == key).select(*columns)
 
 
 def get_tiles(tiles: DataFrame, keys, keep_missing: bool = False) -> DataFrame:
     """Tiles by a list of keys or a DataFrame with ``tile_key``; with ``keep_missing`` a key
     without tiles gives one row of NULLs."""
     if not isinstance(keys, DataFrame):
+        tiles = _in_ranges_of(tiles, keys)
         if not keep_missing:
             return tiles.where(F.col("tile_key").isin(list(keys)))
         keys = tiles.sparkSession.createDataFrame([(k,) for k in keys], "tile_key bigint")
@@ -194,7 +299,7 @@ def upsert_meta(incoming: DataFrame, path: str, order_by=()) -> None:
     stored one is not overwritten while it is read."""
     names = RASTER_META.fieldNames()
     fresh = keep_last(incoming, ["region_no"], [*order_by, *names[1:]]).select(*names)
-    existing = _read_if_present(incoming.sparkSession, path, RASTER_META)
+    existing = read_if_present(incoming.sparkSession, path, RASTER_META)
     with staged(fresh if existing is None else merge_meta(existing, fresh), "raster-meta") as merged:
         merged.write.mode("overwrite").parquet(path)
 
@@ -209,7 +314,7 @@ def write_geo_index(index: DataFrame, path: str) -> None:
 
 def refresh_geo_index(changed: DataFrame, path: str) -> None:
     """Replace the regions of ``changed``, an index of new or altered regions, in a stored one."""
-    existing = _read_if_present(changed.sparkSession, path, changed.schema)
+    existing = read_if_present(changed.sparkSession, path, changed.schema)
     if existing is None:
         return write_geo_index(changed, path)
     kept = existing.join(changed.select("region_no").distinct(), "region_no", "left_anti").select(*changed.columns)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from airlattice.operators import stations as ops
-from airlattice.plans.station_etl import preview, run_station_etl, station_table
+from airlattice.plans.station_etl import preview, read_rejects, read_valid, run_station_etl, sort_out, station_table
 from airlattice.schemas import AIR_DATA
 from airlattice.sources.text import read_city_provinces, read_lines, read_locations, write_lines
 
@@ -156,3 +156,53 @@ def test_managed_table_and_view(spark, tmp_path, lines):
     assert spark.table("etl_air_data").count() == 4
     assert preview(spark.table("etl_air_data"), "air_view", 3).count() == 3
     assert spark.sql("select count(*) n from air_view").first().n == 4
+
+
+def test_rejects_with_reasons(spark, tmp_path, lines, provinces, locations):
+    """Valid and rejected lines are all data lines; reasons agree with the strict check."""
+    more = [A + ",17", A.replace(",5,", ",x,"), A.replace(",3,", ",_,"), "a,b,c,d,e", "x"]
+    every = lines.unionByName(spark.createDataFrame([(m,) for m in more], "value string"))
+    for compat in (False, True):
+        judged = ops.judged_rows(every, provinces, locations, compat)
+        reasons = {r.value: r.reasons for r in judged.collect()}
+        assert len(reasons) == ops.data_lines(every).distinct().count()
+        full = ops.add_location(ops.add_province(ops.fill_blanks(ops.split_rows(every)), provinces), locations, compat)
+        valid = sorted(map(tuple, fields(full.where(ops.is_valid_row(F.col("fields"), compat)))))
+        assert sorted(map(tuple, fields(judged.where("size(reasons) = 0")))) == valid
+        assert sorted(map(tuple, fields(full)), key=str) == sorted(map(tuple, fields(judged.where("not array_contains(reasons, 'few')"))), key=str)
+    reasons = {r.value: r.reasons for r in ops.judged_rows(every, provinces, locations).collect()}
+    assert reasons["x"] == ["few"] and reasons["2015-03-04 05:00:00,Wuhan"] == ["few"]
+    assert reasons["a,b,c,d,e"] == ["province", "location", "short", "number"]
+    assert reasons["2015-03-04 05:00:00,Wuhan,S2,105,20.5, ,_,10,1.05,0,0.5,,abc"] == ["location", "short", "blank", "number"]
+    assert reasons[A] == []
+
+
+def test_sorting_out_counts_in_one_pass(spark, tmp_path, lines):
+    write_lines(lines, str(tmp_path / "in"))
+    (tmp_path / "p.txt").write_text("province city\nHubei Wuhan", encoding="utf8")
+    (tmp_path / "l.txt").write_text("address lng lat\nHubeiWuhanS1 114.3 30.6", encoding="utf8")
+    paths = [str(tmp_path / n) for n in ("in", "p.txt", "l.txt", "out")]
+    counts = sort_out(spark, *paths)
+    valid, rejects = read_valid(spark, paths[3]).collect(), read_rejects(spark, paths[3]).collect()
+    assert counts["rows"] == len(valid) + len(rejects) == 6 and counts["valid"] == len(valid)
+    assert all(counts[r] == sum(r in row.reasons for row in rejects) for r in ops.REASONS)
+    assert {r.value for r in rejects} <= set(LINES)
+
+
+def test_rows_without_a_key_are_spread(spark, monkeypatch):
+    """With no broadcast and a third of all rows without an address, no task gets more than its share."""
+    rows = [("2015-03-04 05:00:00", "P", f"C{i % 50}", f"S{i}", "1", "2") if i % 3 else ("2015-03-04 05:00:00", None, "C", f"S{i}", "1", "2") for i in range(3000)]
+    frame = spark.createDataFrame([(list(r),) for r in rows], "fields array<string>")
+    places = spark.createDataFrame([(f"PC{i % 50}S{i}", str(i), "0") for i in range(3000)], "address string, lng string, lat string")
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"), ("spark.sql.adaptive.enabled", "false")):
+        spark.conf.set(key, value)
+    try:
+        joined = ops.add_location(frame, places)
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        found = joined.where("fields[1] is null").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert "SortMergeJoin" in plan and sum(sizes) == 3000 and max(sizes) < 3000 / len(sizes) * 1.3
+    assert len(found) == 1000 and all(r.fields[4:6] == ["", ""] for r in found)

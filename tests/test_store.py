@@ -142,7 +142,7 @@ def test_create_table(spark):
     store.create_tile_table(spark, "tile_table")
     store.create_tile_table(spark, "tile_table")
     assert spark.table("tile_table").columns == [
-        "region_no", "tile_code", "tile_key", "ts", "props", "data", "pollutant", "day",
+        "region_no", "tile_code", "tile_key", "ts", "props", "data", "pollutant", "day", "key_range",
     ]
     store.create_tile_table(spark, "tile_table", replace=True)
 
