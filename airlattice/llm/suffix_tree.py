@@ -246,11 +246,13 @@ class Walk:
     The steps of level k are 2k - 1 (contexts with their next word) and 2k (contexts); step 0 are the
     words. ``ask(step)`` gives the keys and columns to send; ``scores()`` the end result. A context
     with its next word is the next level's context one place on, so a level's keys are found by
-    number among those of the level before, and only pairs have to be sorted.
+    number among those of the level before, and only pairs have to be sorted. Whether a context is a
+    state hangs on its suffix, not on its beginning; so contexts whose own suffix is no state are
+    followed too, where a longer context may be one.
     """
 
-    def __init__(self, row: dict, answers: list, n_train: int, n_distinct: int):
-        self.answers = answers
+    def __init__(self, row: dict, answers: list, n_train: int, n_distinct: int, depth: int = MAX_DEPTH):
+        self.answers, self.depth = answers, depth
         self.tokens = unpacked(row["tokens"]).astype(np.int32)
         self.keys = unpacked_keys(row["words"])
         self.sizes = np.array(row["sizes"], np.int64)
@@ -270,15 +272,23 @@ class Walk:
         """Go one level deeper with what is known of it."""
         before = np.concatenate([np.full(1, -1, np.int32), self.number[:-1]])
         seen = np.where(before >= 0, self.totals[before], 0)
-        at = np.flatnonzero(self.active & (self.place >= k) & (seen >= MIN_CONTEXT)).astype(np.int32)
+        often_enough = (self.place >= k) & (seen >= MIN_CONTEXT)
+        # Places whose context may be a state; and, of the others, those whose word may end the next
+        # level's context: that needs the context without its first word to be frequent as well.
+        judged = often_enough & self.active
+        passed = often_enough & ~self.active & (self.number >= 0)
+        passed &= self.totals[self.number] >= MIN_CONTEXT
+        if k == self.depth:
+            passed[:] = False
+        at = np.flatnonzero(judged).astype(np.int32)
         node, often = before[at], seen[at]
         used = np.zeros(len(self.keys), bool)
         used[node] = True
         contexts, context_of = self.keys[used], (np.cumsum(used) - 1)[node]
         # A word that was seen once cannot follow twice.
         asking = self.count[at] >= 2
-        asked = at[asking]
-        pairs = mixed(self.keys[node[asking]] ^ (self.hash[asked] * np.uint64(0x9E3779B97F4A7C15)))
+        asked = np.concatenate([at[asking], np.flatnonzero(passed).astype(np.int32)])
+        pairs = mixed(self.keys[before[asked]] ^ (self.hash[asked] * np.uint64(0x9E3779B97F4A7C15)))
         pairs, first_at, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
         if not known_pairs:
             trained = np.bincount(pair_of, self.train[asked], minlength=len(pairs)).astype(np.int64)
@@ -288,7 +298,7 @@ class Walk:
         totals = np.where(totals >= 2, totals, 0).astype(np.int64)
         if not known_contexts:
             # This block's share of each context's mass, followers and divergence: pairs it is first in.
-            own = np.flatnonzero(first & (totals >= 2))
+            own = np.flatnonzero(first & (totals >= 2) & (first_at < asking.sum()))
             of = context_of[asking][first_at[own]]
             n, c = totals[own], often[asking][first_at[own]]
             gain = n * np.log(n / (c * self.prob[asked[first_at[own]]])) - 0.5 * np.log(c)
@@ -335,12 +345,12 @@ def _with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
     return blocks
 
 
-def _walks(batch: pa.RecordBatch, n_train: int, n_distinct: int):
+def _walks(batch: pa.RecordBatch, n_train: int, n_distinct: int, depth: int):
     """Each block with its walk, one at a time."""
     for n in range(batch.num_rows):
         row = batch.slice(n, 1).to_pylist()[0]
         steps = sum(name.startswith("answers_") for name in row)
-        yield row, Walk(row, [row.pop(f"answers_{i}") for i in range(steps)], n_train, n_distinct)
+        yield row, Walk(row, [row.pop(f"answers_{i}") for i in range(steps)], n_train, n_distinct, depth)
 
 
 def scored(docs: DataFrame, train, depth: int = MAX_DEPTH) -> DataFrame:
@@ -366,7 +376,7 @@ def scored(docs: DataFrame, train, depth: int = MAX_DEPTH) -> DataFrame:
         def ask(batches, step=step):
             return_memory()
             for batch in batches:
-                for row, walk in _walks(batch, n_train, n_distinct):
+                for row, walk in _walks(batch, n_train, n_distinct, depth):
                     keys, columns = walk.ask(step)
                     yield _asked(requests(row["block"], keys, columns, buckets))
 
@@ -375,7 +385,7 @@ def scored(docs: DataFrame, train, depth: int = MAX_DEPTH) -> DataFrame:
     def score(batches):
         return_memory()
         for batch in batches:
-            for row, walk in _walks(batch, n_train, n_distinct):
+            for row, walk in _walks(batch, n_train, n_distinct, depth):
                 known, base, prob = walk.scores(depth)
                 yield pa.RecordBatch.from_arrays(
                     [

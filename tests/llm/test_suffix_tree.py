@@ -108,6 +108,29 @@ def test_contexts_of_a_few_documents_count(spark):
         same(found, brute(rows, lambda i: True)[0])
 
 
+def test_states_behind_a_common_word(spark):
+    """(b) is followed by anything and no state, yet (b, c) and (a, b, c) are."""
+    texts = [f"b r{i}" for i in range(4000)] + ["a b c d"] * 60 + ["e b c f"] * 300 + ["c g"] * 3000
+    want, states = brute(list(enumerate(texts)), lambda i: True)
+    assert ("a", "b", "c") in states and ("b",) not in states
+    same(rows_of(suffix_tree.scored(docs(spark, list(enumerate(texts))), F.lit(True))), want)
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_few_common_words(spark, monkeypatch, seed):
+    """Phrases with words that stand everywhere, so that these are no states, in many blocks."""
+    monkeypatch.setattr(suffix_tree, "BLOCK_TOKENS", 2000)
+    monkeypatch.setattr(suffix_tree, "BUCKET_TOKENS", 1000)
+    rng = random.Random(seed)
+    common, rare = ["the", "of", "a"], [f"w{i}" for i in range(25)]
+    phrases = [[rng.choice(common if rng.random() < 0.5 else rare) for _ in range(rng.randint(3, 6))] for _ in range(30)]
+    word = lambda: [rng.choice(common), f"x{rng.randrange(4000)}"]
+    rows = [(i, " ".join(w for _ in range(rng.randint(1, 8)) for w in (rng.choice(phrases) if rng.random() < 0.15 else word()))) for i in range(1500)]
+    want, states = brute(rows, lambda i: fold(i, 7) != 2)
+    assert any(len(c) == 3 and c[1:2] not in states for c in states)
+    same(rows_of(suffix_tree.held_out_scores(docs(spark, rows))), want)
+
+
 def test_odd_rows(spark):
     frame = odd_docs(spark)
     rows = [tuple(r) for r in frame.select("doc_id", "text").collect()]
