@@ -55,34 +55,37 @@ def raster_tiles(
     """
     if rasters is None:
         rasters = listed_rasters(spark, paths, region_dim, start, end, zone)
-    chosen, wanted = _opened(rasters.select("path", "size", "in_parts", "region_no", "pollutant", "ts"))
-    known = chosen.drop("size", "in_parts")
+    split = ((F.col("size") > max_whole_file) | F.col("in_parts")).alias("split")
+    chosen, rows = _opened(rasters.select("path", split, "region_no", "pollutant", "ts"))
+    known = chosen.drop("split")
+    wanted = None if rows is None else [row["path"] for row in rows]
+    large = not chosen.where("split").isEmpty() if rows is None else any(row["split"] for row in rows)
+    large_rasters = chosen.where("split").select("path")
 
     def finished(tiles: DataFrame) -> DataFrame:
         keyed = with_tile_key(tiles)
         return keyed.select(*TILES.fieldNames(), *[c for c in RASTER_META.fieldNames() if c != "region_no"], "path")
 
     tiles = finished(split_rasters(read_asc(spark, paths, max_whole_file, wanted).join(known, "path"), tile_length))
-    in_splits = chosen.where((F.col("size") > max_whole_file) | F.col("in_parts"))
-    if in_splits.isEmpty():
+    if not large:
         return tiles
-    rows = read_asc_rows(spark, paths, max_whole_file, in_splits.select("path"), wanted).join(known, "path")
-    return tiles.unionByName(finished(split_raster_rows(rows, tile_length)))
+    by_rows = read_asc_rows(spark, paths, max_whole_file, large_rasters, wanted).join(known, "path")
+    return tiles.unionByName(finished(split_raster_rows(by_rows, tile_length)))
 
 
 def _opened(rasters: DataFrame) -> tuple[DataFrame, list | None]:
-    """A lookup of the rasters to read, and the list of their paths, None if they are too many."""
+    """A lookup of the rasters to read, and its rows, None if they are too many."""
     rows = rasters.limit(MAX_LISTED_RASTERS + 1).collect()
     if len(rows) > MAX_LISTED_RASTERS:
         return stage(rasters, "rasters"), None
     lookup = F.broadcast(rasters.sparkSession.createDataFrame(rows, rasters.schema))
-    return lookup, [row["path"] for row in rows]
+    return lookup, rows
 
 
 def raster_meta(spark: SparkSession, paths, rasters: DataFrame, tile_length: int = TILE_LENGTH) -> DataFrame:
     """Metadata of ``rasters`` (path, region_no), one per region, from their headers alone."""
-    lookup, wanted = _opened(rasters.select("path", "region_no"))
-    headers = read_headers(spark, paths, wanted, lookup if wanted is None else None)
+    lookup, rows = _opened(rasters.select("path", "region_no"))
+    headers = read_headers(spark, paths, None if rows is None else [row["path"] for row in rows], lookup if rows is None else None)
     return headers.join(lookup, "path").withColumn("tile_length", F.lit(tile_length)).select(*RASTER_META.fieldNames())
 
 

@@ -2,8 +2,8 @@
 
 Why this layout: a query names pollutants and a time range, which prune folders, and a region or some
 keys, which prune folders by their key range and row groups by statistics and Bloom filters inside the
-sorted files. A key range is a province (``KEY_SPAN``), so that a late raster rewrites the tiles of its
-province on its day, not those of all; folders per region would make many more, tiny, files.
+sorted files. A key range is ten provinces (``KEY_SPAN``), so that a late raster rewrites their tiles on its
+day, not those of all; folders per region would make many more, tiny, files.
 """
 
 from pyspark.errors import AnalysisException

@@ -24,10 +24,10 @@ def plan_of(df):
 
 @pytest.fixture
 def stored(spark, tmp_path):
-    """Tiles and states of three provinces, two days, two pollutants."""
+    """Tiles and states of three key ranges, two days, two pollutants."""
     rows = [
         tile(region, code, f"2016-05-0{day} 0{hour}:00:00", pollutant, float(region + code + hour))
-        for region in (101, 102, 205, 999) for code in (0, 3) for day in (1, 2) for hour in (0, 5) for pollutant in ("aqi", "co")
+        for region in (101, 102, 2205, 9999) for code in (0, 3) for day in (1, 2) for hour in (0, 5) for pollutant in ("aqi", "co")
     ]
     tiles, states = str(tmp_path / "tiles"), str(tmp_path / "states")
     store.upsert_tiles(spark.createDataFrame(rows, TILES), tiles, states_path=states)
@@ -41,7 +41,7 @@ def files_below(path):
 def test_a_late_tile_rewrites_one_range(spark, stored):
     tiles, states = stored
     before = files_below(tiles), files_below(states)
-    late = spark.createDataFrame([tile(205, 3, "2016-05-02 05:00:00", "co", -5.0)], TILES)
+    late = spark.createDataFrame([tile(2205, 3, "2016-05-02 05:00:00", "co", -5.0)], TILES)
     store.upsert_tiles(late, tiles, states_path=states)
     for path, old in zip(stored, before):
         gone = {os.path.relpath(f, path).rsplit("/", 1)[0] for f in old - files_below(path)}
@@ -58,8 +58,8 @@ def same_states(spark, tiles, states):
 def test_scans_prune_key_ranges(spark, stored):
     tiles = store.read_tiles(spark, stored[0])
     for found, ranges in (
-        (store.scan_tiles(tiles, 205), "[2]"), (store.get_tile(tiles, 99900003, "ts"), "[9]"),
-        (store.get_tiles(tiles, [10100000, 20500003]), "[1, 2]"), (store.scan_keys(tiles, 0, 20000000), "[0, 1]"),
+        (store.scan_tiles(tiles, 2205), "[2]"), (store.get_tile(tiles, 999900003, "ts"), "[9]"),
+        (store.get_tiles(tiles, [10100000, 220500003]), "[0, 2]"), (store.scan_keys(tiles, 0, 200000000), "[0, 1]"),
     ):
         assert "key_range" in plan_of(found).split("PartitionFilters")[1].split("PushedFilters")[0], ranges
         assert found.count() > 0
@@ -77,7 +77,7 @@ def test_states_give_what_the_tiles_give(spark, stored):
         olap.state_pattern(states, "hours")
     for asked in (olap.state_pattern(states, "month"), olap.state_stats(states, ["pollutant"])):
         assert "data#" not in plan_of(asked) and stored[1] in plan_of(asked)
-    plan = plan_of(store.scan_states(states, 205, "2016-05-02", "2016-05-02", ["co"]))
+    plan = plan_of(store.scan_states(states, 2205, "2016-05-02", "2016-05-02", ["co"]))
     filters = plan.split("PartitionFilters")[1].split("PushedFilters")[0]
     assert all(c in filters for c in ("pollutant", "day", "key_range"))
 
@@ -92,7 +92,7 @@ def test_states_of_tiles_without_valid_cells(spark, tmp_path):
 
 def test_roll_up_of_states(spark, stored):
     states = store.read_states(spark, stored[1])
-    places = spark.createDataFrame([(101, "north"), (102, "north"), (205, "south")], "region_no bigint, area string")
+    places = spark.createDataFrame([(101, "north"), (102, "north"), (2205, "south")], "region_no bigint, area string")
     levels = olap.roll_up_states(states, [["year", "day"], ["area", "region_no"]], places)
     total = levels.where("grouping_id = 15").first()
     assert total.n == 3 * 2 * 2 * 2 * 2 * 4  # regions, codes, days, hours, pollutants, cells
@@ -254,7 +254,7 @@ def test_intervals_of_every_rectangle(spark):
 def test_boxes_by_intervals(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(boxes, "MAX_KEY_INTERVALS", most)
     meta = spark.createDataFrame(
-        [(101, 37, 29, 100.0, 20.0, 0.5, -999.0, 2), (102, 5, 5, 300.0, 20.0, 0.5, -999.0, 2), (205, 64, 64, 105.0, 22.0, 0.25, -999.0, 4)], RASTER_META
+        [(101, 37, 29, 100.0, 20.0, 0.5, -999.0, 2), (102, 5, 5, 300.0, 20.0, 0.5, -999.0, 2), (2205, 64, 64, 105.0, 22.0, 0.25, -999.0, 4)], RASTER_META
     )
     directory = boxes.tile_directory(meta)
     tiles = directory.select(
