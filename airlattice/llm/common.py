@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from airlattice.session import pin_time_zone, shared_folder, stage
 
-__all__ = ["arrow_rows", "byte_texts", "fold", "return_memory", "shared_folder", "ship", "stage", "table"]
+__all__ = ["arrow_rows", "byte_texts", "fold", "return_memory", "row_order", "shared_folder", "ship", "stage", "table", "whole_row"]
 
 
 _shipped: set = set()
@@ -38,6 +38,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return pin_time_zone(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as the struct ``row``: columns that are worked with beside it cannot clash with
+    any of the table's own. ``select("row.*")`` gives the table back."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
+def row_order(docs: DataFrame) -> Column:
+    """A number by which rows that differ in any column of ``row`` are put in order."""
+    text = F.to_json("row") if any("map<" in f.dataType.simpleString() for f in docs.schema) else F.col("row")
+    return F.xxhash64(text)
+
+
 def fold(key, parts: int) -> Column:
     """crc32 of the key as text, modulo ``parts``; a null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % parts

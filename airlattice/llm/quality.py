@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import stage
+from airlattice.llm.common import stage, whole_row
 
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
@@ -271,11 +271,10 @@ def verdicts(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep. Texts are counted anew rather
     than written with their counts: they do not move."""
-    found = fit(counted(docs))
-    found = found.select(*[F.col(name).alias(f"__g_{name}") for name in ("lang", "source", "centre", "inverse")])
-    judged = docs.withColumn("__c", counts(F.col("text").cast("string")))
-    same = F.col("lang").cast("string").eqNullSafe(F.col("__g_lang")) & F.col("source").cast("string").eqNullSafe(F.col("__g_source"))
-    judged = judged.where(~base_failed(F.col("__c.n_words"), F.col("__c.n_repeat_words"))).withColumn("__x", features("__c."))
-    near = _distance("__x", "__g_centre", "__g_inverse")
-    kept = judged.join(found, same, "left").where(F.coalesce(near, F.lit(0.0)) <= REJECT)
-    return kept.select(*docs.columns)
+    found = fit(counted(docs)).select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), "centre", "inverse")
+    rows = docs.select(whole_row(docs), counts(F.col("text").cast("string")).alias("c"))
+    judged = rows.where(~base_failed(F.col("c.n_words"), F.col("c.n_repeat_words"))).withColumn("x", features("c."))
+    lang, source = F.col("row.lang").cast("string"), F.col("row.source").cast("string")
+    same = lang.eqNullSafe(F.col("g_lang")) & source.eqNullSafe(F.col("g_source"))
+    kept = judged.join(found, same, "left").where(F.coalesce(_distance(), F.lit(0.0)) <= REJECT)
+    return kept.select("row.*")

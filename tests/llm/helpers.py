@@ -9,7 +9,10 @@ SF_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^ \t-\r]+")
 
 # Extra columns whose names the operators use themselves.
-CLASHING = ("score", "kept", "fp", "block", "ids", "length", "x", "distance", "predicted", "n", "__odd")
+CLASHING = (
+    "score", "kept", "fp", "block", "ids", "length", "x", "distance", "predicted", "n", "__odd", "__c", "__x", "__id", "__n",
+    "__content", "__g_lang", "__fp", "row", "c", "id", "g_lang", "centre", "key", "part", "mask", "digest", "row_hash", "a.b",
+)
 
 ODD_TEXTS = [
     None, "", " ", "\n\n", "a", "one two", "one two three", "x" * 9000, "é" * 3000, "word " * 4000,
