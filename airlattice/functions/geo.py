@@ -6,15 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the public GCJ-02 datum: ellipsoid, origin, polynomial coefficients
-# (1, x, y, square, x*y, sqrt|x|) and harmonics as (amplitude, divisor of pi).
+# (1, x, y, square, x*y, sqrt|x|) and harmonics as (amplitude, multiple of pi, divisor).
 GCJ_AXIS = 6378245.0
 GCJ_ECCENTRICITY_SQ = 0.00669342162296594323
 GCJ_ORIGIN = (105.0, 35.0)
 GCJ_LAT_POLY = (-100.0, 2.0, 3.0, 0.2, 0.1, 0.2)
 GCJ_LNG_POLY = (300.0, 1.0, 2.0, 0.1, 0.1, 0.1)
-GCJ_COMMON_HARMONICS = ((20.0, 1 / 6), (20.0, 1 / 2))
-GCJ_LAT_HARMONICS = ((20.0, 1.0), (40.0, 3.0), (160.0, 12.0), (320.0, 30.0))
-GCJ_LNG_HARMONICS = ((20.0, 1.0), (40.0, 3.0), (150.0, 12.0), (300.0, 30.0))
+GCJ_COMMON_HARMONICS = ((20.0, 6, 1), (20.0, 2, 1))
+GCJ_LAT_HARMONICS = ((20.0, 1, 1), (40.0, 1, 3), (160.0, 1, 12), (320.0, 1, 30))
+GCJ_LNG_HARMONICS = ((20.0, 1, 1), (40.0, 1, 3), (150.0, 1, 12), (300.0, 1, 30))
 
 # Fixed value: the GeoHash alphabet.
 GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
@@ -22,8 +22,8 @@ GEOHASH_ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 def _harmonics(terms, angle: Column) -> Column:
     total = F.lit(0.0)
-    for amplitude, divisor in terms:
-        total = total + F.sin(angle * (math.pi / divisor)) * amplitude
+    for amplitude, multiple, divisor in terms:
+        total = total + F.sin(angle * (multiple * math.pi / divisor)) * amplitude
     return total * (2.0 / 3.0)
 
 
