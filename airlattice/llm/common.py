@@ -1,5 +1,6 @@
 """What the operators share: tables, folds, texts out of Arrow batches, staged intermediate data."""
 
+import ctypes
 import os
 import tempfile
 import zipfile
@@ -71,10 +72,19 @@ def byte_texts(column: pa.Array):
     return texts
 
 
+def _trim():
+    """glibc's malloc_trim, or nothing where there is none."""
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        return lambda keep: None
+
+
 def return_memory() -> None:
-    """Let this worker's Arrow batches go back to the system when they are done with: workers stay on
-    between tasks, and Arrow's own allocators keep what the largest batch took."""
+    """Let this worker's batches go back to the system when they are done with: workers stay on between tasks,
+    and both Arrow's own allocators and the heap of freed strings keep what the largest batch took."""
     pa.set_memory_pool(pa.system_memory_pool())
+    _trim()(0)
 
 
 def arrow_rows(df: DataFrame, schema: str, make) -> DataFrame:

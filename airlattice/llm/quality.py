@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from airlattice.llm.common import stage, whole_row
+from airlattice.llm.common import return_memory, stage, whole_row
 
 WORD = re.compile(r"[^ \t-\r]+")
 SYMBOLS = "#*$%&|<>"
@@ -82,6 +82,7 @@ def counts(text: Column) -> Column:
 
     @F.pandas_udf(schema)
     def run(texts: pd.Series) -> pd.DataFrame:
+        return_memory()
         return pd.DataFrame([counts_of(t) for t in texts], columns=list(COUNTS), dtype="int64")
 
     return run(text)

@@ -209,6 +209,7 @@ def score_column(model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        return_memory()
         own = _scorer(model)
         return pd.Series([own.score(t) for t in texts], dtype="float64")
 
