@@ -57,19 +57,20 @@ def raster_tiles(
         rasters = listed_rasters(spark, paths, region_dim, start, end, zone)
     split = ((F.col("size") > max_whole_file) | F.col("in_parts")).alias("split")
     chosen, rows = _opened(rasters.select("path", split, "region_no", "pollutant", "ts"))
-    known = chosen.drop("split")
-    wanted = None if rows is None else [row["path"] for row in rows]
-    large = not chosen.where("split").isEmpty() if rows is None else any(row["split"] for row in rows)
-    large_rasters = chosen.where("split").select("path")
+    whole, large = chosen.where("not split").drop("split"), chosen.where("split").drop("split")
+    whole_paths = large_paths = None
+    if rows is not None:
+        whole_paths, large_paths = ([row["path"] for row in rows if row["split"] == way] for way in (False, True))
 
     def finished(tiles: DataFrame) -> DataFrame:
         keyed = with_tile_key(tiles)
         return keyed.select(*TILES.fieldNames(), *[c for c in RASTER_META.fieldNames() if c != "region_no"], "path")
 
-    tiles = finished(split_rasters(read_asc(spark, paths, max_whole_file, wanted).join(known, "path"), tile_length))
-    if not large:
+    texts = read_asc(spark, paths, max_whole_file, whole_paths, whole if whole_paths is None else None)
+    tiles = finished(split_rasters(texts.join(whole, "path"), tile_length))
+    if large.isEmpty() if rows is None else not large_paths:
         return tiles
-    by_rows = read_asc_rows(spark, paths, max_whole_file, large_rasters, wanted).join(known, "path")
+    by_rows = read_asc_rows(spark, paths, rasters=large.select("path"), wanted=large_paths).join(large, "path")
     return tiles.unionByName(finished(split_raster_rows(by_rows, tile_length)))
 
 

@@ -299,6 +299,21 @@ SELECT k // 50 AS "row", k % 50 AS col, round(coalesce(o_totalprice::FLOAT, -999
 FROM places LEFT JOIN orders ON o_orderkey = k"""
 
 
+# Rasters with more bytes of text than this are written in parts.
+PART_BYTES = 8_000
+
+
+def import_mixed(spark, sf_dir):
+    """All rasters in one write, those above PART_BYTES in parts, imported, and every cell."""
+    folder = st.scratch(spark, "mixed")
+    files.write_asc_files(_text(spark, sf_dir).withColumn("raster", _raster_name()), f"{folder}/asc", PART_BYTES)
+    import_rasters(
+        spark, f"{folder}/asc", _file_regions(spark, sf_dir), f"{folder}/tiles", f"{folder}/meta", IMPORT_START, IMPORT_END
+    )
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts")
+    return _cells_of(store.read_tiles(spark, f"{folder}/tiles"), "tile_key", text)
+
+
 def _asked_tiles(spark, sf_dir):
     """Tiles of one region by name, as the two questions below want them."""
     return tile_query.region_tiles(
@@ -341,6 +356,8 @@ SELECT ((k % 2 + 1) * 100 + k % {CITIES} + 1) * 100000 + tile_code AS tile_key,
        round((CASE WHEN region_no % {AGAIN} = 0 AND value <> -9999 THEN value * 2::FLOAT ELSE value END)::DOUBLE, 2) AS value
 FROM located JOIN named USING (region_no)"""
 
+_MIXED_SQL = f"SELECT tile_key, ts, pos, value FROM ({_IMPORT_SQL})"
+
 _BETWEEN_SQL = f"""WITH {st.CELLS_SQL}, {_NAMES_SQL}
 SELECT (k % 2 + 1) * 100 + k % {CITIES} + 1 AS region_no, strftime(time, '%Y-%m-%d %H:%M:%S') AS ts, count(DISTINCT tile_code) AS n
 FROM located JOIN named USING (region_no)
@@ -486,6 +503,7 @@ SELECT region_no, "row", col, code FROM cells JOIN codes ON col = x0 AND "row" =
     "import_between": (import_between, _BETWEEN_SQL),
     "import_again": (import_again, _AGAIN_SQL),
     "import_parts": (import_parts, _PARTS_SQL),
+    "import_mixed": (import_mixed, _MIXED_SQL),
     "named_time_query": (
         named_time_query,
         f"""WITH {st.CELLS_SQL}, {_NAMES_SQL},

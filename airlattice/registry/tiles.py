@@ -238,14 +238,17 @@ LATE_PROVINCE, LATE_START, LATE_END = 2, "2024-01-10 00:00:00", "2024-01-12 00:0
 PATTERN_LEVELS = ("day", "month", "season", "year", "all")
 
 
+def _late(tiles):
+    late = tiles.where(F.floor(F.col("region_no") / 100) == LATE_PROVINCE).where(F.col("ts") >= LATE_START).where(F.col("ts") < LATE_END)
+    return late.withColumn("data", F.transform("data", lambda v: F.when(v == st.NODATA, v).otherwise(v * 2)))
+
+
 @st.once
 def late_folder(spark, sf_dir) -> str:
     """The hourly tiles with their partial states, and then the late ones; written once per application."""
     folder = st.scratch(spark, "late")
     first = st.hour_tiles(spark, sf_dir)
-    late = first.where(F.floor(F.col("region_no") / 100) == LATE_PROVINCE).where(F.col("ts") >= LATE_START).where(F.col("ts") < LATE_END)
-    doubled = late.withColumn("data", F.transform("data", lambda v: F.when(v == st.NODATA, v).otherwise(v * 2)))
-    for tiles in (first, doubled):
+    for tiles in (first, _late(first)):
         store.upsert_tiles(tiles, f"{folder}/tiles", order_by=["seq"], states_path=f"{folder}/states")
     return folder
 
@@ -326,6 +329,31 @@ def tile_catalog(spark, sf_dir):
     return _summed(spark.table(name), "tile_key", "pollutant", _text())
 
 
+@st.once
+def late_table(spark, sf_dir) -> str:
+    """The hourly tiles and then the late ones, upserted by the name of a catalog table."""
+    name = f"tiles_{uuid.uuid4().hex}"
+    first = st.hour_tiles(spark, sf_dir)
+    for tiles in (first, _late(first)):
+        store.upsert_table(tiles, name, order_by=["seq"])
+    return name
+
+
+def catalog_upsert(spark, sf_dir):
+    """All tiles of the table after the late ones came in."""
+    return _summed(spark.table(late_table(spark, sf_dir)), "tile_key", "pollutant", _text())
+
+
+def catalog_scan(spark, sf_dir):
+    """A region's tiles of some pollutants and times, by the table's name."""
+    found = store.scan_tiles(spark.table(late_table(spark, sf_dir)), REGION, START, END, ["pm25", "co"])
+    return _summed(found, "tile_key", "pollutant", _text())
+
+
+def catalog_statistics(spark, sf_dir):
+    return store.table_statistics(spark, late_table(spark, sf_dir)).select("n_rows", "low", "high")
+
+
 QUERIES = {
     "time_pattern_hours": (_time_pattern(st.hour_tiles, "hours"), _time_pattern_sql(st.hour_tiles_sql(), "hour")),
     **{
@@ -425,6 +453,16 @@ SELECT tile_key, unnest({[f"properties:{n}" for n in PROPS.fieldNames()]}) AS na
     ),
     "upsert_tiles": (upsert_tiles, _UPSERT_SQL),
     "upsert_late": (upsert_late, f"WITH {_LATE_SQL} SELECT tile_key, pollutant, {_TS_SQL}, {_SUM_SQL} AS total FROM stored"),
+    "catalog_upsert": (catalog_upsert, f"WITH {_LATE_SQL} SELECT tile_key, pollutant, {_TS_SQL}, {_SUM_SQL} AS total FROM stored"),
+    "catalog_scan": (
+        catalog_scan,
+        f"WITH {_LATE_SQL} SELECT tile_key, pollutant, {_TS_SQL}, {_SUM_SQL} AS total FROM stored "
+        f"WHERE {_RANGE_SQL} AND pollutant IN ('pm25', 'co')",
+    ),
+    "catalog_statistics": (
+        catalog_statistics,
+        f"WITH {_LATE_SQL} SELECT count(*) AS n_rows, min(tile_key) AS low, max(tile_key) AS high FROM stored",
+    ),
     "state_pattern": (
         state_pattern,
         f"WITH {_LATE_SQL} "

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from airlattice.joins import MAX_BROADCAST_KEYS, broadcast_if_small
-from airlattice.session import stage
+from airlattice.session import stage, staged
 
 # Fixed value: raster names are province[%city]#yyyy-MM-ddHhh#pollutant, a missing city being
 # the province itself; the pollutant ends at the first dot.
@@ -14,6 +14,9 @@ NAME_PATTERN = r"^([^%#]+)(?:%([^#]+))?#(\d{4}-\d{2}-\d{2})H(\d{2})#([^.#]+)(?:\
 # Files above this size are read line by line in many tasks instead of as one record.
 MAX_WHOLE_FILE = 256 * 1024 * 1024
 
+# Most tasks that write parts of rasters.
+MAX_PART_FILES = 99_999
+
 # Header keys in lower case, with the column each of them fills.
 HEADER_KEYS = {
     "ncols": ("ncols",),
@@ -71,13 +74,15 @@ def has_name_parts(name: str = "name"):
 
 def list_rasters(spark: SparkSession, paths) -> DataFrame:
     """(path, name, size, in_parts, modified) of all rasters below the paths; no file is opened. The part files
-    of a folder are one raster, whose size is their sum and whose time the latest."""
+    of a folder are one raster, whose size is their sum and whose time the latest; a raster that consists of
+    one file is not in parts."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     each = files.select(
-        _raster_path().alias("path"), _raster_name().alias("name"), _is_part_file().alias("in_parts"),
+        _raster_path().alias("path"), _raster_name().alias("name"),
         F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"),
     )
-    listed = each.groupBy("path", "name", "in_parts").agg(F.sum("size").alias("size"), F.max("modified").alias("modified"))
+    parts = F.count(F.lit(1))
+    listed = each.groupBy("path", "name").agg(F.sum("size").alias("size"), (parts > 1).alias("in_parts"), F.max("modified").alias("modified"))
     return listed.select("path", "name", "size", "in_parts", "modified")
 
 
@@ -102,20 +107,24 @@ def _word(line, index: int):
     return F.get(F.split(F.trim(line), r"\s+"), F.lit(index))
 
 
-def read_asc(spark: SparkSession, paths, max_size: int = None, wanted: list = None) -> DataFrame:
+def read_asc(spark: SparkSession, paths, max_size: int = None, wanted: list = None, rasters: DataFrame = None) -> DataFrame:
     """One row per raster: path, name, ncols, nrows, xll, yll, cellsize, nodata, lines.
 
-    A file is one record, so it must fit a task; with ``max_size``, larger files and rasters in parts
-    are left out (see ``read_asc_rows``). Parallelism comes from the number of files. The header is
+    A file is one record, so it must fit a task; with ``max_size``, larger files are left out (see
+    ``read_asc_rows``, which also reads rasters in parts). Parallelism comes from the number of files. The header is
     the leading lines with known keys, in any case and order. ``lines`` is the raster body, top row
-    first, still as text. ``wanted`` lists the paths of the rasters to open, all by default.
+    first, still as text. ``wanted`` lists the paths of the rasters to open, all by default; of what is
+    opened only ``rasters`` (path) are looked into, if given.
     """
     files = _text_files(spark, paths, wanted, wholetext=True)
     if max_size is not None:
-        files = files.where((F.col("_metadata.file_size") <= max_size) & ~_is_part_file())
-    split = files.select(
-        _file_path().alias("path"),
-        _raster_name().alias("name"),
+        files = files.where(F.col("_metadata.file_size") <= max_size)
+    named = files.select(_raster_path().alias("path"), _raster_name().alias("name"), "value")
+    if rasters is not None:
+        named = named.join(broadcast_if_small(rasters.select("path"), MAX_BROADCAST_KEYS), "path", "left_semi")
+    split = named.select(
+        "path",
+        "name",
         F.filter(F.split("value", r"\r?\n"), lambda line: F.trim(line) != "").alias("all_lines"),
     )
     size, is_header = F.size("all_lines"), F.transform("all_lines", lambda line: line.rlike(_HEADER_LINE))
@@ -213,20 +222,30 @@ def write_asc(text: DataFrame, path: str) -> None:
     text.orderBy("line").select("value").write.mode("overwrite").text(path)
 
 
-def write_asc_files(text: DataFrame, path: str) -> None:
-    """Raster text (raster, line, value) of many rasters, one file each, in folders ``raster=name``.
+def write_asc_files(text: DataFrame, path: str, max_file: int = None) -> None:
+    """Raster text (raster, line, value) of many rasters, in folders ``raster=name``; all are written side by
+    side.
 
-    A raster is one file by its format, so its lines meet in one task; all rasters are written
-    side by side. A raster too large for that goes to ``write_asc``.
+    A raster is one file, so its lines meet in one task. With ``max_file`` only those up to that many bytes
+    are; larger ones become ordered parts of about that size (by line range), which read as one raster.
+    The text is then computed once, into a staging folder that goes afterwards.
     """
-    (
-        text.repartition("raster")
-        .sortWithinPartitions("raster", "line")
-        .select("raster", "value")
-        .write.mode("overwrite")
-        .partitionBy("raster")
-        .text(path)
-    )
+    if max_file is None:
+        _write_folders(text.repartition("raster"), path)
+        return
+    with staged(text.select("raster", "line", "value"), "raster-text") as lines:
+        bytes_of = F.sum(F.octet_length("value") + 1)
+        sizes = lines.groupBy("raster").agg(F.count(F.lit(1)).alias("n_lines"), bytes_of.alias("bytes"))
+        parts = F.ceil(F.col("bytes") / max_file)
+        sizes = sizes.select("raster", F.ceil(F.col("n_lines") / parts).alias("part_lines"), parts.alias("parts"))
+        # Names of part files are in the order of tasks as long as these have five digits.
+        tasks = min(sizes.agg(F.sum("parts")).first()[0] or 1, MAX_PART_FILES)
+        placed = lines.join(broadcast_if_small(sizes, MAX_BROADCAST_KEYS), "raster").withColumn("part", F.floor(F.col("line") / F.col("part_lines")))
+        _write_folders(placed.repartitionByRange(tasks, "raster", "part"), path)
+
+
+def _write_folders(text: DataFrame, path: str) -> None:
+    text.sortWithinPartitions("raster", "line").select("raster", "value").write.mode("overwrite").partitionBy("raster").text(path)
 
 
 def write_single_csv(result: DataFrame, path: str) -> None:

@@ -6,6 +6,8 @@ sorted files. A key range is ten provinces (``KEY_SPAN``), so that a late raster
 day, not those of all; folders per region would make many more, tiny, files.
 """
 
+import contextlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +28,7 @@ MAX_LISTED_PARTITIONS = 2_000
 
 # Tile keys a file is expected to hold: the Bloom filter of its keys gets about 10 bits for each.
 BLOOM_KEYS = 20_000
+BLOOM = {"parquet.bloom.filter.enabled#tile_key": "true", "parquet.bloom.filter.expected.ndv#tile_key": str(BLOOM_KEYS)}
 
 STORED = T.StructType([*TILES.fields, T.StructField("day", T.DateType()), T.StructField("key_range", T.IntegerType())])
 
@@ -59,7 +62,10 @@ def create_tile_table(spark: SparkSession, name: str, replace: bool = False) ->
     if replace:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORED.fields)
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY ({', '.join(PARTITION_BY)})")
+    options = ", ".join(f"'{key}' '{value}'" for key, value in BLOOM.items())
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet OPTIONS ({options}) PARTITIONED BY ({', '.join(PARTITION_BY)})"
+    )
 
 
 def keep_last(rows: DataFrame, key, order_by) -> DataFrame:
@@ -76,15 +82,19 @@ def write_tiles(tiles: DataFrame, path: str, mode: str = "append", partition_by=
     _write_folders(stored, path, mode, partition_by, "tile_key", "ts")
 
 
-def _write_folders(rows: DataFrame, path: str, mode: str, partition_by, *order: str) -> None:
+def _by_folder(rows: DataFrame, partition_by, *order: str) -> DataFrame:
+    """Rows dealt by folder and sorted within, as they are written."""
     adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     by_folder = rows.hint("rebalance", *partition_by) if adaptive else rows.repartition(*partition_by)
+    return by_folder.sortWithinPartitions(*partition_by, *order)
+
+
+def _write_folders(rows: DataFrame, path: str, mode: str, partition_by, *order: str) -> None:
     (
-        by_folder.sortWithinPartitions(*partition_by, *order)
+        _by_folder(rows, partition_by, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
-        .option("parquet.bloom.filter.enabled#tile_key", "true")
-        .option("parquet.bloom.filter.expected.ndv#tile_key", str(BLOOM_KEYS))
+        .options(**BLOOM)
         .partitionBy(*partition_by)
         .parquet(path)
     )
@@ -153,15 +163,65 @@ def _merge_tiles(fresh: DataFrame, replaces: DataFrame, path: str, partition_by,
     existing = read_if_present(spark, path, STORED)
     touched = _touched_folders(replaces, partition_by)
     if existing is not None:
-        gone = broadcast_if_small(replaces.select(*key), MAX_BROADCAST_KEYS)
-        kept = _touched_part(existing, touched, replaces, partition_by).join(gone, list(key), "left_anti")
-        fresh = kept.select(*STORED.fieldNames()).unionByName(fresh)
+        fresh = _with_kept(fresh, replaces, existing, touched, partition_by, key)
     write_tiles(fresh, path, mode="overwrite", partition_by=partition_by)
     if states_path is not None:
         changed = _touched_part(read_tiles(spark, path), touched, replaces, partition_by)
         write_states(tile_states(changed), states_path, mode="overwrite")
 
 
+def _with_kept(fresh: DataFrame, replaces: DataFrame, existing: DataFrame, touched: list | None, partition_by, key) -> DataFrame:
+    """``fresh``, and the stored rows of the touched folders that nothing replaces."""
+    gone = broadcast_if_small(replaces.select(*key), MAX_BROADCAST_KEYS)
+    kept = _touched_part(existing, touched, replaces, partition_by).join(gone, list(key), "left_anti")
+    return kept.select(*STORED.fieldNames()).unionByName(fresh)
+
+
+# --- tiles as a catalog table -----------------------------------------------------------------
+
+
+def upsert_table(incoming: DataFrame, name: str, order_by=()) -> None:
+    """``upsert_tiles`` by the name of a catalog table, which is made if there is none: the folders that get
+    new rows are overwritten as partitions of the table, so the catalog knows them. Read it by
+    ``scan_tiles(spark.table(name), ...)``."""
+    spark = incoming.sparkSession
+    create_tile_table(spark, name)
+    names = [F.col(f.name).cast(f.dataType) for f in STORED.fields]
+    fresh = keep_last(with_folders(incoming), VERSION_KEY, [*order_by, "data"])
+    with staged(fresh.select(*names), "upsert") as arriving:
+        replaces = arriving.select(*VERSION_KEY, *[c for c in PARTITION_BY if c not in VERSION_KEY])
+        touched = _touched_folders(replaces, PARTITION_BY)
+        merged = _with_kept(arriving, replaces, spark.table(name), touched, PARTITION_BY, VERSION_KEY)
+        stored = _by_folder(merged, PARTITION_BY, "tile_key", "ts").select(*spark.table(name).columns)
+        with _overwriting_partitions(spark):
+            stored.write.insertInto(name, overwrite=True)
+
+
+@contextlib.contextmanager
+def _overwriting_partitions(spark: SparkSession):
+    """Let inserts that overwrite replace only the partitions they bring rows for."""
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
+def table_statistics(spark: SparkSession, name: str) -> DataFrame:
+    """One row: n_rows, low and high (keys) and n_keys (an estimate) of a catalog table, from statistics that one
+    scan brings into the catalog, where Spark's cost-based planning finds them too."""
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS tile_key")
+    of_table = spark.sql(f"DESCRIBE EXTENDED {name}").where("col_name = 'Statistics'")
+    n_rows = of_table.select(F.regexp_extract("data_type", r"(\d+) rows", 1).cast("bigint").alias("n_rows"))
+    value = lambda key: F.max(F.when(F.col("info_name") == key, F.col("info_value"))).try_cast("bigint")
+    of_keys = spark.sql(f"DESCRIBE EXTENDED {name} tile_key").agg(
+        value("min").alias("low"), value("max").alias("high"), value("distinct_count").alias("n_keys")
+    )
+    return n_rows.join(of_keys)
+
+
 # --- partial states --------------------------------------------------------------------------
 
 

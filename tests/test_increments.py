@@ -290,3 +290,54 @@ def test_box_questions_use_intervals(spark, tmp_path):
     store.write_tiles(spark.createDataFrame(rows, TILES), str(tmp_path / "t"))
     found = tile_query.box_tiles(spark, str(tmp_path / "t"), meta, boxes.Box(102, 22, 109, 28), "co", "2016-05-01 00:00:00", "2016-05-02 00:00:00")
     assert 0 < found.count() < len(rows) and "In(tile_key" not in plan_of(found)
+
+
+def test_rasters_of_mixed_sizes_in_one_write(spark, tmp_path, region_dim):  # noqa: F811
+    """Large rasters become ordered parts, small ones one file; all are imported alike."""
+    small, large = "P%C#2016-05-01H00#pm25", "P%C#2016-05-01H01#pm25"
+    rng = random.Random(5)
+    texts = {}
+    for name, rows in ((small, 3), (large, 300)):
+        cells = [" ".join(str(rng.randrange(1000)) for _ in range(7)) for _ in range(rows)]
+        texts[name] = ["ncols 7", f"nrows {rows}", "xllcorner 1", "yllcorner 2", "cellsize 0.5", "NODATA_value -9", *cells]
+    lines = [(name, i, line) for name, own in texts.items() for i, line in enumerate(own)]
+    rng.shuffle(lines)
+    written = str(tmp_path / "out")
+    files.write_asc_files(spark.createDataFrame(lines, "raster string, line int, value string").repartition(5), written, max_file=900)
+    listed = {r.name: r for r in files.list_rasters(spark, written).collect()}
+    assert {name: r.in_parts for name, r in listed.items()} == {small: False, large: True}
+    for name, own in texts.items():
+        folder = os.path.normpath(listed[name].path.removeprefix("file:"))
+        parts = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+        read = [line for n in parts for line in open(os.path.join(folder, n), encoding="utf8").read().splitlines()]
+        assert read == own
+    raster_import.import_rasters(spark, written, region_dim, str(tmp_path / "t"), str(tmp_path / "m"), "2016", "2017", 4)
+    cells = store.read_tiles(spark, str(tmp_path / "t")).groupBy(F.hour("ts").alias("h")).agg(F.sum(F.size("data")).alias("n"))
+    assert sorted(map(tuple, cells.collect())) == [(0, 21), (1, 2100)]
+
+
+def test_upserts_by_table_name(spark, tmp_path):
+    """The table takes the same rows as a folder does, rewrites one partition for a late tile, and keeps its
+    setting for overwrites."""
+    rows = [
+        tile(region, code, f"2016-05-0{day} 00:00:00", pollutant, float(region + code))
+        for region in (101, 2205) for code in (0, 3) for day in (1, 2) for pollutant in ("aqi", "co")
+    ]
+    name = "tiles_by_name"
+    store.create_tile_table(spark, name, replace=True)
+    late = [tile(2205, 3, "2016-05-02 00:00:00", "co", -5.0)]
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    store.upsert_table(spark.createDataFrame(rows, TILES), name)
+    before = {r[0] for r in spark.table(name).select(F.input_file_name()).distinct().collect()}
+    store.upsert_table(spark.createDataFrame(late, TILES), name)
+    after = {r[0] for r in spark.table(name).select(F.input_file_name()).distinct().collect()}
+    assert {tuple(f.split("/")[-4:-1]) for f in before - after} == {("pollutant=co", "day=2016-05-02", "key_range=2")}
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+    for batch in (rows, late):
+        store.upsert_tiles(spark.createDataFrame(batch, TILES), str(tmp_path / "folder"))
+    assert contents(spark.table(name)) == contents(store.read_tiles(spark, str(tmp_path / "folder")))
+    found = store.scan_tiles(spark.table(name), 2205, "2016-05-02 00:00:00", "2016-05-03 00:00:00", ["co"])
+    assert found.count() == 2 and "key_range" in plan_of(found).split("PartitionFilters")[1].split("PushedFilters")[0]
+    stats = store.table_statistics(spark, name).first()
+    assert (stats.n_rows, stats.low, stats.high) == (16, 10100000, 220500003)
+    spark.sql(f"DROP TABLE {name}")
