@@ -1,5 +1,7 @@
 """Inputs whose size, not whose rows, is out of the ordinary."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from airlattice.functions.hilbert import curve_size, hilbert_code
 from airlattice.operators import tiling
 from airlattice.registry import rasters
 from airlattice.schemas import RASTER_META
+from airlattice.sources import rasters as files
 from compare import connect, differences
 
 
@@ -44,3 +47,31 @@ def test_cells_of_a_large_tile_fall_into_place(spark):
     rows = [(101, p // 30, p % 30, v) for p, v in cells.items()]
     data = tiling.split_cells(spark.createDataFrame(rows, "region_no bigint, row int, col int, value float"), meta).first()["data"]
     assert data == [-9.0 if cells.get(p) is None else cells[p] for p in range(1200)]
+
+
+def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
+    """A folder for each raster; every reader lists them in tasks that follow from the cores."""
+    context = spark.sparkContext
+    most = 4 * context.defaultParallelism
+    n = most + 60
+    for i in range(n):
+        (tmp_path / f"raster={i}").mkdir()
+        (tmp_path / f"raster={i}" / "part-00000.txt").write_text("NCOLS 1\nNROWS 1\n")
+    before = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    readers = {
+        "list": lambda: files.list_rasters(spark, str(tmp_path)), "whole": lambda: files.read_asc(spark, str(tmp_path)),
+        "headers": lambda: files.read_headers(spark, str(tmp_path)),
+    }
+    try:
+        for name, read in readers.items():
+            context.setJobGroup(f"listing-{name}", name)
+            frame = read()
+            status = context.statusTracker()
+            stages = [s for job in status.getJobIdsForGroup(f"listing-{name}") for s in status.getJobInfo(job).stageIds]
+            tasks = [status.getStageInfo(s).numTasks for s in stages]
+            assert tasks and max(tasks) <= most
+            if name == "list":
+                assert frame.count() == n
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
