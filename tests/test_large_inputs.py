@@ -75,3 +75,21 @@ def test_many_folders_are_listed_in_few_tasks(spark, tmp_path):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == before
+
+
+def test_parts_of_many_rasters_share_tasks(spark, tmp_path):
+    """Rasters in two parts each take as many tasks as there are cores for; one in many parts gets a task for each."""
+    most = files.WRITERS_PER_CORE * spark.sparkContext.defaultParallelism
+    sizes = {f"r{i}": 2 for i in range(most)} | {"large": most + 3}
+    rows = [(name, line, f"{name} {line:04d} " + "x" * (93 - len(name))) for name, parts in sizes.items() for line in range(parts)]
+    text = spark.createDataFrame(rows, "raster string, line int, value string").repartition(3, "value")
+    files.write_asc_files(text, str(tmp_path / "out"), max_file=100)
+    tasks = set()
+    for name, parts in sizes.items():
+        folder = tmp_path / "out" / f"raster={name}"
+        found = sorted(n for n in os.listdir(folder) if n.startswith("part-"))
+        assert len(found) == parts
+        tasks |= {n.split("-")[1] for n in found}
+        lines = [line for n in found for line in (folder / n).read_text().splitlines()]
+        assert lines == [value for raster, _, value in rows if raster == name]
+    assert len(tasks) == most + 3  # not the 3 * most + 3 parts
