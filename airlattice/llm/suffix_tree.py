@@ -77,6 +77,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def ranked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What np.unique gives with index and inverse, without the stable sort that it needs for the index."""
+    order = np.argsort(keys)
+    ascending = keys[order]
+    begins = np.ones(len(keys), bool)
+    begins[1:] = ascending[1:] != ascending[:-1]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(begins) - 1
+    starts = np.flatnonzero(begins)
+    first = np.minimum.reduceat(order, starts) if len(starts) else starts
+    return ascending[starts], first, place
+
+
 # --- blocks ---------------------------------------------------------------------------------
 
 
@@ -181,32 +194,50 @@ def requests(block: int, keys: np.ndarray, columns: list[np.ndarray], buckets: i
             yield {"bucket": b, "block": block, "keys": packed_keys(keys[part]), "columns": [packed(c[part]) for c in columns]}
 
 
-def _add_up(asked: pa.Table) -> pa.Table:
+def _add_up(asked: pa.Table, step: int = 0) -> pa.Table:
     """Sums by key over all blocks of a bucket. ``first`` marks, for each key, one block that has it;
-    total and positive (of the first column) are counted once, in the bucket's first row."""
+    total and positive (of the first column) are counted once, in the bucket's first row.
+
+    Blocks hear what they use: of contexts with their next word, the counts from two on and the marks of
+    these; of contexts, which of them are states, then mass and followers of the states alone.
+    """
     rows = asked.sort_by("block").to_pylist()
     keys = [unpacked_keys(r["keys"]) for r in rows]
     sizes = [len(k) for k in keys]
     keys = np.concatenate(keys)
     ends = np.cumsum(sizes)
-    distinct, first, place = np.unique(keys, return_index=True, return_inverse=True)
-    is_first = np.zeros(len(keys), bool)
-    is_first[first] = True
+    distinct, first, place = ranked(keys)
+    judging = step > 0 and step % 2 == 0
     sums = []
-    for n in range(len(rows[0]["columns"])):
+    for n in range(len(rows[0]["columns"]) - judging):
         values = [unpacked(r["columns"][n]) for r in rows]
         whole = all(v.dtype.kind in "iu" for v in values)
         total = np.bincount(place, np.concatenate(values), minlength=len(distinct))
         sums.append(total.astype(np.int64) if whole else total)
+    if judging:
+        # All blocks know how often a context occurs, and say the same.
+        often = np.concatenate([unpacked(r["columns"][-1]) for r in rows])[first]
+        states = sums[2] >= MIN_DIVERGENCE * often
+        first = first[:0]
+    elif step:
+        sums[0][sums[0] < 2] = 0
+        first = first[sums[0] > 0]
+    is_first = np.zeros(len(keys), bool)
+    is_first[first] = True
     found = []
     for i, (row, end) in enumerate(zip(rows, ends.tolist())):
         own = slice(end - sizes[i], end)
+        if judging:
+            kept = states[place[own]]
+            columns = [kept.astype(np.uint8), *(s[place[own][kept]] for s in sums[:2])]
+        else:
+            columns = [s[place[own]] for s in sums]
         found.append(
             {
                 "block": row["block"],
                 "bucket": row["bucket"],
-                "columns": [packed(s[place[own]]) for s in sums],
-                "first": np.packbits(is_first[own]).tobytes(),
+                "columns": [packed(c) for c in columns],
+                "first": b"" if judging else np.packbits(is_first[own]).tobytes(),
                 "total": int(sums[0].sum()) if i == 0 else 0,
                 "positive": int((sums[0] > 0).sum()) if i == 0 else 0,
             }
@@ -221,9 +252,13 @@ def _answer_kinds() -> pa.Schema:
     )
 
 
-def exchanged(asked: DataFrame, parts: int) -> DataFrame:
-    """The answers, written once beside the blocks."""
-    return _by_block(asked.groupBy("bucket").applyInArrow(_add_up, ANSWERED).repartition(parts, "block"), parts)
+def exchanged(asked: DataFrame, parts: int, step: int) -> DataFrame:
+    """The answers of a step, written once beside the blocks."""
+
+    def add_up(table: pa.Table) -> pa.Table:
+        return _add_up(table, step)
+
+    return _by_block(asked.groupBy("bucket").applyInArrow(add_up, ANSWERED).repartition(parts, "block"), parts)
 
 
 # --- a block and what it knows --------------------------------------------------------------
@@ -236,6 +271,8 @@ def answered(rows: list[dict] | None, n: int) -> tuple[list[np.ndarray], np.ndar
     rows = sorted(rows, key=lambda r: r["bucket"])
     parts = [[unpacked(c) for c in r["columns"]] for r in rows]
     columns = [np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))]
+    if not rows[0]["first"]:
+        return columns, np.zeros(0, bool)
     marks = [np.unpackbits(np.frombuffer(r["first"], np.uint8))[: len(p[0])] for r, p in zip(rows, parts)]
     return columns, np.concatenate(marks).astype(bool)
 
@@ -289,13 +326,13 @@ class Walk:
         asking = self.count[at] >= 2
         asked = np.concatenate([at[asking], np.flatnonzero(passed).astype(np.int32)])
         pairs = mixed(self.keys[before[asked]] ^ (self.hash[asked] * np.uint64(0x9E3779B97F4A7C15)))
-        pairs, first_at, pair_of = np.unique(pairs, return_index=True, return_inverse=True)
+        pairs, first_at, pair_of = ranked(pairs)
         if not known_pairs:
             trained = np.bincount(pair_of, self.train[asked], minlength=len(pairs)).astype(np.int64)
             self.wanted = pairs, [trained]
             return
         (totals, *_), first = answered(self.answers[2 * k - 1], len(pairs))
-        totals = np.where(totals >= 2, totals, 0).astype(np.int64)
+        totals = totals.astype(np.int64)
         if not known_contexts:
             # This block's share of each context's mass, followers and divergence: pairs it is first in.
             own = np.flatnonzero(first & (totals >= 2) & (first_at < asking.sum()))
@@ -304,16 +341,21 @@ class Walk:
             gain = n * np.log(n / (c * self.prob[asked[first_at[own]]])) - 0.5 * np.log(c)
             size = len(contexts)
             sums = [np.bincount(of, n, minlength=size).astype(np.int64), np.bincount(of, minlength=size), np.bincount(of, gain, minlength=size)]
-            self.wanted = contexts, sums
+            counted = np.zeros(size, np.int64)
+            counted[context_of] = often
+            self.wanted = contexts, [*sums, counted]
             return
-        (mass, followers, gain), _ = answered(self.answers[2 * k], len(contexts))
-        kept = gain[context_of] >= MIN_DIVERGENCE * often
+        (is_state, *of_states), _ = answered(self.answers[2 * k], len(contexts))
+        is_state = is_state.astype(bool)
+        kept = is_state[context_of]
         states, c = at[kept], often[kept]
+        state_of = (np.cumsum(is_state) - 1)[context_of[kept]]
+        mass, followers = (x[state_of] for x in of_states[:2])
         self.number = np.full(len(self.tokens), -1, np.int32)
         self.number[asked] = pair_of
         follows = self.number[states]
         n = np.where(follows >= 0, totals[follows], 0) if len(totals) else np.zeros(len(states))
-        left = 1.0 - (mass[context_of][kept] - DISCOUNT * followers[context_of][kept]) / c
+        left = 1.0 - (mass - DISCOUNT * followers) / c
         self.prob[states] = np.where(n >= 2, n - DISCOUNT, 0.0) / c + left * self.prob[states]
         self.active = np.zeros(len(self.tokens), bool)
         self.active[states] = True
@@ -367,7 +409,7 @@ def scored(docs: DataFrame, train, depth: int = MAX_DEPTH) -> DataFrame:
                 counts = unpacked(batch.column("counts")[n].as_py())
                 yield _asked(requests(batch.column("block")[n].as_py(), words, [counts], buckets))
 
-    answers = [exchanged(blocks.select("block", "words", "counts").mapInArrow(ask_words, ASKED), parts)]
+    answers = [exchanged(blocks.select("block", "words", "counts").mapInArrow(ask_words, ASKED), parts, 0)]
     found = answers[0].agg(F.sum("total").alias("n"), F.sum("positive").alias("v")).first()
     n_train, n_distinct = int(found["n"] or 0), int(found["v"] or 0)
 
@@ -380,7 +422,7 @@ def scored(docs: DataFrame, train, depth: int = MAX_DEPTH) -> DataFrame:
                     keys, columns = walk.ask(step)
                     yield _asked(requests(row["block"], keys, columns, buckets))
 
-        answers.append(exchanged(_with_answers(blocks, answers).mapInArrow(ask, ASKED), parts))
+        answers.append(exchanged(_with_answers(blocks, answers).mapInArrow(ask, ASKED), parts, step))
 
     def score(batches):
         return_memory()

@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import SF_DIR, WORD, docs, fold, low, odd_docs, table_rows
 from pyspark.sql import functions as F
@@ -143,3 +144,28 @@ def test_odd_rows(spark):
 def test_packed_arrays():
     for values in (np.arange(300), np.array([], np.int64), np.array([0.5, -2.0]), np.array([2**40])):
         assert suffix_tree.unpacked(suffix_tree.packed(values)).tolist() == values.tolist()
+
+
+@pytest.mark.parametrize("n", [0, 1, 1000])
+def test_ranked_keys(n):
+    keys = np.random.default_rng(n).integers(0, 300, n).astype(np.uint64)
+    for found, want in zip(suffix_tree.ranked(keys), np.unique(keys, return_index=True, return_inverse=True)):
+        assert found.tolist() == want.tolist()
+
+
+def test_answers_hold_what_blocks_use():
+    """Of contexts that are no states a bucket answers about a bit, of states also their mass and followers."""
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64))
+    size = len(keys)
+    often = rng.integers(8, 100, size)
+    gain = np.where(np.arange(size) % 10 == 0, 1.0, rng.random(size) * 0.01) * often
+    mass, followers = rng.integers(0, 8, size), rng.integers(0, 3, size)
+    asked = [r for block in (1, 2) for r in suffix_tree.requests(block, keys, [mass, followers, gain / 2, often], 1)]
+    answers = suffix_tree._add_up(pa.Table.from_batches([suffix_tree._asked(asked)]), 2).to_pylist()
+    assert sum(len(c) for r in answers for c in r["columns"]) < 2 * size
+    states = np.arange(size) % 10 == 0
+    for row in answers:
+        (kept, own_mass, own_followers), _ = suffix_tree.answered([row], size)
+        assert kept.astype(bool).tolist() == states.tolist()
+        assert own_mass.tolist() == (2 * mass[states]).tolist() and own_followers.tolist() == (2 * followers[states]).tolist()
