@@ -169,3 +169,40 @@ def test_answers_hold_what_blocks_use():
         (kept, own_mass, own_followers), _ = suffix_tree.answered([row], size)
         assert kept.astype(bool).tolist() == states.tolist()
         assert own_mass.tolist() == (2 * mass[states]).tolist() and own_followers.tolist() == (2 * followers[states]).tolist()
+
+
+def test_word_hashes_follow_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand, in windows of any size; others have others."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))).encode() for _ in range(3000)]
+    words += [b"x" * n for n in range(1, 150)] + [b"y" * 5000]
+    text = b" " + b"".join(w + b" " * rng.randint(1, 3) for w in words)
+    for size in (64, 1 << 16):
+        monkeypatch.setattr(suffix_tree, "PIECE_BYTES", size)
+        monkeypatch.setattr(suffix_tree, "_powers", {})
+        starts, hashes = suffix_tree.word_hashes(text)
+        assert [text[a : a + len(w)] for a, w in zip(starts.tolist(), words)] == words and len(starts) == len(words)
+        assert len(set(hashes.tolist())) == len(set(words)) == len(set(zip(words, hashes.tolist())))
+
+
+@pytest.mark.parametrize("bits", [1, 2, 7, 12])
+def test_scrambled_is_a_permutation(bits):
+    assert sorted(suffix_tree.scrambled(np.arange(1 << bits, dtype=np.uint64), bits).tolist()) == list(range(1 << bits))
+
+
+def test_keys_are_sent_in_few_bytes():
+    """Pairs of words go as pairs of the words' numbers, not as 64-bit hashes, which take six bytes each."""
+    rng = np.random.default_rng(7)
+    block = suffix_tree.BlockBuilder(0)
+    for doc in range(300):
+        block.add([doc], [True], [b" ".join(b"w%d" % n for n in rng.integers(0, 1000, 100))])
+    row = block.row()
+    add_up = lambda asked, step: suffix_tree._add_up(pa.Table.from_batches([suffix_tree._asked(list(asked))]), step).to_pylist()
+    words = add_up(suffix_tree.requests(0, suffix_tree.unpacked_keys(row["words"]), [suffix_tree.unpacked(row["counts"])], 1), 0)
+    walk = suffix_tree.Walk(row, [words], sum(r["total"] for r in words), 1001, 1, [words[0]["ranks"]])
+    pairs, (counts,), span = walk.ask(1)
+    assert len(pairs) > 20_000 and counts.sum() > 29_000 and int(pairs.max()) < span
+    asked = list(suffix_tree.requests(0, pairs, [counts], 1, span))
+    assert sum(len(r["keys"]) for r in asked) < 2 * len(pairs)
+    contexts, _, span = suffix_tree.Walk(row, [words, add_up(asked, 1)], 30_300, 1001, 1, [words[0]["ranks"]]).ask(2)
+    assert sum(len(r["keys"]) for r in suffix_tree.requests(0, contexts, [], 1, span)) < len(contexts)
