@@ -13,8 +13,9 @@ from array import array
 from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
-# Words kept per generation (about 220 bytes each), and texts handled at once.
+# Words kept per generation (about 220 bytes each), bytes that say which were met, and texts handled at once.
 KEPT_WORDS = 150_000
+SEEN = 1 << 20
 SLICE = 250
 _SPLIT = re.compile(r"(?<=\S) ")
 _UNSAFE = re.compile(r"\s ")
@@ -26,6 +27,27 @@ _SIMPLE = re.compile(f"[{_LETTERS}]+[{_POINTS}]*(?:\n[{_LETTERS}]+[{_POINTS}]*)*
 _RUNS = re.compile(f"[{_LETTERS}]+|[{_POINTS}]+|\n")
 
 
+class _Parts(dict):
+    """Ids of parts, which learns others as they are looked up and keeps those that it met twice: most parts
+    of a corpus never come again. Bytes by hash say which came before; a shared one only keeps a part too early."""
+
+    def __init__(self, learn, older=()):
+        super().__init__()
+        self.learn, self.older, self.met = learn, older, bytearray(SEEN)
+
+    def __missing__(self, part: str) -> bytes:
+        if part in self.older:
+            ids = self[part] = self.older[part]
+            return ids
+        ids = self.learn(part)
+        at = hash(part) % SEEN
+        if self.met[at]:
+            self[part] = ids
+        else:
+            self.met[at] = 1
+        return ids
+
+
 class WordEncoder:
     """Texts to ids as little-endian unsigned 32-bit bytes. Special tokens' strings in a text get
     their id and nothing is added, truncated or padded: the library's behaviour without options."""
@@ -40,8 +62,8 @@ class WordEncoder:
         self.spaces_count = self._ids([" a"]) != self._ids(["a"])
         self.lowers = self._ids(["A"]) == self._ids(["a"])
         # Parts after a space (newer and older), and parts at the start of a text or inside a part.
-        self.words, self.older = {}, {}
-        self.heads = {} if self.spaces_count else self.words
+        self.words = _Parts(self._learned)
+        self.heads = _Parts(self._head) if self.spaces_count else self.words
         self.prefix = " " if self.spaces_count else ""
         self.letters = self._plain_letters()
 
@@ -75,56 +97,43 @@ class WordEncoder:
         return text.split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(text) for text in texts]
-        wanted: set = set()
-        for parts in cut:
-            wanted.update(parts[1:])
-        self._learn_heads({parts[0] for parts in cut})
-        self._learn_words(wanted)
         word, head = self.words.__getitem__, self.heads.__getitem__
-        found = [head(parts[0]) + b"".join(map(word, parts[1:])) for parts in cut]
+        found = []
+        for text in texts:
+            first, *rest = self._cut(text)
+            found.append(head(first) + b"".join(map(word, rest)))
         if len(self.words) > KEPT_WORDS:
-            self.older = self.words
-            self.words = {}
+            self.words.older = ()
+            self.words = _Parts(self._learned, self.words)
             if not self.spaces_count:
                 self.heads = self.words
         if len(self.heads) > KEPT_WORDS:
-            self.heads = {}
+            self.heads.older = ()
+            self.heads = _Parts(self._head, self.heads)
         return found
 
-    def _learn_heads(self, wanted: set) -> None:
-        fresh = [part for part in wanted if part not in self.heads]
-        self.heads.update(zip(fresh, self._ids(fresh)))
-
-    def _learn_words(self, wanted: set) -> None:
-        words, older = self.words, self.older
-        odd = []
-        for part in wanted.difference(words):
-            ids = older.get(part)
-            if ids is not None:
-                words[part] = ids
-            elif self.letters is not None and _SIMPLE.fullmatch(part):
-                words[part] = self._composed(part)
-            else:
-                odd.append(part)
-        words.update(zip(odd, self._ids([self.prefix + part for part in odd])))
+    def _head(self, part: str) -> bytes:
+        if self.letters is not None and part and _RUNS.fullmatch(part) and part[0].isalpha():
+            return self._run(part)
+        return self._ids([part])[0]
+
+    def _learned(self, part: str) -> bytes:
+        if self.letters is not None:
+            # Most parts are a run of letters, or one with a point.
+            if part.isascii():
+                if part.isalpha():
+                    return self._run(self.prefix + part)
+                if part[-1:] in _POINTS and part[:-1].isalpha():
+                    return self.words[part[:-1]] + self.heads[part[-1]]
+            if _SIMPLE.fullmatch(part):
+                return self._composed(part)
+        return self._ids([self.prefix + part])[0]
 
     def _composed(self, part: str) -> bytes:
         runs = _RUNS.findall(part)
-        first = self.words.get(runs[0]) or self.older.get(runs[0])
-        if first is None:
-            first = self._run(self.prefix + runs[0])
-            if len(runs) > 1:
-                self.words[runs[0]] = first
         if len(runs) == 1:
-            return first
-        found = [first]
-        for run in runs[1:]:
-            ids = self.heads.get(run)
-            if ids is None:
-                ids = self.heads[run] = self._run(run) if run[0].isalpha() else self._ids([run])[0]
-            found.append(ids)
-        return b"".join(found)
+            return self._run(self.prefix + part)
+        return b"".join([self.words[runs[0]], *map(self.heads.__getitem__, runs[1:])])
 
 
 _encoders: dict = {}

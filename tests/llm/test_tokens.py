@@ -43,6 +43,18 @@ def test_word_encoder_is_exact(path, monkeypatch):
         assert [np.frombuffer(b, np.uint32).tolist() for b in own.encode(part)] == [library(path, t) for t in part]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_parts_are_kept_when_they_come_again(path):
+    """Parts that never come again take no place from those that do."""
+    with open(path, encoding="utf-8") as file:
+        own = encode.WordEncoder(file.read())
+    once = ["start " + " ".join(f"{a}{b}q" for a in "bcdfg" for b in "aeiou")]
+    twice = ["start again and again"]
+    for texts in (once, twice):
+        assert [np.frombuffer(b, np.uint32).tolist() for b in own.encode(texts)] == [library(path, t) for t in texts]
+    assert "again" in own.words and "baq" not in own.words
+
+
 @pytest.fixture(scope="module")
 def chunks():
     with open(BYTE, encoding="utf-8") as file:
